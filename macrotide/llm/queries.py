@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from macrotide.llm import audio, exact_dedup, html, mixing, packing, quality, url_filter
+from macrotide.llm import audio, exact_dedup, hmm, html, mixing, packing, quality, url_filter
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_hmm_scores": hmm.op3_hmm_scores,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_html_extraction": html.op7_html_extraction,

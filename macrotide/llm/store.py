@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from macrotide.functions.shipping import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
+    ship(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = tempfile.mkdtemp(prefix="spark-macrotide-")
@@ -29,4 +32,5 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
