@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from macrotide.llm import audio, exact_dedup, hmm, html, mixing, packing, quality, url_filter
+from macrotide.llm import audio, exact_dedup, hmm, html, mixing, ngram_join, packing, quality, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_hmm_scores": hmm.op3_hmm_scores,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_signature_trees": ngram_join.op6_signature_trees,
     "op7_html_extraction": html.op7_html_extraction,
     "op8_telephony_audio": audio.op8_telephony_audio,
     "op9_mixing": mixing.op9_mixing,

@@ -74,8 +74,8 @@ class Words:
         return run_hashes(_BYTE[self.data], self.starts, self.ends, family)
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of runs of whole texts of about CHUNK_BYTES; a null text is empty."""
+def texts(column: pa.Array | pa.ChunkedArray, most_rows: int = 1 << 30) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of runs of whole texts of about CHUNK_BYTES and ``most_rows`` at most; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -87,5 +87,6 @@ def texts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[slice, np.ndarra
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        to = min(to, at + most_rows)
         yield slice(at, to), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
