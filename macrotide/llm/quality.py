@@ -219,6 +219,21 @@ def judge(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double, expected_grade double, tail_probability double, selected boolean")
 
 
+def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text", at_grade: int = SELECT_GRADE, at: float = SELECT_AT) -> DataFrame:
+    """The rows of ``docs`` whose P(grade >= at_grade) is at least ``at``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype("<f4"), model.thresholds))
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = OrdinalModel(*shared.value)
+        for batch in batches:
+            for rows, data, offsets in texts(batch.column(column)):
+                kept = tails(model.score(data, offsets), model.thresholds)[:, at_grade - 1] >= at
+                yield batch[rows].filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, grade): 2 for quality without toxicity, 0 for toxic text without quality, else 1."""
     grade = F.col("quality") + 1 - F.col("toxic")
