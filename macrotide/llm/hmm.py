@@ -125,7 +125,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(words.doc[missing], minlength=n))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[rows], batch.column(1)[rows], pa.array(words.counts + 1), pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                    pa.array((np.bincount(words.doc, tabled, n) + (v.n_docs > 0)).astype(np.int64)), pa.array(np.bincount(words.doc, gain, n) + np.log10(v.n_docs + 1.0)), pa.array(np.bincount(words.doc, share, n)),
+                    pa.array((np.bincount(words.doc, tabled, n) + (v.n_docs > 0)).astype(np.int64)), pa.array(np.bincount(words.doc, gain, n) + np.log10(v.n_docs + 1.0)), pa.array(np.bincount(words.doc, share, n).astype(float)),
                     pa.ListArray.from_arrays(pa.array(cuts), pa.array(word[missing])),
                 ], names)
 

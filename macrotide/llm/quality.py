@@ -92,7 +92,7 @@ class OrdinalModel:
         row, index, value = hashed_features(data, offsets, len(self.weights))
         n = len(offsets) - 1
         value = value * _length_scale(row, value, n)[row]
-        return np.bincount(row, self.weights[index] * value, n)
+        return np.bincount(row, self.weights[index] * value, n).astype(float)  # of no rows at all, numpy counts in integers
 
 
 def lbfgs(value_and_gradient: Callable, x: np.ndarray, evaluations: int, pairs: int = PAIRS) -> np.ndarray:
