@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ SHARD, ISLANDS, EPOCHS, POPULATION, ELITE, CROSSOVERS = 2048, 2, 2, 5, 2, 8
 #: Bins filled to less than this share are unpacked and packed again across shards.
 LOOSE = 0.97
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -32,24 +36,71 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that never joins words across white space; each word is encoded once."""
+    """Ids of whole texts by a tokenizer that never joins words across white space.
+
+    Words are encoded some dozens at a time: a word's ids end with its last pretoken's, whose
+    last id is that of a token at a word's end. About REMEMBERED words are remembered; beyond
+    that, those of the texts at hand.
+    """
+
+    PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+    TOGETHER = 64
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have a core each
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.pretokens = regex.compile(self.PRETOKENS)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+
+    def _count(self, word: str) -> int:
+        """Pretokens of a word; what is guessed without the pattern is never too many, so that a group's sum shows any that are too few."""
+        if word.isalpha():
+            return 1
+        stem = word.rstrip(self.SIGNS)
+        if not stem or stem.isalpha():
+            return 1 + bool(stem)
+        return len(self.pretokens.findall(unicodedata.normalize("NFC", word).lower()))
+
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode() for w in words]
+        groups = [slice(i, i + self.TOGETHER) for i in range(0, len(words), self.TOGETHER)]
+        out = {}
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            after = np.cumsum([self._count(w) for w in texts[g]])
+            if len(stops) == after[-1] and (not len(stops) or stops[-1] == len(ids)) and not self.special.search(" ".join(texts[g])):
+                at = [0, *(4 * np.concatenate([[0], stops])[after]).tolist()]
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(words[g], at[:-1], at[1:]))
+            else:
+                alone = self.tokenizer.encode_batch_fast(texts[g], add_special_tokens=False)
+                out.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words[g], alone))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.encode().split() for x in texts]
-        new = list({w for words in split for w in words if w not in self.known})
+        here = set().union(*split)
+        new = list(here - self.known.keys())
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known = {w: self.known[w] for w in here if w in self.known}
+        self.known.update(self._encoded(new))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and an end id, cut only if longer than ``capacity``.
 
@@ -61,10 +112,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path)
+        encode = word_ids(path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
                 rows, own = [], []
                 for i, ids in enumerate(encode(pc.fill_null(part.column(1), "").to_pylist())):
                     ids += end
