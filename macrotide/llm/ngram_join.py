@@ -24,6 +24,8 @@ from macrotide.llm.text import Words, mixed, run_hashes, texts
 
 #: Children of a tree node; sets of a group that one tree holds, beyond which it is a block beside others.
 FANOUT, BLOCK = 8, 1024
+#: Bits of a bitmap for each token of its set: a power of two from here on.
+BITS = 3
 #: Sets to verify of up to so many are found in the documents by a broadcast of their ids; more by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Node pairs looked at in one numpy step.
@@ -58,9 +60,9 @@ def set_ids(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> list[bytes]:
-    """A bitmap of each set, of the least power of two of bits, 64 at least, that its size doesn't exceed."""
+    """A bitmap of each set: BITS bits for each token at least, a power of two of bits, and 64 at least."""
     size = np.diff(cuts)
-    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(BITS * size, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(width)])
     bits = np.zeros(base[-1], bool)
     bits[np.repeat(base[:-1], size) + (mixed(tokens) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64)] = True
@@ -150,8 +152,29 @@ def _small_pairs(starts: np.ndarray, counts: np.ndarray, hubs: np.ndarray | None
     return np.concatenate(left or [starts[:0]]), np.concatenate(right or [starts[:0]])
 
 
-def _group_pairs(group: np.ndarray, sid: np.ndarray, size: np.ndarray, maps: list[bytes], component: np.ndarray, hub: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that the trees of the groups (runs of equal ``group``) let through."""
+def _first_here(a: np.ndarray, b: np.ndarray, own: int, groups: list[list[int]]) -> np.ndarray:
+    """Whether no earlier group has both members of a pair: each pair comes from the first group it shares only."""
+    if not len(a):
+        return np.zeros(0, bool)
+    rows = np.unique(np.concatenate([a, b]))
+    lists = [[g for g in groups[i] if g < own] for i in rows]
+    known, place = np.unique(np.array([g for x in lists for g in x], np.int64), return_inverse=True)
+    bits = np.zeros((len(rows), max(64, -(-len(known) // 64) * 64)), bool)
+    bits[np.repeat(np.arange(len(rows)), [len(x) for x in lists]), place] = True
+    packed = np.packbits(bits, axis=1).view(np.uint64)
+    a, b = np.searchsorted(rows, a), np.searchsorted(rows, b)
+    out = np.empty(len(a), bool)
+    for at in range(0, len(a), STEP):
+        out[at : at + STEP] = ~(packed[a[at : at + STEP]] & packed[b[at : at + STEP]]).any(1)
+    return out
+
+
+def _group_pairs(group: np.ndarray, own: np.ndarray, block: np.ndarray, sid: np.ndarray, size: np.ndarray, maps: list[bytes], groups: list[list[int]], component: np.ndarray, hub: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that the trees of the groups (runs of equal ``group``) let through.
+
+    ``own`` is a group's number before it was dealt to blocks; where two blocks meet, pairs
+    within one of them are left to the place where it is alone.
+    """
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     counts = np.diff(np.append(starts, len(group)))
     hubs = None
@@ -171,7 +194,11 @@ def _group_pairs(group: np.ndarray, sid: np.ndarray, size: np.ndarray, maps: lis
             x, y = folded(x, min(wa, wb)), folded(y, min(wa, wb))
             bits = [size[rows] - np.bitwise_count(z).sum(1, dtype=np.int64) for z, rows in ((x, a[part]), (y, b[part]))]
             kept[part] = _may_link(np.bitwise_count(x & y).sum(1, dtype=np.int64), *bits, size[a[part]], size[b[part]], size[a[part]], size[b[part]], percent)
-    left, right = [a[kept]], [b[kept]]
+    a, b = a[kept], b[kept]
+    if hub is None:
+        first = np.array([not any(g < own[x] for g in set(groups[x]).intersection(groups[y])) for x, y in zip(a, b)], bool)
+        a, b = a[first], b[first]
+    left, right = [a], [b]
     for g in np.flatnonzero(counts > FANOUT):
         rows = np.arange(starts[g], starts[g] + counts[g])
         if hubs is not None and hubs[g] < 0:
@@ -180,6 +207,12 @@ def _group_pairs(group: np.ndarray, sid: np.ndarray, size: np.ndarray, maps: lis
         packed = np.concatenate([folded(np.frombuffer(maps[i], np.uint64)[None], least) for i in rows])
         tree = SignatureTree(size[rows], packed, component[rows], percent)
         i, j = tree.pairs(None if hubs is None else int(hubs[g] - starts[g]))
+        if hubs is None:
+            if len(np.unique(block[rows])) > 1:
+                across = block[rows[i]] != block[rows[j]]
+                i, j = i[across], j[across]
+            first = _first_here(rows[i], rows[j], int(own[starts[g]]), groups)
+            i, j = i[first], j[first]
         left.append(rows[i])
         right.append(rows[j])
     a, b = sid[np.concatenate(left)], sid[np.concatenate(right)]
@@ -187,15 +220,15 @@ def _group_pairs(group: np.ndarray, sid: np.ndarray, size: np.ndarray, maps: lis
 
 
 def tree_pairs(rows: DataFrame, percent: int, by_hub: bool) -> DataFrame:
-    """(a, b): candidate pairs from (group, sid, n, map, component, hub), groups whole in a task and in order."""
+    """(a, b): candidate pairs from (group, own, block, sid, n, map, groups, component, hub), groups whole in a task and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def work(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
-            group, sid, n, component, hub = (t.column(c).to_numpy() for c in ("group", "sid", "n", "component", "hub"))
-            a, b = _group_pairs(group, sid, n, t.column("map").to_pylist(), component, hub if by_hub else None, percent)
+            group, own, block, sid, n, component, hub = (t.column(c).to_numpy() for c in ("group", "own", "block", "sid", "n", "component", "hub"))
+            a, b = _group_pairs(group, own, block, sid, n, t.column("map").to_pylist(), t.column("groups").to_pylist(), component, hub if by_hub else None, percent)
             both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
@@ -211,7 +244,7 @@ def tree_pairs(rows: DataFrame, percent: int, by_hub: bool) -> DataFrame:
         if held is not None and len(held):
             yield work(held)
 
-    dealt = rows.select("group", "sid", "n", "map", "component", "hub").repartition(F.col("group")).sortWithinPartitions("group")
+    dealt = rows.select("group", "own", "block", "sid", "n", "map", "groups", "component", "hub").repartition(F.col("group")).sortWithinPartitions("group")
     return dealt.mapInArrow(run, "a long, b long").dropDuplicates()
 
 
@@ -284,10 +317,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     bucket = F.floor(F.log("n") / -math.log(percent / 100)) if percent < 100 else F.col("n")
     # Similar sets are in the same size range or in neighbouring ones: each row looks into its own and the next.
     ranged = members.withColumn("bucket", bucket).select("sid", "n", F.explode(F.array(F.xxhash64("token", "bucket"), F.xxhash64("token", F.col("bucket") + 1))).alias("group"))
-    groups = ranged.groupBy("group").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("count")).filter("lo <> hi").select("group", "count")
+    # Sets that share many tokens would meet in many groups: of groups with the same members, one is enough.
+    members_of = [F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("count"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.sum(F.shiftrightunsigned(F.xxhash64("sid", F.lit(1)), 32)).alias("sum")]
+    groups = ranged.groupBy("group").agg(*members_of).filter("lo <> hi").groupBy("lo", "hi", "count", "print", "sum").agg(F.min("group").alias("group")).select("group", "count")
     alive = written(ranged.join(groups, "group"), "shingle-groups")
-    central = alive.groupBy("sid").agg(F.sum("count").alias("central"))
-    alive = written(alive.join(central, "sid"), "shingle-groups")
+    central = alive.groupBy("sid").agg(F.sum("count").alias("central"), F.collect_set("group").alias("groups"))  # at most two groups for each prefix token
+    central = written(central.join(reps.select("sid", "map"), "sid"), "shingle-maps")
+    alive = written(alive.join(central.select("sid", "central"), "sid"), "shingle-groups")
     links = None
     tested = None
     for by_hub in (True, False):
@@ -306,8 +342,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             places = F.when(F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
         else:
             places = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, own) * F.col("blocks") + F.greatest(j, own))
-        rows = rows.withColumn("blocks", blocks).withColumn("place", F.explode(places)).withColumn("group", F.when(F.col("blocks") > 1, F.xxhash64("group", "place")).otherwise(F.col("group")))
-        rows = rows.select("group", "sid", "n", "component", "hub").join(reps.select("sid", "map"), "sid")
+        rows = rows.withColumn("blocks", blocks).withColumns({"block": own, "place": F.explode(places), "own": F.col("group")}).withColumn("group", F.when(F.col("blocks") > 1, F.xxhash64("own", "place")).otherwise(F.col("own")))
+        groups = F.array().cast("array<long>") if by_hub else F.col("groups")
+        rows = rows.select("group", "own", "block", "sid", "n", "component", "hub").join(central.select("sid", "map", groups.alias("groups")), "sid")
         pairs = tree_pairs(rows, percent, by_hub)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
