@@ -92,3 +92,13 @@ def test_empty_panels(spark):
     empty = series(spark, [])
     for out in (cleaning.winsorize(empty, 0.1, 0.9), cleaning.fill_time(empty), cleaning.ema(empty, 3), calendar.resample(empty, "M"), calendar.month_grid(empty)):
         assert out.count() == 0
+
+
+def test_denton_meets_the_totals_and_keeps_a_line(spark):
+    from macrotide.operators import denton
+
+    low = spark.createDataFrame([("s", dt.date(2019, 3 * q, 28), float(9 * q - 3)) for q in (1, 2, 3, 4)] + [("t", dt.date(2019, 3, 28), 5.0), ("t", dt.date(2019, 6, 28), 5.0)], "series string, date date, value double")
+    rows = denton.denton_panel(low, 3).collect()
+    path = [r.path for r in sorted(rows, key=lambda r: (r.date, r.slot)) if r.series == "s"]
+    assert all(abs(a - b) < 1e-4 for a, b in zip(path, range(1, 13)))
+    assert abs(sum(r.path for r in rows if r.series == "t") - 10) < 1e-6
