@@ -24,6 +24,8 @@ from macrotide.llm.text import Words, mixed, run_hashes, texts
 
 #: Children of a tree node; sets of a group that one tree holds, beyond which it is a block beside others.
 FANOUT, BLOCK = 8, 1024
+#: Prefix tokens that similar sets share at least (all of the common ones, if they are fewer).
+SHARED = 6
 #: Bits of a bitmap for each token of its set: a power of two from here on.
 BITS = 3
 #: Sets to verify of up to so many are found in the documents by a broadcast of their ids; more by a shuffle.
@@ -256,7 +258,8 @@ def shingle_features(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for rows, data, offsets in texts(batch.column(1), 1000):
                 tokens, cuts = shingle_tokens(data, offsets, k)
                 n = np.diff(cuts)
-                keep = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+                common = -(-n * percent // 100)
+                keep = n - common + np.minimum(SHARED, common)  # so long that the first SHARED common tokens are inside
                 at = np.concatenate([[0], np.cumsum(keep)])
                 index = np.arange(at[-1]) + np.repeat(cuts[:-1] - at[:-1], keep)
                 prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens[index].view(np.int64)))
@@ -300,6 +303,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent
     return left.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("t")), "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
+def _shared_groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("group").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("group")
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(id, sid, n, root) for every row of (id, text): its set, the set's size, and the least set of its component.
 
@@ -316,7 +323,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = prefix.join(shared, "token").dropDuplicates(["token", "sid"])
     bucket = F.floor(F.log("n") / -math.log(percent / 100)) if percent < 100 else F.col("n")
     # Similar sets are in the same size range or in neighbouring ones: each row looks into its own and the next.
-    ranged = members.withColumn("bucket", bucket).select("sid", "n", F.explode(F.array(F.xxhash64("token", "bucket"), F.xxhash64("token", F.col("bucket") + 1))).alias("group"))
+    ranged = members.withColumn("bucket", bucket).select("sid", "n", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("range"), "token")
+    ranged = ranged.select("sid", "n", "range", F.xxhash64("token", "range").alias("group"))
+    met = written(ranged.join(_shared_groups(ranged), "group"), "shingle-meetings")
+    # A set that meets others at fewer tokens of a range than similar sets share has no similar one there.
+    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+    enough = met.groupBy("sid", "range").agg(F.count("*").alias("tokens"), F.first("n").alias("n")).filter(F.col("tokens") >= need).select("sid", "range")
+    ranged = met.join(enough, ["sid", "range"], "left_semi")
     # Sets that share many tokens would meet in many groups: of groups with the same members, one is enough.
     members_of = [F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("count"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.sum(F.shiftrightunsigned(F.xxhash64("sid", F.lit(1)), 32)).alias("sum")]
     groups = ranged.groupBy("group").agg(*members_of).filter("lo <> hi").groupBy("lo", "hi", "count", "print", "sum").agg(F.min("group").alias("group")).select("group", "count")
