@@ -30,8 +30,8 @@ SHARED = 6
 BITS = 3
 #: Sets to verify of up to so many are found in the documents by a broadcast of their ids; more by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Node pairs looked at in one numpy step.
-STEP = 1 << 15
+#: Node pairs looked at in one numpy step, and those whose children are listed at once.
+STEP, EXPANDED = 1 << 14, 1 << 11
 
 
 def shingle_tokens(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,26 +112,29 @@ class SignatureTree:
             out[at : at + STEP] = apart & _may_link(common, slack[a], slack[b], least[a], least[b], most[a], most[b], self.percent)
         return out
 
+    def _below(self, level: int, i: np.ndarray, j: np.ndarray, where: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of children of some pairs of nodes that are kept; with a place, only those of the node above it."""
+        nodes, down = len(self.levels[level - 1][0]), np.arange(FANOUT)
+        if where is not None:
+            j = (j[:, None] * FANOUT + down).ravel()
+            j = j[j < nodes]
+            i = np.full(len(j), where // FANOUT ** (level - 1))
+        else:
+            i, j = (i[:, None, None] * FANOUT + down[:, None] + 0 * down).reshape(-1), (j[:, None, None] * FANOUT + 0 * down[:, None] + down).reshape(-1)
+            held = (i <= j) & (j < nodes) & (i < nodes)
+            i, j = i[held], j[held]
+        kept = self._kept(level - 1, i, j)
+        if level > 1:
+            kept |= (i == j) & ~self.levels[level - 1][5][i] if where is None else (i == j)
+        return i[kept], j[kept]
+
     def pairs(self, hub: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of sets of different components that may be similar: all, or those with one set, the hub."""
-        n = len(self.levels[0][0])
         where = int(np.flatnonzero(self.order == hub)[0]) if hub is not None else None
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for level in range(len(self.levels) - 1, 0, -1):
-            nodes = len(self.levels[level - 1][0])
-            down = np.arange(FANOUT)
-            if hub is not None:
-                j = (j[:, None] * FANOUT + down).ravel()
-                j = j[j < nodes]
-                i = np.full(len(j), where // FANOUT ** (level - 1))
-            else:
-                i, j = (i[:, None, None] * FANOUT + down[:, None] + 0 * down).reshape(-1), (j[:, None, None] * FANOUT + 0 * down[:, None] + down).reshape(-1)
-                held = (i <= j) & (j < nodes) & (i < nodes)
-                i, j = i[held], j[held]
-            kept = self._kept(level - 1, i, j)
-            if level > 1:
-                kept |= (i == j) & ~self.levels[level - 1][5][i] if hub is None else (i == j)
-            i, j = i[kept], j[kept]
+            found = [self._below(level, i[at : at + EXPANDED], j[at : at + EXPANDED], where) for at in range(0, len(i), EXPANDED)]
+            i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         held = i != j
         return self.order[i[held]], self.order[j[held]]
 
