@@ -105,7 +105,8 @@ def window_hashes(docs: DataFrame, wanted: DataFrame, keys: list[str], window: i
 def repeated_windows(docs: DataFrame, keys: list[str], window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(*keys, first, n): runs of windows of (*keys, text) that start earlier too, by keys and then by place."""
     spans = all_spans(docs, keys, window, anchor)
-    seeds = spans.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    # Written first, so that the join has shuffles of its own, of which Spark can split a frequent seed.
+    seeds = written(spans.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
     repeated = written(spans.join(seeds, "seed"), "seeded-spans")
     here = F.struct(*keys, "place")
     firsts = written(repeated.groupBy("seed", "span").agg(F.min(here).alias("first")), "first-spans")
