@@ -297,7 +297,14 @@ def hmm_scores(docs: DataFrame, states: int = STATES, passes: int = PASSES, freq
     counts = written(count_words(docs.filter("not held_out"), classes), "word-counts")
     n_docs = docs.filter("not held_out").count()
     sums = counts.groupBy("class").agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # one row for each class
-    top = counts.orderBy(F.desc("n"), "word").limit(tabled).select("word", "n", "class").toArrow()
+    # The words of as many of the highest count ranges as the table has room for: no task sorts candidates of all others.
+    counts = counts.withColumn("range", F.floor(F.log2("n") * 64))
+    room, least = tabled, 1 << 30
+    for r in sorted(counts.groupBy("range").count().collect(), reverse=True):  # some thousand ranges at most
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["range"]
+    top = counts.filter(F.col("range") >= least).select("word", "n", "class").toArrow()
     vocabulary = Vocabulary(top, n_docs, sum(r["types"] for r in sums), sum(r["n"] for r in sums), {r["class"]: r["s"] for r in sums}, frequent, classes)
     coded = written(encoded(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "coded-texts")
     model = train(coded, vocabulary, states, passes)
