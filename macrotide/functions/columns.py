@@ -25,6 +25,14 @@ def safe_ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x))
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Correlation over rows that have both; null where either is constant, which Spark's own function raises on."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.nullif(spread, F.lit(0.0))
+
+
 def clip(x: Column, lo: Column | float | None, hi: Column | float | None) -> Column:
     """x held between bounds; a null bound or value is passed over."""
     lo, hi = (b if isinstance(b, Column) or b is None else F.lit(float(b)) for b in (lo, hi))

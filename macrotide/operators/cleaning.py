@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import clip
+from macrotide.functions.columns import clip, corr
 
 FIRST, LAST = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -118,7 +118,7 @@ def persistence(panel: DataFrame, by: str = "series", at: str = "date", x: str =
     rows = rows.withColumn("diff", F.col(x) - F.col("before"))
     whole = panel.groupBy(by).agg((F.count(x) / F.count("*")).alias("observed_share"))
     stats = rows.groupBy(by).agg(
-        F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.when(F.count("before") >= least_pairs, F.corr("before", x)).alias("autocorrelation"),
+        F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.when(F.count("before") >= least_pairs, corr("before", x)).alias("autocorrelation"),
         F.try_divide(F.var_pop("diff"), F.var_pop(x)).alias("difference_ratio"), (F.percentile("diff", F.lit(0.75)) - F.percentile("diff", F.lit(0.25))).alias("difference_iqr"),
     )
     return whole.join(stats, by)

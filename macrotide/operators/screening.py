@@ -22,7 +22,7 @@ def rolling_pairs(panel: DataFrame, targets: DataFrame, width: int, by: str = "s
     out = rows.withColumns({k: s.over(w) for k, s in sums.items()}).filter(F.col("n") == width)
     sxy, sxx, syy = F.expr("n * sxy - sx * sy"), F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
     out = out.withColumns({"r": F.try_divide(sxy, F.sqrt(F.greatest(sxx * syy, F.lit(0.0)))), "beta": F.try_divide(sxy, sxx)})
-    out = out.withColumn("z", F.col("r") * F.sqrt((width - 2) / (1 - F.col("r") * F.col("r"))))
+    out = out.withColumn("z", F.col("r") * F.sqrt(F.try_divide(F.lit(float(width - 2)), 1 - F.col("r") * F.col("r"))))
     out = out.withColumns({"p": normal_p(F.col("z")), "i": F.row_number().over(Window.partitionBy("target", "candidate").orderBy(at)).cast("long")})
     return out.select("target", "candidate", at, "r", "beta", "z", "p", "i")
 

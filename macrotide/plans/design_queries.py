@@ -6,7 +6,7 @@ from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import normal_p, rounded
+from macrotide.functions.columns import corr, normal_p, rounded
 from macrotide.operators import calendar, events, inference
 from macrotide.plans.registry import query
 from macrotide.plans.result_queries import BOTH, KEY, _both
@@ -73,13 +73,13 @@ def _(spark, d):
 
 
 @query("recession_compare", f"""{N}, t as (select date, value as x, case when quarter(date) <= 2 then 1 else 0 end as s from panel_nation where series = 'NATION_0'), r as (select p.series, value as y, x, s from panel_nation p join t using (date) where p.series <> 'NATION_0'),
-sp as (select series, regr_slope(y, x) filter (s = 1) as down, regr_slope(y, x) filter (s = 0) as up, regr_slope(y, x) as pooled from r group by series) select series, round(down, 5) as down, round(up, 5) as up, round(down - up, 5) as gap, (sign(down) = sign(up))::int as same_direction, round(abs(down - up) - abs(pooled), 5) as gap_over_pooled from sp""")
+sp as (select series, regr_slope(y, x) filter (s = 1) as down, regr_slope(y, x) filter (s = 0) as up, regr_slope(y, x) as pooled from r group by series having count(*) filter (s = 1) >= 6 and count(*) filter (s = 0) >= 6) select series, round(down, 5) as down, round(up, 5) as up, round(down - up, 5) as gap, (sign(down) = sign(up))::int as same_direction, round(abs(down - up) - abs(pooled), 5) as gap_over_pooled from sp""")
 def _(spark, d):
     panel = panel_nation(spark, d)
     t = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("x"), (F.quarter("date") <= 2).cast("int").alias("s"))
     rows = panel.filter("series <> 'NATION_0'").withColumnRenamed("value", "y").join(t, "date")
     slope = {k: F.regr_slope(F.when(F.col("s") == v, F.col("y")), F.when(F.col("s") == v, F.col("x"))) for k, v in (("down", 1), ("up", 0))}
-    sp = rows.groupBy("series").agg(*[v.alias(k) for k, v in slope.items()], F.regr_slope("y", "x").alias("pooled"))
+    sp = rows.groupBy("series").agg(*[v.alias(k) for k, v in slope.items()], F.regr_slope("y", "x").alias("pooled"), F.count_if(F.col("s") == 1).alias("n1"), F.count_if(F.col("s") == 0).alias("n0")).filter("n1 >= 6 and n0 >= 6")
     return sp.select("series", *rounded("down", "up", digits=5), F.round(F.col("down") - F.col("up"), 5).alias("gap"), (F.signum("down") == F.signum("up")).cast("int").alias("same_direction"), F.round(F.abs(F.col("down") - F.col("up")) - F.abs("pooled"), 5).alias("gap_over_pooled"))
 
 
@@ -180,7 +180,7 @@ def _(spark, d):
     x = panel.filter("series = '1-URGENT'").select("date", F.col("value").alias("ind")).filter("ind <> 0")
     rows = panel.filter("series <> '1-URGENT'").join(x, "date").withColumn("third", F.ntile(3).over(Window.partitionBy("series").orderBy("date"))).withColumn("ratio", F.col("value") / F.col("ind"))
     median = {k: F.percentile(F.when(F.col("third") == k, F.col("ratio")), F.lit(0.5)) for k in (1, 3)}
-    return rows.groupBy("series").agg(F.count("*").alias("n"), F.round(F.corr("value", "ind"), 5).alias("correlation"), F.round(F.stddev_samp("ratio") / F.avg("ratio"), 5).alias("cv"), F.round(median[3] / median[1] - 1, 5).alias("drift"))
+    return rows.groupBy("series").agg(F.count("*").alias("n"), F.round(corr("value", "ind"), 5).alias("correlation"), F.round(F.stddev_samp("ratio") / F.avg("ratio"), 5).alias("cv"), F.round(median[3] / median[1] - 1, 5).alias("drift"))
 
 
 @query("lead_test", f"{N}, t as (select date, value - lag(value) over (order by date) as s, lead(value) over (order by date) - value as s1 from panel_nation where series = 'NATION_0'), p as (select series, date, value - lag(value) over {W} as y from panel_nation where series <> 'NATION_0'), r as (select series, y, s, s1 from p join t using (date) where y is not null and s is not null and s1 is not null), m as (select series, count(*) as n, corr(y, s) as ys, corr(y, s1) as y1, corr(s, s1) as c from r group by series), q as (select series, n, ys * ys as r0, (ys * ys + y1 * y1 - 2 * ys * y1 * c) / (1 - c * c) as r1 from m) select series, n, round((r1 - r0) * (n - 3) / (1 - r1), 4) as f from q where n > 12")
@@ -190,7 +190,7 @@ def _(spark, d):
     moves = panel.withColumns({"move": F.col("value") - F.lag("value").over(w), "next": F.lead("value").over(w) - F.col("value")})
     shock = moves.filter(one).select("date", F.col("move").alias("s"), F.col("next").alias("s1"))
     rows = moves.filter(~one).select("series", "date", F.col("move").alias("y")).join(shock, "date").filter("y is not null and s is not null and s1 is not null")
-    m = rows.groupBy("series").agg(F.count("*").alias("n"), F.corr("y", "s").alias("ys"), F.corr("y", "s1").alias("y1"), F.corr("s", "s1").alias("c")).filter("n > 12")
+    m = rows.groupBy("series").agg(F.count("*").alias("n"), corr("y", "s").alias("ys"), corr("y", "s1").alias("y1"), corr("s", "s1").alias("c")).filter("n > 12")
     return m.selectExpr("series", "n", "ys * ys as r0", "(ys * ys + y1 * y1 - 2 * ys * y1 * c) / (1 - c * c) as r1").select("series", "n", F.round(F.expr("(r1 - r0) * (n - 3) / (1 - r1)"), 4).alias("f"))
 
 
@@ -229,10 +229,10 @@ def _(spark, d):
     return both.select("series", F.size("s0").alias("n_strict"), F.size("s1").alias("n_loose"), F.round(F.try_divide(F.size(F.array_intersect("s0", "s1")), F.size(F.array_union("s0", "s1"))), 6).alias("jaccard"))
 
 
-@query("exog_sensitivity", f"{N}, b as (select date, max(case when series = 'NATION_0' then value end) as x, max(case when series = 'NATION_1' then value end) as y from panel_nation group by date), c as (select series as control, count(*) as n, corr(x, y) as xy, corr(x, value) as xc, corr(y, value) as yc from panel_nation join b using (date) where series not in ('NATION_0', 'NATION_1') group by series), z as (select *, (xy - xc * yc) / sqrt((1 - xc * xc) * (1 - yc * yc)) as r from c where n >= 50) select control, n, round(xy, 5) as plain, round(r, 5) as controlled, round({normal_p_sql('(r * sqrt((n - 3) / (1 - r * r)))')}, 5) as p from z")
+@query("exog_sensitivity", f"{N}, b as (select date, max(case when series = 'NATION_0' then value end) as x, max(case when series = 'NATION_1' then value end) as y from panel_nation where series in ('NATION_0', 'NATION_1') group by date), c as (select series as control, count(*) as n, corr(x, y) as xy, corr(x, value) as xc, corr(y, value) as yc from panel_nation join b using (date) where series not in ('NATION_0', 'NATION_1') group by series), z as (select *, (xy - xc * yc) / sqrt(nullif((1 - xc * xc) * (1 - yc * yc), 0)) as r from c where n >= 50 and isfinite(xy) and isfinite(xc) and isfinite(yc)) select control, n, round(xy, 5) as plain, round(r, 5) as controlled, round({normal_p_sql('(r * sqrt((n - 3) / (1 - r * r)))')}, 5) as p from z")
 def _(spark, d):
     panel = panel_nation(spark, d)
     base = panel.filter("series in ('NATION_0', 'NATION_1')").groupBy("date").agg(F.max(F.when(F.col("series") == "NATION_0", F.col("value"))).alias("x"), F.max(F.when(F.col("series") == "NATION_1", F.col("value"))).alias("y"))
-    c = panel.filter("series not in ('NATION_0', 'NATION_1')").join(base, "date").groupBy(F.col("series").alias("control")).agg(F.count("*").alias("n"), F.corr("x", "y").alias("xy"), F.corr("x", "value").alias("xc"), F.corr("y", "value").alias("yc")).filter("n >= 50")
-    c = c.withColumn("r", F.expr("(xy - xc * yc) / sqrt((1 - xc * xc) * (1 - yc * yc))"))
+    c = panel.filter("series not in ('NATION_0', 'NATION_1')").join(base, "date").groupBy(F.col("series").alias("control")).agg(F.count("*").alias("n"), corr("x", "y").alias("xy"), corr("x", "value").alias("xc"), corr("y", "value").alias("yc")).filter("n >= 50 and xy is not null and xc is not null and yc is not null")
+    c = c.withColumn("r", F.expr("(xy - xc * yc) / sqrt(nullif((1 - xc * xc) * (1 - yc * yc), 0))"))
     return c.select("control", "n", F.round("xy", 5).alias("plain"), F.round("r", 5).alias("controlled"), F.round(normal_p(F.col("r") * F.sqrt((F.col("n") - 3) / (1 - F.col("r") * F.col("r")))), 5).alias("p"))

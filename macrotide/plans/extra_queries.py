@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import rounded
+from macrotide.functions.columns import corr, rounded
 from macrotide.operators import calendar, denton, regression
 from macrotide.plans.registry import query
 from macrotide.plans.regression_queries import _hac_sql
@@ -97,7 +97,7 @@ def _(spark, d):
     wide = moves.filter(~one).withColumns({f"{x}{k}": F.lag(x, k).over(w) if k else F.col(x) for x in ("diff", "value") for k in (0, 1, 2)})
     tags = [F.struct(F.lit("diff" if x == "diff" else "level").alias("transform"), F.lit(k).alias("lag"), F.col(f"{x}{k}").alias("z")) for x in ("diff", "value") for k in (0, 1, 2)]
     rows = wide.select(F.col("series").alias("candidate"), "date", F.explode(F.array(*tags)).alias("x")).select("candidate", "date", "x.*").join(t, "date").filter("z is not null and d is not null and d1 is not null")
-    s = rows.groupBy("candidate", "transform", "lag").agg(F.count("*").alias("n"), F.regr_r2("d", "z").alias("r2"), F.abs(F.corr("d1", "z")).alias("lead_corr"))
+    s = rows.groupBy("candidate", "transform", "lag").agg(F.count("*").alias("n"), F.regr_r2("d", "z").alias("r2"), F.abs(corr("d1", "z")).alias("lead_corr"))
     s = s.withColumns({"f": F.col("r2") * (F.col("n") - 2) / F.when(F.col("r2") != 1, 1 - F.col("r2")), "score": F.col("r2") - 0.5 * F.col("lead_corr") * F.col("lead_corr")})
     s = s.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "candidate", "transform", "lag"))).filter("place <= 20")  # one row for each screen
     return s.select("candidate", "transform", "lag", "n", F.round("f", 4).alias("f"), *rounded("r2", "lead_corr", "score"), "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import clip, rounded, safe_ln, yeo_johnson, yeo_johnson_inverse
+from macrotide.functions.columns import clip, corr, rounded, safe_ln, yeo_johnson, yeo_johnson_inverse
 from macrotide.operators import calendar, cleaning
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_D, PANEL_GAPS, PANEL_M, PANEL_NATION, panel_d, panel_gaps, panel_m, panel_nation
@@ -363,7 +363,7 @@ def _(spark, d):
 def _(spark, d):
     panel = panel_nation(spark, d)
     a, b = panel.toDF("left_series", "date", "x"), panel.toDF("right_series", "date", "y")
-    return a.join(b, "date").filter("left_series < right_series").groupBy("left_series", "right_series").agg(F.count("*").alias("n"), F.round(F.corr("x", "y"), 6).alias("correlation")).filter("n >= 24")
+    return a.join(b, "date").filter("left_series < right_series").groupBy("left_series", "right_series").agg(F.count("*").alias("n"), F.round(corr("x", "y"), 6).alias("correlation")).filter("n >= 24")
 
 
 @query("select_controls", f"""{N}, t as (select date, value as t from panel_nation where series = 'NATION_0'), s as (select series, var_samp(value) as v, abs(corr(value, t)) as c from panel_nation join t using (date) where series <> 'NATION_0' group by series),
@@ -371,7 +371,7 @@ k as (select *, row_number() over (order by c desc, series) as place from s) sel
 def _(spark, d):
     panel = panel_nation(spark, d)
     target = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("t"))
-    stats = panel.filter("series <> 'NATION_0'").join(target, "date").groupBy("series").agg(F.var_samp("value").alias("variance"), F.abs(F.corr("value", "t")).alias("abs_corr"))
+    stats = panel.filter("series <> 'NATION_0'").join(target, "date").groupBy("series").agg(F.var_samp("value").alias("variance"), F.abs(corr("value", "t")).alias("abs_corr"))
     # one row for each candidate control
     placed = stats.withColumn("place", F.row_number().over(Window.orderBy(F.desc("abs_corr"), "series"))).filter("place <= 8")
     return placed.select("series", *rounded("variance", "abs_corr"), "place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import rounded
+from macrotide.functions.columns import corr, rounded
 from macrotide.operators import calendar, events, inference, regression
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_M, PANEL_NATION, normal_p_sql, panel_m, panel_nation
@@ -80,14 +80,14 @@ def _(spark, d):
     return moments.select("series", "n", *rounded(*names, digits=5), F.round(regression.two_slopes("a", "b", "y")[0], 6).alias("slope_a"))
 
 
-@query("partial_corr", f"""with {PANEL_NATION}, b as (select date, max(case when series = 'NATION_0' then value end) as t, max(case when series = 'NATION_1' then value end) as y from panel_nation group by date),
+@query("partial_corr", f"""with {PANEL_NATION}, b as (select date, max(case when series = 'NATION_0' then value end) as t, max(case when series = 'NATION_1' then value end) as y from panel_nation where series in ('NATION_0', 'NATION_1') group by date),
 c as (select series, count(*) as n, corr(value, t) as wt, corr(value, y) as wy, corr(t, y) as ty from panel_nation join b using (date) where series not in ('NATION_0', 'NATION_1') group by series)
-select series, round(wt, 6) as corr_wt, round((wy - wt * ty) / sqrt((1 - wt * wt) * (1 - ty * ty)), 6) as partial_wy_t, round(abs(wt) * abs((wy - wt * ty) / sqrt((1 - wt * wt) * (1 - ty * ty))), 6) as suspicion from c where n >= 24""")
+select series, round(wt, 6) as corr_wt, round((wy - wt * ty) / sqrt(nullif((1 - wt * wt) * (1 - ty * ty), 0)), 6) as partial_wy_t, round(abs(wt) * abs((wy - wt * ty) / sqrt(nullif((1 - wt * wt) * (1 - ty * ty), 0))), 6) as suspicion from c where n >= 24 and isfinite(wt) and isfinite(wy) and isfinite(ty)""")
 def _(spark, d):
     panel = panel_nation(spark, d)
     base = panel.filter("series in ('NATION_0', 'NATION_1')").groupBy("date").agg(F.max(F.when(F.col("series") == "NATION_0", F.col("value"))).alias("t"), F.max(F.when(F.col("series") == "NATION_1", F.col("value"))).alias("y"))
-    c = panel.filter("series not in ('NATION_0', 'NATION_1')").join(base, "date").groupBy("series").agg(F.count("*").alias("n"), F.corr("value", "t").alias("wt"), F.corr("value", "y").alias("wy"), F.corr("t", "y").alias("ty")).filter("n >= 24")
-    partial = F.expr("(wy - wt * ty) / sqrt((1 - wt * wt) * (1 - ty * ty))")
+    c = panel.filter("series not in ('NATION_0', 'NATION_1')").join(base, "date").groupBy("series").agg(F.count("*").alias("n"), corr("value", "t").alias("wt"), corr("value", "y").alias("wy"), corr("t", "y").alias("ty")).filter("n >= 24 and wt is not null and wy is not null and ty is not null")
+    partial = F.expr("(wy - wt * ty) / sqrt(nullif((1 - wt * wt) * (1 - ty * ty), 0))")
     return c.select("series", F.round("wt", 6).alias("corr_wt"), F.round(partial, 6).alias("partial_wy_t"), F.round(F.abs("wt") * F.abs(partial), 6).alias("suspicion"))
 
 
@@ -123,7 +123,7 @@ select count(*) as n, round(corr(a, b + c), 6) as correlation, round(avg(abs(a -
 def _(spark, d):
     wide = panel_m(spark, d).groupBy("date").agg(F.sum("value").alias("a"), F.sum(F.when(F.col("series") < "3", F.col("value")).otherwise(0.0)).alias("b"), F.sum(F.when(F.col("series") >= "3", F.col("value") * 1.001).otherwise(0.0)).alias("c"))
     gap, parts = F.abs(F.col("a") - F.col("b") - F.col("c")), F.col("b") + F.col("c")
-    return wide.agg(F.count("*").alias("n"), F.round(F.corr("a", parts), 6).alias("correlation"), F.round(F.avg(gap), 6).alias("mean_abs"), F.round(F.max(gap), 6).alias("max_abs"), F.round(F.try_divide(F.stddev_samp("a"), F.stddev_samp(parts)), 6).alias("sd_ratio"), F.when(F.corr("a", parts) < 0.99, "warn").otherwise("ok").alias("status"))
+    return wide.agg(F.count("*").alias("n"), F.round(corr("a", parts), 6).alias("correlation"), F.round(F.avg(gap), 6).alias("mean_abs"), F.round(F.max(gap), 6).alias("max_abs"), F.round(F.try_divide(F.stddev_samp("a"), F.stddev_samp(parts)), 6).alias("sd_ratio"), F.when(corr("a", parts) < 0.99, "warn").otherwise("ok").alias("status"))
 
 
 @query("lp_iv_2sls", f"""with {PANEL_NATION}, z as (select date, value as z from panel_nation where series = 'NATION_5'), t as (select date, value as t from panel_nation where series = 'NATION_0'),
@@ -143,10 +143,10 @@ def _(spark, d):
 r as (select p.series, fold, value as y, d, z, w from panel_nation p join i using (date) where p.series not in ('NATION_0', 'NATION_5', 'NATION_6') and d is not null and z is not null and w is not null),
 k as (select series, fold, count(*) n, sum(w) sw, sum(w * w) sww, sum(y) sy, sum(d) sd, sum(z) sz, sum(w * y) swy, sum(w * d) swd, sum(w * z) swz from r group by all),
 t as (select series, sum(n) n, sum(sw) sw, sum(sww) sww, sum(sy) sy, sum(sd) sd, sum(sz) sz, sum(swy) swy, sum(swd) swd, sum(swz) swz from k group by series),
-o as (select k.series, k.fold, t.n - k.n as n, t.sw - k.sw as sw, t.sww - k.sww as sww, t.sy - k.sy as sy, t.sd - k.sd as sd, t.sz - k.sz as sz, t.swy - k.swy as swy, t.swd - k.swd as swd, t.swz - k.swz as swz from k join t using (series)),
-b as (select *, n * sww - sw * sw as det from o),
+o as (select k.series, k.fold, nullif(t.n - k.n, 0) as n, t.sw - k.sw as sw, t.sww - k.sww as sww, t.sy - k.sy as sy, t.sd - k.sd as sd, t.sz - k.sz as sz, t.swy - k.swy as swy, t.swd - k.swd as swd, t.swz - k.swz as swz from k join t using (series)),
+b as (select *, nullif(n * sww - sw * sw, 0) as det from o),
 e as (select r.series, y - sy / n - (n * swy - sw * sy) / det * (w - sw / n) as y, d - sd / n - (n * swd - sw * sd) / det * (w - sw / n) as d, z - sz / n - (n * swz - sw * sz) / det * (w - sw / n) as z from r join b using (series, fold)),
-th as (select series, count(*) as n, sum(z * y) / nullif(sum(z * d), 0) as theta, abs(sum(z * d)) as den from e group by series)
+th as (select series, count(*) as n, sum(z * y) / nullif(sum(z * d), 0) as theta, nullif(abs(sum(z * d)), 0) as den from e group by series)
 select series, any_value(th.n) as n, round(any_value(theta), 3) as theta, round(sqrt(sum(pow(z * (y - theta * d), 2))) / any_value(den), 3) as se from e join th using (series) group by series""")
 def _(spark, d):
     panel = panel_nation(spark, d)
@@ -158,10 +158,10 @@ def _(spark, d):
     sums = {"n": F.count("*"), "sw": F.sum(w), "sww": F.sum(w * w), **{f"s{c}": F.sum(c) for c in "ydz"}, **{f"sw{c}": F.sum(w * F.col(c)) for c in "ydz"}}
     folds = rows.groupBy("series", "fold").agg(*[v.alias(k) for k, v in sums.items()])
     whole = Window.partitionBy("series")
-    others = folds.select("series", "fold", *[(F.sum(k).over(whole) - F.col(k)).alias(k) for k in sums]).withColumn("det", F.expr("n * sww - sw * sw"))
+    others = folds.select("series", "fold", *[(F.sum(k).over(whole) - F.col(k)).alias(k) for k in sums]).withColumn("n", F.expr("nullif(n, 0)")).withColumn("det", F.expr("nullif(n * sww - sw * sw, 0)"))
     clear = {f"r{c}": F.expr(f"{c} - s{c} / n - (n * sw{c} - sw * s{c}) / det * (w - sw / n)") for c in "ydz"}
     cleared = rows.join(others, ["series", "fold"]).select("series", *[v.alias(k) for k, v in clear.items()])
-    theta = cleared.groupBy("series").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.expr("rz * ry")), F.sum(F.expr("rz * rd"))).alias("theta"), F.abs(F.sum(F.expr("rz * rd"))).alias("den"))
+    theta = cleared.groupBy("series").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.expr("rz * ry")), F.sum(F.expr("rz * rd"))).alias("theta"), F.nullif(F.abs(F.sum(F.expr("rz * rd"))), F.lit(0.0)).alias("den"))
     return cleared.join(theta, "series").groupBy("series").agg(F.first("n").alias("n"), F.round(F.first("theta"), 3).alias("theta"), F.round(F.sqrt(F.sum(F.expr("pow(rz * (ry - theta * rd), 2)"))) / F.first("den"), 3).alias("se"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import rounded
+from macrotide.functions.columns import corr, rounded
 from macrotide.operators import inference
 from macrotide.plans.registry import query
 from macrotide.sources.panels import RESULTS, results
@@ -76,7 +76,7 @@ def _(spark, d):
     both = _both(results(spark, d))
     delta = F.abs(F.col("lp") - F.col("dml"))
     return both.groupingSets([[], ["treatment"], ["outcome"]], "treatment", "outcome").agg(
-        F.count("*").alias("n"), F.round(F.avg((F.signum("lp") == F.signum("dml")).cast("int")), 6).alias("sign_agreement"), F.when(F.count("*") >= 3, F.round(F.corr("lp", "dml"), 6)).alias("correlation"), F.round(F.avg(delta), 6).alias("mean_delta"),
+        F.count("*").alias("n"), F.round(F.avg((F.signum("lp") == F.signum("dml")).cast("int")), 6).alias("sign_agreement"), F.when(F.count("*") >= 3, F.round(corr("lp", "dml"), 6)).alias("correlation"), F.round(F.avg(delta), 6).alias("mean_delta"),
         F.round(F.percentile(delta, F.lit(0.5)), 6).alias("median_delta"), F.round(F.avg((F.col("p_lp") < 0.1).cast("int")), 6).alias("share_lp"), F.round(F.avg((F.col("p_dml") < 0.1).cast("int")), 6).alias("share_dml"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import rounded
+from macrotide.functions.columns import corr, rounded
 from macrotide.operators import screening
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_NATION, normal_p_sql, panel_nation
@@ -23,7 +23,7 @@ def _windows(spark, d):
 WINDOWS = f"""with {PANEL_NATION}, pr as (select t.series as target, c.series as candidate, t.date, t.value as y, c.value as x from panel_nation t join panel_nation c on t.date = c.date and t.series <> c.series where t.series in {TARGETS}),
 sm as (select *, count(*) over w as n, sum(x) over w as sx, sum(y) over w as sy, sum(x * x) over w as sxx, sum(y * y) over w as syy, sum(x * y) over w as sxy from pr window w as (partition by target, candidate order by date rows between {WIDTH - 1} preceding and current row)),
 rb as (select target, candidate, date, (n * sxy - sx * sy) / nullif(sqrt(greatest((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 0) as r, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as beta from sm where n = {WIDTH}),
-zz as (select *, r * sqrt({WIDTH - 2} / (1 - r * r)) as z from rb),
+zz as (select *, r * sqrt({WIDTH - 2} / nullif(1 - r * r, 0)) as z from rb),
 win as (select *, {normal_p_sql('z')} as p, row_number() over (partition by target, candidate order by date) as i from zz)"""
 SCORE = """(share * strength * tanh(median_beta) * n / (n + 12))"""
 
@@ -83,7 +83,7 @@ def _(spark, d):
     halves = _windows(spark, d).withColumn("half", F.ntile(2).over(Window.partitionBy("target", "candidate").orderBy("date")))
     scores = screening.directional_score(halves, ["target", "candidate", "half"])
     both = scores.groupBy("target", "candidate").agg(F.max(F.when(F.col("half") == 1, F.col("score"))).alias("early"), F.max(F.when(F.col("half") == 2, F.col("score"))).alias("late")).filter("early is not null and late is not null")
-    return both.groupBy("target").agg(F.count("*").alias("n"), F.round(F.corr("early", "late"), 4).alias("correlation"), F.round(F.avg(F.abs(F.col("early") - F.col("late"))), 5).alias("mean_gap"))
+    return both.groupBy("target").agg(F.count("*").alias("n"), F.round(corr("early", "late"), 4).alias("correlation"), F.round(F.avg(F.abs(F.col("early") - F.col("late"))), 5).alias("mean_gap"))
 
 
 @query("directionality_gap", f"{WINDOWS} select a.target, a.candidate, round(avg((a.p < 0.1)::int) - avg((b.p < 0.1)::int), 5) as gap, count(*) as n from win a join win b on a.target = b.candidate and a.candidate = b.target and b.i = a.i - 1 group by all")
@@ -101,14 +101,14 @@ def _(spark, d):
     return screening.directional_score(shifted, ["target", "candidate", "k"]).select("target", "candidate", "k", "n", *rounded("score", digits=5))
 
 
-@query("placebo_sign_flip", f"{WINDOWS}, dr as (select win.*, d.draw, case when ('0x' || substr(md5(target || '|' || candidate || '|' || i || '|' || d.draw), 1, 4))::bigint % 2 = 0 then 1 else -1 end as flip from win, (select unnest(range(1, 21)) as draw) d), m as (select target, candidate, draw, abs(avg(r * flip)) as null_score from dr group by all), o as (select target, candidate, abs(avg(r)) as observed from win group by all) select target, candidate, round(any_value(observed), 5) as observed, round((1 + sum((null_score >= observed)::int)) / (1 + count(*)), 5) as empirical_p from m join o using (target, candidate) group by all")
+@query("placebo_sign_flip", f"{WINDOWS}, dr as (select win.*, d.draw, case when ('0x' || substr(md5(target || '|' || candidate || '|' || i || '|' || d.draw), 1, 4))::bigint % 2 = 0 then 1 else -1 end as flip from win, (select unnest(range(1, 21)) as draw) d), m as (select target, candidate, draw, abs(avg(r * flip)) as null_score from dr group by all), o as (select target, candidate, abs(avg(r)) as observed from win group by all) select target, candidate, round(any_value(observed), 5) as observed, round((1 + sum((null_score >= observed - 1e-9)::int)) / (1 + count(*)), 5) as empirical_p from m join o using (target, candidate) group by all")
 def _(spark, d):
     windows = _windows(spark, d)
     draws = windows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20))))
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", "target", "candidate", "i", "draw")), 1, 4), 16, 10).cast("long")
     null = draws.groupBy("target", "candidate", "draw").agg(F.abs(F.avg(F.col("r") * F.when(bits % 2 == 0, 1).otherwise(-1))).alias("null_score"))
     observed = windows.groupBy("target", "candidate").agg(F.abs(F.avg("r")).alias("observed"))
-    return null.join(observed, ["target", "candidate"]).groupBy("target", "candidate").agg(F.round(F.first("observed"), 5).alias("observed"), F.round((1 + F.sum((F.col("null_score") >= F.col("observed")).cast("int"))) / (1 + F.count("*")), 5).alias("empirical_p"))
+    return null.join(observed, ["target", "candidate"]).groupBy("target", "candidate").agg(F.round(F.first("observed"), 5).alias("observed"), F.round((1 + F.sum((F.col("null_score") >= F.col("observed") - 1e-9).cast("int"))) / (1 + F.count("*")), 5).alias("empirical_p"))
 
 
 @query("score_block_bootstrap", f"{WINDOWS}, n_ as (select target, candidate, count(*) as n from win group by all), b as (select win.target, win.candidate, d.draw, ((d.draw * 1103515245 + ((win.i - 1) // 7) * 12345) % 2147483648) % (n - 6) + (win.i - 1) % 7 + 1 as j from win join n_ using (target, candidate), (select unnest(range(1, 11)) as draw) d where n > 7), rs as (select b.target, b.candidate, b.draw, w.r, w.p, w.beta from b join win w on w.target = b.target and w.candidate = b.candidate and w.i = b.j), {_score_sql('rs', 'target, candidate, draw')} select target, candidate, count(*) as draws, round(quantile_cont(score, 0.05), 5) as q05, round(quantile_cont(score, 0.95), 5) as q95 from sc group by all")
@@ -127,14 +127,14 @@ def _(spark, d):
     t = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("t"))
     w = Window.partitionBy("candidate").orderBy("date")
     rows = panel.filter("series <> 'NATION_0'").select(F.col("series").alias("candidate"), "date", F.col("value").alias("c")).join(t, "date").withColumns({"t1": F.lead("t", 1).over(w), "t2": F.lead("t", 2).over(w)})
-    s = rows.groupBy("candidate").agg(F.count("*").alias("n"), F.abs(F.corr("c", "t")).alias("similarity"), F.greatest(F.abs(F.corr("c", "t1")), F.abs(F.corr("c", "t2"))).alias("lead_corr"))
+    s = rows.groupBy("candidate").agg(F.count("*").alias("n"), F.abs(corr("c", "t")).alias("similarity"), F.greatest(F.abs(corr("c", "t1")), F.abs(corr("c", "t2"))).alias("lead_corr"))
     s = s.withColumn("score", 0.65 * (1 - F.col("similarity")) + 0.35 * (1 - F.col("lead_corr")))
     s = s.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 8)), "candidate")))  # one row for each candidate
     reasons = F.concat_ws(";", F.when(F.col("similarity") > 0.2, "similar"), F.when(F.col("lead_corr") > 0.2, "leads"))
     return s.select("candidate", "n", *rounded("similarity", "lead_corr", "score", digits=5), "place", reasons.alias("reasons"))
 
 
-@query("block_permutation_test", f"with {PANEL_NATION}, t as (select date, value as t from panel_nation where series = 'NATION_0'), r as (select p.series, p.value as y, t, row_number() over (partition by p.series order by p.date) - 1 as i from panel_nation p join t using (date) where p.series <> 'NATION_0'), b as (select distinct series, i // 6 as b from r), o as (select series, draw, b, row_number() over (partition by series, draw order by md5(series || '|' || draw || '|' || b), b) - 1 as place from b, (select unnest(range(1, 30)) as draw)), q as (select r.series, o.draw, r.t, row_number() over (partition by r.series, o.draw order by o.place, r.i) - 1 as i from r join o on o.series = r.series and o.b = r.i // 6), n as (select q.series, draw, abs(corr(q.t, r.y)) as null_corr from q join r using (series, i) group by all), s as (select series, abs(corr(t, y)) as observed from r group by series) select series, round(any_value(observed), 5) as observed, round((1 + sum((null_corr >= observed)::int)) / (1 + count(*)), 5) as permutation_p from n join s using (series) group by series")
+@query("block_permutation_test", f"with {PANEL_NATION}, t as (select date, value as t from panel_nation where series = 'NATION_0'), r as (select p.series, p.value as y, t, row_number() over (partition by p.series order by p.date) - 1 as i from panel_nation p join t using (date) where p.series <> 'NATION_0'), b as (select distinct series, i // 6 as b from r), o as (select series, draw, b, row_number() over (partition by series, draw order by md5(series || '|' || draw || '|' || b), b) - 1 as place from b, (select unnest(range(1, 30)) as draw)), q as (select r.series, o.draw, r.t, row_number() over (partition by r.series, o.draw order by o.place, r.i) - 1 as i from r join o on o.series = r.series and o.b = r.i // 6), n as (select q.series, draw, abs(corr(q.t, r.y)) as null_corr from q join r using (series, i) group by all), s as (select series, abs(corr(t, y)) as observed from r group by series) select series, round(any_value(observed), 5) as observed, round((1 + sum((null_corr >= observed - 1e-9)::int)) / (1 + count(*)), 5) as permutation_p from n join s using (series) group by series")
 def _(spark, d):
     panel = panel_nation(spark, d)
     t = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("t"))
@@ -143,6 +143,6 @@ def _(spark, d):
     order = Window.partitionBy("series", "draw").orderBy(F.md5(F.concat_ws("|", "series", "draw", "b")), "b")
     blocks = rows.select("series", "b").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(29)))).withColumn("at", F.row_number().over(order))
     moved = rows.join(blocks, ["series", "b"]).select("series", "draw", "t", (F.row_number().over(Window.partitionBy("series", "draw").orderBy("at", "i")) - 1).cast("long").alias("i"))
-    null = moved.join(rows.select("series", "i", "y"), ["series", "i"]).groupBy("series", "draw").agg(F.abs(F.corr("t", "y")).alias("null_corr"))
-    observed = rows.groupBy("series").agg(F.abs(F.corr("t", "y")).alias("observed"))
-    return null.join(observed, "series").groupBy("series").agg(F.round(F.first("observed"), 5).alias("observed"), F.round((1 + F.sum((F.col("null_corr") >= F.col("observed")).cast("int"))) / (1 + F.count("*")), 5).alias("permutation_p"))
+    null = moved.join(rows.select("series", "i", "y"), ["series", "i"]).groupBy("series", "draw").agg(F.abs(corr("t", "y")).alias("null_corr"))
+    observed = rows.groupBy("series").agg(F.abs(corr("t", "y")).alias("observed"))
+    return null.join(observed, "series").groupBy("series").agg(F.round(F.first("observed"), 5).alias("observed"), F.round((1 + F.sum((F.col("null_corr") >= F.col("observed") - 1e-9).cast("int"))) / (1 + F.count("*")), 5).alias("permutation_p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import rounded
+from macrotide.functions.columns import corr, rounded
 from macrotide.operators import calendar, inference, ledgers
 from macrotide.plans.registry import query
 from macrotide.sources.panels import LEDGER_RAW, PANEL_GAPS, PANEL_M, RESULTS, ledger_raw, panel_gaps, panel_m, results, table
@@ -109,7 +109,7 @@ def _(spark, d):
     a = panel_m(spark, d).withColumnRenamed("value", "x")
     b = panel_gaps(spark, d).filter(F.month("date") != 5).withColumnRenamed("value", "y")
     gap = F.col("x") - F.col("y")
-    return a.join(b, ["series", "date"], "full").groupBy("series").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("unmatched"), F.round(F.max(F.abs(gap)), 6).alias("max_abs"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"), F.round(F.avg(F.try_divide(F.abs(gap), F.abs("x"))), 6).alias("mean_rel"), F.round(F.corr("x", "y"), 6).alias("correlation"))
+    return a.join(b, ["series", "date"], "full").groupBy("series").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("unmatched"), F.round(F.max(F.abs(gap)), 6).alias("max_abs"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"), F.round(F.avg(F.try_divide(F.abs(gap), F.abs("x"))), 6).alias("mean_rel"), F.round(corr("x", "y"), 6).alias("correlation"))
 
 
 @query("generated_series", f"with {PANEL_M}, w as (select date, max(case when series = '1-URGENT' then value end) as a, max(case when series = '2-HIGH' then value end) as b from panel_m group by date) select date, round(a - b, 6) as gap, round((a + b) / nullif(a - b, 0), 4) as ratio, round(a + b, 6) as total from w")
