@@ -103,3 +103,15 @@ def test_broken_markup_does_not_fail():
     bits = ["<p", "<div class='a", ">", "</p>", "<!--", "-->", "<script>", "</", "text & &am &#x41;", "<article>", "\"", "'", "<br/>", "<![CDATA[", "]]>"]
     for _ in range(300):
         html.Shape(html.parse("".join(rng.choice(bits) for _ in range(40))))
+
+
+def texts_of(spark, rows):
+    return {r.id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_with_names_of_their_own_and_hosts_with_layouts_keep_their_text(spark):
+    said = {i: " ".join(f"word{i * 31 + k}" for k in range(30)) for i in range(36)}
+    rows = [(i, f"http://own.test/{i}", page(f"<nav>home</nav><article id='post-{i}' class='post-{i} slug{i}'><p>{said[i]}</p></article>").replace("<body>", f"<body class='postid-{i} has-sidebar'>")) for i in range(12)]
+    rows += [(i, f"http://two.test/{i}", page(f"<article><p>{said[i]}</p></article>" if i % 3 else f"<div class=content><p>{said[i]}</p></div><div class=low><span>same</span></div>")) for i in range(12, 24)]
+    rows += [(i, None if i % 2 else "no host", page(f"<div class={'content' if i % 3 else 'post'}><p>{said[i]}</p></div>")) for i in range(24, 36)]
+    assert texts_of(spark, rows) == said
