@@ -115,3 +115,12 @@ def test_pages_with_names_of_their_own_and_hosts_with_layouts_keep_their_text(sp
     rows += [(i, f"http://two.test/{i}", page(f"<article><p>{said[i]}</p></article>" if i % 3 else f"<div class=content><p>{said[i]}</p></div><div class=low><span>same</span></div>")) for i in range(12, 24)]
     rows += [(i, None if i % 2 else "no host", page(f"<div class={'content' if i % 3 else 'post'}><p>{said[i]}</p></div>")) for i in range(24, 36)]
     assert texts_of(spark, rows) == said
+
+
+def test_copies_keep_their_text_and_a_repeated_notice_goes(spark):
+    story = "the whole story that all copies share " * 4
+    rows = [(i, f"http://copy.test/{i}", page(f"<nav>menu</nav><article><h1>News</h1><p>{story}</p></article>", f"<script>track({i})</script><div class=ad>buy {i}</div>")) for i in range(5)]
+    said = {i: " ".join(f"word{i * 31 + k}" for k in range(20)) for i in range(10, 16)}
+    rows += [(i, f"http://note.test/{i}", page(f"<div class='with sidebar has-nav'><p>{said[i]}</p>" + f"<p>more of {i}</p>" * (i % 3) + "<p>Read our <b>notice</b>.</p></div>")) for i in said]
+    want = {i: f"News {story.strip()}" for i in range(5)} | {i: " ".join([said[i]] + [f"more of {i}"] * (i % 3)) for i in said}
+    assert texts_of(spark, rows) == want
