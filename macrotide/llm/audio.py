@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from macrotide.llm.store import table
+from macrotide.llm.store import table, written
 
 RATE, PCM_RATE, BLOCK = 8000, 16000, 64
 #: WAVE format tags: A-law, mu-law, IMA ADPCM.
@@ -29,6 +29,8 @@ STEPS = np.array([
 ], np.int32)
 #: Blocks decoded at a time.
 BLOCKS_AT_ONCE = 4096
+#: Payload bytes of one codec that are decoded before their rows are handed on.
+BYTES_AT_ONCE = 1 << 21
 
 
 def mulaw_table() -> np.ndarray:
@@ -182,8 +184,79 @@ def describe_audio(media: DataFrame, to: int = PCM_RATE, keep_pcm: bool = True)
     return media.mapInArrow(run, "id long, n_bytes long, pcm binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, adpcm_tail_feature string")
 
 
+def store_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media): each whole text's bytes, padded, as WAVE files of all codecs in the order of TAGS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x.encode() for x in pc.fill_null(batch.column(1), "").to_pylist()]
+            for part in _parts([len(x) for x in rows]):
+                media = pa.array([[wave(padded(x), codec) for codec in TAGS] for x in rows[part]], pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array([len(x) for x in rows[part]], pa.int64()), media], ["id", "n_bytes", "media"])
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, "id long, n_bytes long, media array<binary>")
+
+
+def _parts(sizes: list[int]) -> Iterator[slice]:
+    """Slices of rows of about BYTES_AT_ONCE each, one row at least."""
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and held + n > BYTES_AT_ONCE:
+            yield slice(at, i)
+            at = i
+            held = 0
+        held += n
+    if at < len(sizes):
+        yield slice(at, len(sizes))
+
+
+def describe_all(media: DataFrame, to: int = PCM_RATE) -> DataFrame:
+    """(id, n_bytes, pcm, features and digests) from ``store_all``: every stored block of every codec is decoded and resampled.
+
+    pcm holds 16-bit little-endian samples in the order of TAGS, feature_<codec> their features.
+    payload_sha256, tail_crc32, media_bytes and media_sha256 are of the mu-law file, and
+    adpcm_tail_feature is of the last ADPCM block, not resampled. Raises if a row's payloads differ.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "adpcm_tail_feature"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    mulaw = list(TAGS).index("mulaw")
+
+    def described(stored: list[list[bytes]]) -> tuple[list, list, list]:
+        read = [[read_wave(m) for m in row] for row in stored]
+        payloads = [row[mulaw][2] for row in read]
+        if any(payload != p for row, p in zip(read, payloads) for _, _, payload in row):
+            raise ValueError("payloads of a row differ")
+        # ADPCM blocks of all rows are decoded together: a short row alone would cost as many steps as a long one.
+        ima = next(i for i, c in enumerate(TAGS) if c == "ima_adpcm")
+        blocks = np.frombuffer(b"".join(row[ima][2] for row in read), np.uint8).reshape(-1, BLOCK)
+        decoded = np.concatenate([decode_ima(blocks[i : i + BLOCKS_AT_ONCE]) for i in range(0, len(blocks), BLOCKS_AT_ONCE)])
+        ends = np.cumsum([len(p) // BLOCK for p in payloads])
+        pcm, found, rows = [], [], []
+        for m, row, payload, end in zip(stored, read, payloads, ends):
+            sound = []
+            for codec, rate, raw in row:
+                samples = decoded[end - len(raw) // BLOCK : end].ravel() if codec == "ima_adpcm" else expand(np.frombuffer(raw, np.uint8), codec)
+                sound.append(resample(samples, rate, to))
+            pcm.append([x.astype("<i2").tobytes() for x in sound])
+            found.append([features(x) for x in sound])
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(m[mulaw]), hashlib.sha256(m[mulaw]).hexdigest(), features(decoded[end - 1])))
+        return pcm, found, rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch.column(1).to_pylist()):
+                pcm, found, rows = described(batch.column(2)[part].to_pylist())
+                columns = [pa.array(pcm, pa.list_(pa.binary())), *[pa.array(x, pa.string()) for x in zip(*found)], *[pa.array(x, t) for x, t in zip(zip(*rows), types)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], *columns], ["id", "n_bytes", "pcm", *[f"feature_{c}" for c in TAGS], *names])
+
+    kinds = ["long", "string", "long", "long", "string", "string"]
+    return media.mapInArrow(run, "id long, n_bytes long, pcm array<binary>, " + ", ".join([f"feature_{c} string" for c in TAGS] + [f"{n} {k}" for n, k in zip(names, kinds)]))
+
+
 def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as mu-law samples, read back, expanded and resampled; the last stored block is also decoded as ADPCM."""
-    stored = store_audio(table(spark, sf_dir, "documents"))
-    out = describe_audio(stored, keep_pcm=False)
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "adpcm_tail_feature")
+    """Texts as mu-law, A-law and ADPCM media, stored and read back; all of it decoded, resampled and stored as PCM."""
+    stored = written(store_all(table(spark, sf_dir, "documents")), "audio-media")
+    out = written(describe_all(stored), "audio-pcm")
+    same = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    return out.select(F.col("id").alias("doc_id"), *same, F.col("feature_mulaw").alias("feature"), "adpcm_tail_feature", F.col("feature_alaw").alias("alaw_feature"), F.col("feature_ima_adpcm").alias("adpcm_feature"))

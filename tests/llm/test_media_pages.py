@@ -124,3 +124,20 @@ def test_copies_keep_their_text_and_a_repeated_notice_goes(spark):
     rows += [(i, f"http://note.test/{i}", page(f"<div class='with sidebar has-nav'><p>{said[i]}</p>" + f"<p>more of {i}</p>" * (i % 3) + "<p>Read our <b>notice</b>.</p></div>")) for i in said]
     want = {i: f"News {story.strip()}" for i in range(5)} | {i: " ".join([said[i]] + [f"more of {i}"] * (i % 3)) for i in said}
     assert texts_of(spark, rows) == want
+
+
+def test_every_codec_is_stored_and_decoded_whole(spark, tmp_path):
+    rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 5000 + "end"), (5, "x" * 64), (5, "x" * 64), (6, "".join(chr(33 + i * 7 % 90) for i in range(3000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in audio.describe_all(audio.store_all(frame)).collect():
+        payload = audio.padded((dict(rows)[r.id] or "").encode())
+        for pcm, codec in zip(r.pcm, audio.TAGS):
+            want = audio.decode(audio.wave(payload, codec))
+            assert pcm == want.astype("<i2").tobytes() and r[f"feature_{codec}"] == audio.features(want)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(audio.op8_telephony_audio(spark, str(tmp_path)).collect())
+    old = audio.describe_audio(audio.store_audio(frame), keep_pcm=False).drop("pcm").select("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "adpcm_tail_feature")
+    assert [tuple(r)[:9] for r in got] == sorted(tuple(r) for r in old.collect())
+    payload = audio.padded(rows[3][1].encode())
+    assert {r.adpcm_feature for r in got if r.doc_id == 4} == {audio.features(audio.decode(audio.wave(payload, "ima_adpcm")))}
+    assert audio.describe_all(audio.store_all(frame.limit(0))).count() == 0
