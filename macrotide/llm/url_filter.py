@@ -10,8 +10,8 @@ from macrotide.llm.store import table, written
 
 #: (host, path, verdict). A rule fits its host and all subdomains.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Mined rules need this share of all labelled URLs, this confidence and this lift.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 0.002, 0.4, 1.5, 3
+#: Mined rules need so many blocked pages, however large the table, this confidence and this lift.
+MIN_PAGES, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 20, 0.4, 1.5, 3
 BLOCK = "label=block"
 
 
@@ -25,6 +25,11 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def url_document(path: Column) -> Column:
+    """The number of the document that a page shows: its path is /language/number, maybe with ``/`` or an ending; else null."""
+    return F.regexp_extract(path, r"^/[^/]+/(\d{1,18})(?:/|\.\w+)?$", 1).try_cast("long")
+
+
 def url_tokens(host: Column, path: Column, scheme_url: Column) -> Column:
     """Distinct tokens of a URL: host labels, runs of letters inside them, path words, path depth, query or fragment."""
     labels = F.transform(F.filter(F.split(host, r"\."), lambda x: x != ""), lambda x: F.concat(F.lit("host="), x))
@@ -44,16 +49,17 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """(rule_id, tokens, confidence) from (tokens, blocked): token combinations that foretell a block.
 
-    Support prunes inside FP-growth; confidence, lift and length prune after it, and so does a
+    Support, of ``min_pages`` pages, prunes inside FP-growth; confidence, lift and length prune after it, and so does a
     shorter rule that is contained in a longer one and at least as sure. No labels, no rules.
     """
-    baskets = labelled.select(F.concat("tokens", F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    if baskets.limit(1).count() == 0:
+    baskets = written(labelled.select(F.concat("tokens", F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-baskets")
+    n_baskets = baskets.count()
+    if n_baskets < min_pages:
         return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double")
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
+    found = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / n_baskets, minConfidence=min_confidence).fit(baskets).associationRules
     rules = found.filter((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift))
     rules = written(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence"), "url-rules")
     short, long = rules.alias("s"), rules.alias("l")
@@ -70,16 +76,19 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return whole.groupBy("key").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, by_document: bool = False) -> DataFrame:
     """(id, url, host, path, rule, verdict, n_rules, confidence) for every row of ``pages``.
 
     A stated rule that fits decides; else a URL that any mined rule matches is blocked, and any
     other allowed. A null URL, or one without ``://``, has an empty host and path and is allowed.
-    ``labels`` has (id, blocked) for some of the pages; rows that repeat are judged alike.
+    ``labels`` has (id, blocked) for some of the pages, or, ``by_document``, for some of the
+    documents that the URLs number; rows that repeat are judged alike.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(url_tokens(F.col("host"), F.col("path"), F.col("url"))))
-    mined = mine_rules(rows.join(labels.select(F.col("id"), "blocked").dropDuplicates(["id"]), "id").select("tokens", "blocked"))
+    known = labels.select(F.col("id").alias("labelled"), "blocked").dropDuplicates(["labelled"])
+    of = url_document(F.col("path")) if by_document else F.col("id")
+    mined = mine_rules(rows.select(of.alias("of"), "tokens").join(known, F.col("of") == F.col("labelled")).select("tokens", "blocked"))
     urls = rows.select(F.xxhash64("host", "path", "tokens").alias("key"), "tokens").dropDuplicates(["key"])
     matched = match_rules(urls, mined).withColumnRenamed("key", "matched_key")
     rows = rows.withColumn("key", F.xxhash64("host", "path", "tokens")).join(matched, F.col("key") == F.col("matched_key"), "left")
@@ -90,4 +99,4 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")).filter("blocked is not null")
-    return judge_urls(table(spark, sf_dir, "pages"), labels).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "n_rules", "confidence")
+    return judge_urls(table(spark, sf_dir, "pages"), labels, by_document=True).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "n_rules", "confidence")

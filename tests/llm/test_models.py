@@ -147,6 +147,21 @@ def test_mined_url_rules_block(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i, _ in urls)
 
 
+def test_url_rules_learn_from_the_document_that_a_page_shows(spark):
+    # Page i shows document 1000 + i; the labels of documents 0..299 are the opposite of those of the pages' own.
+    urls = [(i, f"http://{'casino-win' if i % 4 == 0 else 'good' + str(i % 3)}.test/en/{1000 + i}{('', '/', '.html', '?a=1', '#top')[i % 5]}") for i in range(300)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(1000 + i, i % 4 == 0) for i in range(0, 300, 2)] + [(i, i % 4 != 0) for i in range(300)], "id long, blocked boolean")
+    got = {r.id: r.verdict for r in url_filter.judge_urls(pages, labels, by_document=True, rules=()).collect()}
+    assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i, _ in urls)
+
+
+def test_support_floor_does_not_rise_with_the_table(spark):
+    rows = [(["host=bad", "depth=3"], True)] * 24 + [(["host=good", "depth=3"], False)] * 20_000
+    rules = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
+    assert ["host=bad"] in [r.tokens for r in rules]
+
+
 def test_chunks_of_texts_are_whole():
     rows = ["a b", None, "", "é" * 700_000, "x" * 700_000, "end"]
     seen = []
