@@ -21,10 +21,10 @@ from macrotide.llm.text import Words, mixed, texts
 
 #: States; words with a symbol of their own; words whose count is in the shared table; word classes.
 STATES, FREQUENT, TABLED, CLASSES = 8, 1 << 15, 1 << 18, 1 << 10
-#: Passes of Baum-Welch over all training text; words of a training sequence; weight of the unigram in each state.
-PASSES, SEQUENCE, SMOOTHING = 4, 1024, 100.0
-#: Documents from which the first states are taken.
-SEEDS = 96
+#: Passes of Baum-Welch over all training text; weight of the unigram in each state.
+PASSES, SMOOTHING = 4, 100.0
+#: Passes that regroup all distinct training texts before the first states are taken from their groups.
+REGROUPINGS = 2
 #: Words in a numpy batch of sequences, and distinct words that a task sums before it hands them on.
 BATCH, HELD = 1 << 20, 1 << 21
 
@@ -196,13 +196,12 @@ class Model:
         return alpha[: active[0]].sum(0, dtype=float), move * self.move, emit
 
 
-def _sequences(column: pa.Array, kind: str, longest: int | None = None) -> Iterator[tuple[slice, list[np.ndarray]]]:
-    """(rows, symbol sequences) of about BATCH symbols; long rows are cut if ``longest`` says so."""
+def _sequences(column: pa.Array, kind: str) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """(rows, symbol sequences) of about BATCH symbols; no row is cut."""
     out, size, at = [], 0, 0
     for i, raw in enumerate(column):
-        s = np.frombuffer(raw.as_buffer(), kind)
-        out += [s[k : k + longest] for k in range(0, len(s), longest)] if longest else [s]
-        size += len(s)
+        out.append(np.frombuffer(raw.as_buffer(), kind))
+        size += len(out[-1])
         if size >= BATCH:
             yield slice(at, i + 1), out
             out, size, at = [], 0, i + 1
@@ -210,47 +209,65 @@ def _sequences(column: pa.Array, kind: str, longest: int | None = None) -> Itera
         yield slice(at, len(column)), out
 
 
-def first_model(coded: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray, states: int, kind: str) -> Model:
-    """States that start from texts as unlike each other as can be, each mixed with the unigram; moves start rare.
+def _noise(symbols: int, states: int) -> np.ndarray:
+    """Fixed numbers in [0, 1) for each symbol and state."""
+    return (mixed(np.arange(symbols * states, dtype=np.uint64)) >> np.uint64(40)).astype(float).reshape(-1, states) / (1 << 24)
 
-    Only this start comes from SEEDS training texts, the ones with the smallest hashes.
+
+def grouped_counts(sequences: list[np.ndarray], gains: np.ndarray) -> np.ndarray:
+    """Symbol counts (symbols, K) of whole texts, each counted in the group whose gains sum to most over its symbols."""
+    lengths = np.array([len(x) for x in sequences])
+    symbol = np.concatenate(sequences).astype(np.int64)
+    group = np.add.reduceat(gains[symbol], np.cumsum(lengths) - lengths, axis=0).argmax(1)
+    size, states = gains.shape
+    return np.bincount(symbol * states + np.repeat(group, lengths), minlength=size * states).reshape(size, states)
+
+
+def first_model(grouped, unigram: np.ndarray, states: int) -> Model:
+    """States that start from groups of all distinct training texts, each mixed with the unigram; moves start rare.
+
+    ``grouped(gains)`` sums ``grouped_counts`` over these texts. They are first dealt by fixed
+    projections of their symbol counts, less those of the unigram, and then regrouped by the
+    group under which a text is likeliest.
     """
-    rows = coded.filter("not held_out").select(F.xxhash64("symbols").alias("h"), F.substring("symbols", 1, 2 * 4096).alias("s")).orderBy("h").limit(SEEDS).collect()
-    seeds = [np.bincount(np.frombuffer(bytes(r.s), kind), minlength=vocabulary.symbols) / max(1, len(r.s) // np.dtype(kind).itemsize) for r in rows if len(r.s) > 64] or [unigram]
-    looks = np.array([np.sqrt(s) for s in seeds])
-    chosen = [int(np.argmax(looks @ np.sqrt(unigram)))]
-    near = looks @ looks[chosen[0]]
-    while len(chosen) < states:
-        chosen.append(int(np.argmin(near)))
-        near = np.maximum(near, looks @ looks[chosen[-1]])
-    emit = np.stack([0.5 * seeds[c] + 0.5 * unigram for c in chosen], 1) * (1 + 0.01 * (mixed(np.arange(vocabulary.symbols * states, dtype=np.uint64)) >> np.uint64(40)).astype(float).reshape(-1, states) / (1 << 24))
+    noise = _noise(len(unigram), states)
+    gains = noise - unigram @ noise
+    for k in range(REGROUPINGS + 1):
+        counts = grouped(gains) + SMOOTHING * unigram[:, None]
+        groups = counts / counts.sum(0)
+        gains = np.log(groups)
+    emit = (0.5 * groups + 0.5 * unigram[:, None]) * (1 + 0.01 * noise)
     move = np.full((states, states), 0.05 / max(1, states - 1))
     np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
     return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES, sequence: int = SEQUENCE, smoothing: float = SMOOTHING) -> Model:
+def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes: int = PASSES, smoothing: float = SMOOTHING) -> Model:
     """Baum-Welch over every training text; Spark sums the expected counts symbol by symbol.
 
-    Texts of more than ``sequence`` symbols are trained on as consecutive sequences. Without
-    training text the model is uniform.
+    Texts are trained on whole, so that starts are counted at their starts only. Copies count
+    once in the first states and each in training. Without training text the model is uniform.
     """
     spark, size = coded.sparkSession, vocabulary.symbols
     kind = "<u2" if size <= 1 << 16 else "<u4"
     learn = coded.filter("not held_out").select("symbols")
+    distinct = written(learn.groupBy(F.xxhash64("symbols").alias("h"), F.length("symbols").alias("n")).agg(F.first("symbols").alias("symbols")).select("symbols"), "distinct-texts")
     columns = [f"c{k}" for k in range(states)]
 
-    def counts(model: Model | None) -> dict[int, np.ndarray]:
-        shared = spark.sparkContext.broadcast(model and Model(model.start.astype("f4"), model.move.astype("f4"), model.emit.astype("f4")))
+    def counts(model: Model | np.ndarray | None, over: DataFrame = learn) -> dict[int, np.ndarray]:
+        shared = spark.sparkContext.broadcast(model.astype("f4") if isinstance(model, np.ndarray) else model and Model(model.start.astype("f4"), model.move.astype("f4"), model.emit.astype("f4")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shared.value
             emit, rest = np.zeros((size, states)), np.zeros((states + 1, states))
             for batch in batches:
-                for _, found in _sequences(batch.column(0), kind, sequence):
+                for _, found in _sequences(batch.column(0), kind):
                     if m is None:
                         emit[:, 0] += np.bincount(np.concatenate(found), minlength=size)
                         continue
+                    if isinstance(m, np.ndarray):
+                        emit += grouped_counts(found, m)
+                        continue
                     start, move, own = m.expected(found)
                     emit += own
                     rest[0] += start
@@ -260,7 +277,7 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes
             values = np.concatenate([emit[used], rest])
             yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(values[:, k]) for k in range(states)]], ["key", *columns])
 
-        summed = learn.mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*[F.sum(c).alias(c) for c in columns])
+        summed = over.mapInArrow(run, "key long, " + ", ".join(f"{c} double" for c in columns)).groupBy("key").agg(*[F.sum(c).alias(c) for c in columns])
         got = summed.toArrow()  # one row for each symbol and state: fixed by parameters
         shared.unpersist()
         values = np.stack([got.column(c).to_numpy() for c in columns], 1) if len(got) else np.zeros((0, states))
@@ -272,7 +289,15 @@ def train(coded: DataFrame, vocabulary: Vocabulary, states: int = STATES, passes
         if key >= 0:
             unigram[key] += row[0]
     unigram /= unigram.sum()
-    model = first_model(coded, vocabulary, unigram, states, kind)
+
+    def grouped(gains: np.ndarray) -> np.ndarray:
+        emit = np.zeros((size, states))
+        for key, row in counts(gains, distinct).items():
+            if key >= 0:
+                emit[key] = row
+        return emit
+
+    model = first_model(grouped, unigram, states)
     for _ in range(passes):
         emit, rest = np.zeros((size, states)), np.zeros((states + 1, states))
         for key, row in counts(model).items():

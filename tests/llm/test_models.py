@@ -126,6 +126,28 @@ def test_mix(spark):
     assert mixing.mix(frame.limit(0)).count() == 0
 
 
+def test_first_states_come_from_all_texts_and_starts_from_their_starts(spark):
+    # Two kinds of text, many copies of one of them, and kinds told apart only after 4,096 words.
+    rng = np.random.default_rng(5)
+    same = rng.integers(0, 10, 4096)
+    late = [np.concatenate([same, rng.integers(lo, lo + 10, 6000)]) for lo in (10, 20) for _ in range(6)]
+    texts = late + [late[0]] * 200
+    top = pa.table({"word": pa.array(range(30), pa.int64()), "n": pa.array([1] * 30, pa.int64()), "class": pa.array([0] * 30, pa.int64())})
+    v = hmm.Vocabulary(top, len(texts), 30, sum(map(len, texts)), {0: 60}, 30, 1)
+    coded = spark.createDataFrame([(False, x.astype("<u2").tobytes()) for x in texts], "held_out boolean, symbols binary")
+    first = hmm.train(coded, v, states=2, passes=0)
+    lows, highs = first.emit[10:20].sum(0), first.emit[20:30].sum(0)
+    assert (lows > highs).any() and (highs > lows).any()
+    # Whole texts: every one of them starts once, however long it is.
+    starts = []
+    expected = hmm.Model.expected
+    model = hmm.Model(first.start, first.move, first.emit)
+    column = pa.array([x.astype("<u2").tobytes() for x in late], pa.binary())
+    for _, found in hmm._sequences(column, "<u2"):
+        starts.append(expected(model, found)[0].sum())
+    assert abs(sum(starts) - len(late)) < 1e-6
+
+
 def test_urls(spark):
     urls = ["HTTP://A.Example.COM/en/7x?q#f", "http://x.com/en/1", "http://com/en/", "http://b.net/de/1", "http://example.net/de/8?", "http://z.org/es/", "no scheme", None, "", "http://notexample.com#/en/7", "x://h"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
