@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from macrotide.llm.store import table, written
-from macrotide.llm.text import _BYTE, _LOWER, _SPACE, run_hashes, texts
+from macrotide.llm.text import _LOWER, _SPACE, span_hashes, texts
 
 #: Hashed weights; rated rows used for fitting at most; gradients taken, and L2 penalty of the fit.
 DIMENSIONS, MAX_TRAIN, STEPS, PENALTY = 1 << 17, 40_000, 45, 2e-5
@@ -40,13 +40,13 @@ def hashed_features(data: np.ndarray, offsets: np.ndarray, dimensions: int = DIM
     starts, ends = starts[held], ends[held]
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    values = _BYTE[_LOWER[data]]
-    hashed = run_hashes(values, starts, ends)
+    lower = _LOWER[data]
+    hashed = span_hashes(lower, starts, ends)
     row = np.searchsorted(offsets, starts, "right") - 1
     same = np.zeros(len(starts), bool)
     same[1:] = (hashed[1:] == hashed[:-1]) & (row[1:] == row[:-1])
     long = ends - starts > STEM
-    stems = run_hashes(values, starts[long], starts[long] + STEM, 1)
+    stems = span_hashes(lower, starts[long], starts[long] + STEM, 1)
     key = np.concatenate([row, row[long]]) * dimensions + (np.concatenate([hashed, stems]) % np.uint64(dimensions)).astype(np.int64)
     key, count = np.unique(key, return_counts=True)
     value = np.minimum(1 + np.log2(count), 3).astype(np.float32)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
     ship(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-macrotide-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -28,7 +31,17 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = new_path(df.sparkSession, name)
     df.write.options(**options).option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read again."""
+    for stored in tables:
+        jvm = stored.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+        path.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

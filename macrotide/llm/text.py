@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C13), np.uint64(0xC2B2AE3D27D4EB4B))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first 0 .. 8 bytes of a little-endian word.
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Spans of more bytes than this are hashed by BLAKE2b, one by one.
+_LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,28 +30,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-@lru_cache(maxsize=4)
-def _powers(log2: int, family: int) -> tuple[np.ndarray, np.ndarray]:
-    n, m = 1 << log2, int(_MULTIPLIERS[family])
-    up, down = np.full(n, m, np.uint64), np.full(n, pow(m, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _prefix(values: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(max(10, int(len(values) + 1).bit_length()), family)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return sums, down
-
-
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    """Hashes of the runs values[start:end]; equal runs have equal hashes."""
-    sums, down = _prefix(values, family)
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs; for a given member, one to one in the other."""
+    return mixed(((a ^ (a >> np.uint64(29))) * _ODD) + b)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hashes of the bytes data[start:end]: eight at a time, mixed after each step; long spans by BLAKE2b."""
+    size = ends - starts
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
+    out = mixed(size.astype(np.uint64) * _ODD + np.uint64(family))
+    out = joined(out, eight[starts] & _LOW[np.minimum(size, 8)])
+    rest = np.flatnonzero((size > 8) & (size <= _LONG))
+    for at in range(8, _LONG, 8):
+        if not len(rest):
+            break
+        out[rest] = joined(out[rest], eight[starts[rest] + at] & _LOW[np.minimum(size[rest] - at, 8)])
+        rest = rest[size[rest] > at + 8]
+    for i in np.flatnonzero(size > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
+    return out
+
+
+def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every k consecutive values, put together from runs of powers of two."""
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    out, have, power, width = values, 0, values, 1
+    while True:
+        if k & width:
+            n = len(values) - have - width + 1
+            out = joined(power[:n], out[width : width + n]) if have else power
+            have += width
+        if have == k:
+            return out
+        power = joined(power[:-width], power[width:])
+        width *= 2
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs values[start:end], of one value at least: two runs of a power of two cover each."""
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    power, width = values, 1
+    while len(starts) and width <= size.max():
+        own = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[own] = joined(joined(power[starts[own]], power[ends[own] - width]), size[own].astype(np.uint64))
+        power = joined(power[:-width], power[width:])
+        width *= 2
+    return out
 
 
 class Words:
@@ -71,7 +103,18 @@ class Words:
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        return run_hashes(_BYTE[self.data], self.starts, self.ends, family)
+        return span_hashes(self.data, self.starts, self.ends, family)
+
+    def normalized(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of the texts with their words joined by one space."""
+        size = self.ends - self.starts + 1
+        last = self.first[1:][self.counts > 0] - 1
+        size[last] -= 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        out = self.data[np.minimum(np.repeat(self.starts - at[:-1], size) + np.arange(at[-1]), max(0, len(self.data) - 1))]
+        gaps = np.setdiff1d(np.arange(len(size)), last, assume_unique=True)
+        out[at[gaps + 1] - 1] = 32
+        return out, at[self.first]
 
 
 def texts(column: pa.Array | pa.ChunkedArray, most_rows: int = 1 << 30) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
