@@ -153,3 +153,58 @@ def test_maximal_repeats_are_spans_of_words(spark):
     rows = [(1, a), (2, "x y " + a + " z")]
     row = substring_dedup.remove_repeats(docs(spark, rows)).filter("id = 2").first()
     assert (row.starts, row.ends, row.kept) == ([2], [62], "x y z")
+
+
+def thue_morse(n):
+    """Two words that differ in every letter but have equal polynomial hashes modulo powers of two."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    x, y = thue_morse(1024)
+    lead = [f"w{i}" for i in range(19)]
+    table = docs(spark, [(1, " ".join([*lead, x])), (2, " ".join([*lead, y]))])
+    assert {r.id: r.n_removed for r in substring_dedup.remove_repeats(table).collect()} == {1: 0, 2: 0}
+    table = docs(spark, [(1, f"a b {x}"), (2, f"a b {y}"), (3, x), (4, y)])
+    assert {r.id: r.component_id for r in ngram_join.jaccard_components(table, 3, 90).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_matches_are_compared_and_extended_by_words():
+    x, y = [b"a", b"b", b"c", b"d", b"e", b"f"], [b"z", b"b", b"c", b"d", b"e", b"g"]
+    assert substring_dedup.agreed(x, y, 2, 2, 2) == [(1, 5)]
+    assert substring_dedup.agreed(x, y, 0, 6, 3) == [(1, 5)] and substring_dedup.agreed(x, y, 0, 6, 5) == []
+
+
+def test_periodic_texts_chain(spark):
+    rows = [(1, "a b c " * 5000), (2, "b c a " * 300 + "end"), (3, "q " * 40)]
+    assert {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()} == brute_removed(rows)
+    table = docs(spark, rows).selectExpr("doc_id as own", "text")
+    matches = substring_dedup.repeated_windows(table, ["own"])
+    assert matches.count() > 5_000 > 20 > substring_dedup.chains(matches, ["own"], 20).count()
+
+
+def test_parts_that_similar_sets_agree_in():
+    rng = random.Random(3)
+    import numpy as np
+
+    for percent in (60, 80, 90, 100):
+        for n in (1, 2, 3, 7, 20, 60, 300):
+            for _ in range(6):
+                a = {rng.randrange(1 << 54) for _ in range(n)}
+                b = set(a)
+                for _ in range(rng.randrange(0, 1 + n * (100 - percent) // 150)):
+                    if rng.random() < 0.5 and len(b) > 1:
+                        b.discard(rng.choice(sorted(b)))
+                    if rng.random() < 0.5:
+                        b.add(rng.randrange(1 << 54))
+                if 100 * len(a & b) < percent * len(a | b):
+                    continue
+                tokens = np.array([*sorted(a), *sorted(b)], np.uint64)
+                (x, y), need = ngram_join.part_signatures(tokens, np.array([0, len(a), len(a) + len(b)]), percent)
+                common = set(x.tolist()) & set(y.tolist())
+                for parity in (0, 1):
+                    met = sum(1 for s in common if s % 2 == parity)
+                    if need[0, parity] and need[1, parity] and met:
+                        assert any(sum(1 for s in common if s % 2 == p) >= need[i, p] > 0 for p in (0, 1) for i in (0, 1))
+                assert any(0 < need[0, p] <= sum(1 for s in common if s % 2 == p) >= need[1, p] > 0 for p in (0, 1)), (percent, n)
