@@ -235,5 +235,33 @@ def test_crossover_keeps_every_item_once():
     a, b = (packing.best_fit(rng.sample(range(200), 200), sizes, 100) for _ in range(2))
     child = packing.crossover(a, b, sizes, 100, rng)
     assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(sizes[i] for i in x) <= 100 for x in child)
-    best = packing.evolve(sizes, [], 100, 1)[0]
+    (best, *_), _ = packing.evolve(sizes, [], 100, 1, heuristic=True)
     assert max(best) + 1 <= len(packing.best_fit(sorted(range(200), key=lambda i: -sizes[i]), sizes, 100))
+
+
+def test_islands_evolve_real_lengths(spark):
+    """Lengths of a corpus: mostly short, some cut at the capacity; crossovers gain on islands that start from random orders."""
+    rng = random.Random(4)
+    lengths = [min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(900)]
+    random_first, better = packing.evolve(lengths, [], 4096, 7)
+    start = min(len(packing.best_fit(rng.sample(range(900), 900), lengths, 4096)) for _ in range(5))
+    assert better > 0 and max(random_first[0]) + 1 <= start
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id long, length long")
+    for r in packing.evolved_shards(items, shard_size=450).collect():
+        sizes = [x.length for x in r["items"]]
+        fill = [0] * r.found
+        for n, b in zip(sizes, r.bins):
+            fill[b] += n
+        assert max(fill) <= 4096 and min(fill) > 0 and r.better > 0 and r.crossovers == packing.EPOCHS * packing.ISLANDS * packing.CROSSOVERS
+        assert r.found <= len(packing.best_fit(packing.decreasing(sizes), sizes, 4096))
+
+
+def test_words_are_remembered_in_generations(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    encode, plain = packing.WordIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for text in ["a b c d", "a e f g h", "a b i j k l", "a b c", ""]:
+        want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encode([text]) == [want]
+    assert b"a" in encode.known and len(encode.known) + len(encode.old) < 12
