@@ -23,6 +23,8 @@ from macrotide.llm.store import table, written
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Pieces of a shard (a problem of its own), islands of a shard, epochs between migrations, and an island's population, elite and crossovers in an epoch.
 SHARD, ISLANDS, EPOCHS, POPULATION, ELITE, CROSSOVERS = 2048, 2, 2, 5, 2, 8
+#: Tasks that islands are dealt to at most; each holds an island or some of them.
+TASKS = 4096
 #: Bins filled to less than this share are unpacked and packed again across shards.
 LOOSE = 0.97
 #: Words whose ids a task remembers.
@@ -39,8 +41,8 @@ class WordIds:
     """Ids of whole texts by a tokenizer that never joins words across white space.
 
     Words are encoded some dozens at a time: a word's ids end with its last pretoken's, whose
-    last id is that of a token at a word's end. About REMEMBERED words are remembered; beyond
-    that, those of the texts at hand.
+    last id is that of a token at a word's end. About REMEMBERED words are remembered, in two
+    generations: when the young one is full, the old one goes, but for words met meanwhile.
     """
 
     PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -52,7 +54,7 @@ class WordIds:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
         self.pretokens = regex.compile(self.PRETOKENS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -87,11 +89,13 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [x.encode().split() for x in texts]
-        here = set().union(*split)
-        new = list(here - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in here if w in self.known}
-        self.known.update(self._encoded(new))
+        new = set().union(*split)
+        if 2 * len(self.known) > REMEMBERED:
+            self.old, self.known = self.known, {}
+        new -= self.known.keys()
+        met = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in met)
+        self.known.update(self._encoded(list(new - met)))
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
@@ -170,8 +174,18 @@ def crossover(taker: list[list[int]], giver: list[list[int]], sizes: list[int],
     return best_fit(sorted(displaced, key=lambda i: -sizes[i]), sizes, capacity, [list(b) for b in injected] + kept)
 
 
-def evolve(sizes: list[int], elite: list[list[int]], capacity: int, seed: int, population: int = POPULATION, crossovers: int = CROSSOVERS, keep: int = ELITE) -> list[list[int]]:
-    """An epoch on one island. Solutions go in and out as the bin number of each item, the best first."""
+def decreasing(sizes: list[int]) -> list[int]:
+    return sorted(range(len(sizes)), key=lambda i: -sizes[i])
+
+
+def evolve(sizes: list[int], elite: list[list[int]], capacity: int, seed: int, population: int = POPULATION, crossovers: int = CROSSOVERS, keep: int = ELITE, heuristic: bool = False) -> tuple[list[list[int]], int]:
+    """An epoch on one island: (solutions, crossovers that beat what they replaced).
+
+    Solutions go in and out as the bin number of each item, the best first. An island starts
+    from random-order groupings, one of them, if ``heuristic``, best-fit decreasing; every epoch
+    runs all its crossovers. Parents are chosen among the fitter half twice as often; a child
+    takes the place of the worst.
+    """
     rng = random.Random(seed)
     solutions = []
     for assigned in elite:
@@ -179,18 +193,20 @@ def evolve(sizes: list[int], elite: list[list[int]], capacity: int, seed: int, p
         for i, b in enumerate(assigned):
             bins.setdefault(b, []).append(i)
         solutions.append(list(bins.values()))
+    if heuristic and not elite:
+        solutions.append(best_fit(decreasing(sizes), sizes, capacity))
     while len(solutions) < population:
-        noise = 0.0 if not solutions else 0.02 * len(solutions)
-        key = [s * (1 - noise * rng.random()) for s in sizes]
-        solutions.append(best_fit(sorted(range(len(sizes)), key=lambda i: -key[i]), sizes, capacity))
+        solutions.append(best_fit(rng.sample(range(len(sizes)), len(sizes)), sizes, capacity))
     scored = sorted(((fitness(b, sizes, capacity), b) for b in solutions), key=lambda x: x[0], reverse=True)
-    least = -(-sum(sizes) // capacity)
-    for _ in range(crossovers):
-        if len(scored[0][1]) <= least:
-            break
-        taker, giver = rng.sample(range(len(scored)), 2)
+    better = 0
+    for _ in range(crossovers if population > 1 else 0):
+        half = -(-len(scored) // 2)
+        taker = rng.randrange(half) if rng.random() < 0.5 else rng.randrange(len(scored))
+        giver = (taker + rng.randrange(1, len(scored))) % len(scored)
         child = crossover(scored[taker][1], scored[giver][1], sizes, capacity, rng)
-        scored[-1] = (fitness(child, sizes, capacity), child)
+        found = fitness(child, sizes, capacity), child
+        better += found[0] > scored[-1][0]
+        scored[-1] = found
         scored.sort(key=lambda x: x[0], reverse=True)
     out = []
     for _, bins in scored[:keep]:
@@ -199,22 +215,28 @@ def evolve(sizes: list[int], elite: list[list[int]], capacity: int, seed: int, p
             for i in items:
                 assigned[i] = b
         out.append(assigned)
-    return out
+    return out, better
+
 
+def _sharded(items: DataFrame, shard_size: int) -> tuple[DataFrame, int]:
+    """((shard, items), shards): arrays of about ``shard_size`` pieces, dealt by a hash of their columns and their place, as rows may repeat."""
+    shards = max(1, -(-items.count() // shard_size))
+    shard = F.pmod(F.xxhash64(*items.columns, F.monotonically_increasing_id()), F.lit(shards))
+    return items.withColumn("shard", shard).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(*items.columns))).alias("items")), shards
 
-def _sharded(items: DataFrame, shard_size: int) -> DataFrame:
-    """(shard, items): arrays of about ``shard_size`` pieces, dealt by a hash of all their columns."""
-    n = items.count()
-    shards = max(1, -(-n // shard_size))
-    shard = F.pmod(F.xxhash64(*items.columns), F.lit(shards))
-    return items.withColumn("shard", shard).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct(*items.columns))).alias("items"))
 
+def evolved_shards(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """(shard, items, bins, found, crossovers, better) with the best bins that any of the shard's islands found.
 
-def _packed_shards(items: DataFrame, capacity: int, shard_size: int, islands: int, epochs: int) -> DataFrame:
-    """(shard, items, bins) with the best bins that any of the shard's islands found."""
-    shards = written(_sharded(items, shard_size), "packing-shards")
-    start = shards.select("shard", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("elite"))
-    state = start.repartition(F.col("shard"), F.col("island"))
+    ``found`` is their number; ``crossovers`` were made on all islands of the shard, and
+    ``better`` of them beat what they replaced. Islands are dealt
+    to tasks of their own, and their elites migrate by a join.
+    """
+    sharded, shards = _sharded(items, shard_size)
+    shards_at = written(sharded, "packing-shards")
+    tasks = min(TASKS, shards * islands)
+    start = shards_at.select("shard", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("elite"), F.lit(0).alias("better"))
+    state = start
     for epoch in range(epochs):
 
         def run(frames: Iterator[pd.DataFrame], epoch=epoch) -> Iterator[pd.DataFrame]:
@@ -222,15 +244,18 @@ def _packed_shards(items: DataFrame, capacity: int, shard_size: int, islands: in
                 for row in frame.itertuples():
                     sizes = [int(x) for x in row.sizes]
                     elite = [[int(b) for b in x] for x in row.elite]
-                    out = evolve(sizes, elite, capacity, hash((int(row.shard), int(row.island), epoch)))
-                    yield pd.DataFrame({"shard": [row.shard], "sizes": [sizes], "island": [row.island], "elite": [out]})
+                    out, better = evolve(sizes, elite, capacity, hash((int(row.shard), int(row.island), epoch)), heuristic=int(row.island) == 0)
+                    yield pd.DataFrame({"shard": [row.shard], "sizes": [sizes], "island": [row.island], "elite": [out], "better": [row.better + better]})
 
-        state = written(state.mapInPandas(run, "shard long, sizes array<long>, island int, elite array<array<int>>"), "packing-islands")
+        dealt = state.repartition(tasks, F.col("shard"), F.col("island"))
+        state = written(dealt.mapInPandas(run, "shard long, sizes array<long>, island int, elite array<array<int>>, better int"), "packing-islands")
         if epoch < epochs - 1:  # the next island's best solution comes in first place
             guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("elite", 1, 1).alias("guest"))
-            state = state.join(guests, ["shard", "island"]).withColumn("elite", F.array_distinct(F.concat("guest", "elite"))).select("shard", "sizes", "island", "elite")
-    best = state.select("shard", F.struct(F.array_max(F.col("elite")[0]).alias("most"), "island", F.col("elite")[0].alias("bins")).alias("found")).groupBy("shard").agg(F.min("found").alias("found"))
-    return shards.join(best, "shard").select("shard", "items", F.col("found.bins").alias("bins"))
+            state = state.join(guests, ["shard", "island"]).withColumn("elite", F.array_distinct(F.concat("guest", "elite"))).select("shard", "sizes", "island", "elite", "better")
+    own = F.struct(F.array_max(F.col("elite")[0]).alias("most"), "island", F.col("elite")[0].alias("bins"))
+    best = state.select("shard", own.alias("own"), "better").groupBy("shard").agg(F.min("own").alias("own"), F.sum("better").alias("better"))
+    made = F.lit(epochs * islands * CROSSOVERS)
+    return shards_at.join(best, "shard").select("shard", "items", F.col("own.bins").alias("bins"), (F.col("own.most") + 1).alias("found"), made.alias("crossovers"), "better")
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
@@ -242,7 +267,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, is
     """
     names, kept = items.columns, []
     for last in (False, True):
-        packed = _packed_shards(items, capacity, shard_size, islands, epochs)
+        packed = evolved_shards(items, capacity, shard_size, islands, epochs)
         rows = packed.select("shard", F.explode(F.arrays_zip("items", "bins")).alias("x")).select("shard", F.col("x.bins").alias("bin"), F.col("x.items").alias("item"))
         bins = rows.groupBy("shard", "bin").agg(F.array_sort(F.collect_list("item")).alias("members"), F.sum("item.length").alias("fill"))
         bins = written(bins.withColumn("sequence_id", F.col("shard") * (1 << 24) + F.col("bin") * 2 + int(last)), "packing-bins")
@@ -254,5 +279,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, is
 
 
 def op10_ga_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; nulls, long texts and repeated rows as in ``pieces`` and ``pack``."""
     items = written(pieces(table(spark, sf_dir, "documents")), "pieces")
     return pack(items).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
