@@ -14,11 +14,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from macrotide.llm.store import table, written
+from macrotide.llm.text import span_hashes, texts
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Pieces of a shard (a problem of its own), islands of a shard, epochs between migrations, and an island's population, elite and crossovers in an epoch.
@@ -28,7 +28,7 @@ TASKS = 4096
 #: Bins filled to less than this share are unpacked and packed again across shards.
 LOOSE = 0.97
 #: Words whose ids a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,9 +40,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class WordIds:
     """Ids of whole texts by a tokenizer that never joins words across white space.
 
-    Words are encoded some dozens at a time: a word's ids end with its last pretoken's, whose
-    last id is that of a token at a word's end. About REMEMBERED words are remembered, in two
-    generations: when the young one is full, the old one goes, but for words met meanwhile.
+    Runs of ASCII signs after an ASCII letter or digit and before another or space are words of
+    their own, as they are to the tokenizer. Words are told apart by 128 bits of hashes. New ones
+    are encoded some dozens at a time: a word's ids end with its last pretoken's, whose last id is
+    that of a token at a word's end. Up to REMEMBERED words are remembered, those used last.
     """
 
     PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -54,12 +55,19 @@ class WordIds:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.pretokens = regex.compile(self.PRETOKENS)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.kind = np.full(256, 3, np.int8)  # 0 white space, 1 ASCII letters and digits, 2 signs, 3 others
+        self.kind[[32, *range(9, 14)]] = 0
+        self.kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+        self.kind[list(self.SIGNS.encode())] = 2
+        #: In order of hash: the words' two hashes, where their ids are, how many, and when they were last used.
+        self.words = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        self.ids, self.calls = np.zeros(0, "<u4"), 0
 
     def _count(self, word: str) -> int:
         """Pretokens of a word; what is guessed without the pattern is never too many, so that a group's sum shows any that are too few."""
@@ -70,33 +78,93 @@ class WordIds:
             return 1 + bool(stem)
         return len(self.pretokens.findall(unicodedata.normalize("NFC", word).lower()))
 
-    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _encoded(self, words: list[bytes]) -> list[np.ndarray]:
         texts = [w.decode() for w in words]
-        groups = [slice(i, i + self.TOGETHER) for i in range(0, len(words), self.TOGETHER)]
-        out = {}
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(texts[g]) for g in groups], add_special_tokens=False)):
+        groups = [texts[i : i + self.TOGETHER] for i in range(0, len(texts), self.TOGETHER)]
+        out: list[np.ndarray] = []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            after = np.cumsum([self._count(w) for w in texts[g]])
-            if len(stops) == after[-1] and (not len(stops) or stops[-1] == len(ids)) and not self.special.search(" ".join(texts[g])):
-                at = [0, *(4 * np.concatenate([[0], stops])[after]).tolist()]
-                raw = ids.tobytes()
-                out.update((w, raw[a:b]) for w, a, b in zip(words[g], at[:-1], at[1:]))
+            after = np.cumsum([self._count(w) for w in group])
+            if len(stops) == after[-1] and (not len(stops) or stops[-1] == len(ids)) and not self.special.search(" ".join(group)):
+                at = np.concatenate([[0], stops])[after].tolist()
+                out += [ids[x:y] for x, y in zip([0, *at[:-1]], at)]
             else:
-                alone = self.tokenizer.encode_batch_fast(texts[g], add_special_tokens=False)
-                out.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(words[g], alone))
+                out += [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
         return out
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [x.encode().split() for x in texts]
-        new = set().union(*split)
-        if 2 * len(self.known) > REMEMBERED:
-            self.old, self.known = self.known, {}
-        new -= self.known.keys()
-        met = new & self.old.keys()
-        self.known.update((w, self.old[w]) for w in met)
-        self.known.update(self._encoded(list(new - met)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of texts, which lie beside each other in data."""
+        kind = self.kind[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begins, stops = kind > 0, kind > 0
+        begins[1:] &= (kind[:-1] == 0) | edge[1:-1]
+        stops[:-1] &= (kind[1:] == 0) | edge[1:-1]
+        change = edge.copy()
+        change[1:-1] |= kind[1:] != kind[:-1]
+        runs = np.flatnonzero(change)
+        low, high = runs[:-1], runs[1:]
+        own = kind[low] == 2
+        low, high = low[own], high[own]
+        before = ~edge[low] & (kind[np.maximum(low - 1, 0)] == 1)
+        inside = ~edge[high]
+        after = kind[np.minimum(high, len(data) - 1)]
+        apart = before & (~inside | (after <= 1))
+        begins[low[apart]] = True
+        stops[low[apart] - 1] = True
+        apart &= inside & (after == 1)
+        begins[high[apart]] = True
+        stops[high[apart] - 1] = True
+        return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+    def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The place of each word among those remembered, after new ones have been encoded."""
+        hashes, checks = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1)
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        check = checks[first]
+        known = self.words[0]
+        at = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
+        held = known[at] == unique if len(known) else np.zeros(len(unique), bool)
+        if (check[inverse] != checks).any() or (held.any() and (self.words[1][at[held]] != check[held]).any()):
+            raise ValueError("different words have equal hashes")
+        new = np.flatnonzero(~held)
+        found = self._encoded([data[a:b].tobytes() for a, b in zip(starts[first[new]], ends[first[new]])])
+        size = np.array([len(x) for x in found], np.int64)
+        own = [unique[new], check[new], len(self.ids) + np.cumsum(size) - size, size, np.full(len(new), self.calls)]
+        self.words[4][at[held]] = self.calls
+        if len(known) + len(new) > REMEMBERED:  # the half that was used last stays
+            used = self.words[4]
+            kept = used >= np.partition(used, len(used) // 2)[len(used) // 2] if len(used) else held
+            kept |= used == self.calls
+            self.words = [x[kept] for x in self.words]
+        self.words = [np.concatenate([x, y]) for x, y in zip(self.words, own)]
+        order = np.argsort(self.words[0], kind="stable")
+        self.words = [x[order] for x in self.words]
+        self.ids = np.concatenate([self.ids, *found])
+        if len(self.ids) > 2 * self.words[3].sum() + (1 << 20):
+            self.ids = self.ids[self._spread(np.arange(len(self.words[0])))]
+            self.words[2] = np.cumsum(self.words[3]) - self.words[3]
+        return np.searchsorted(self.words[0], unique)[inverse]
+
+    def _spread(self, places: np.ndarray) -> np.ndarray:
+        """Where the ids of the words at these places are, one after another."""
+        size = self.words[3][places]
+        return np.repeat(self.words[2][places] - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids, as little-endian 32-bit numbers, of texts data[offsets[i]:offsets[i + 1]]."""
+        self.calls += 1
+        if self.special.search(data.tobytes().decode()):
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        starts, ends = self._cut(data, offsets)
+        if not len(starts):
+            return [b""] * (len(offsets) - 1)
+        places = self._places(data, starts, ends)
+        raw = self.ids[self._spread(places)].tobytes()
+        after = 4 * np.concatenate([[0], np.cumsum(self.words[3][places])])[np.searchsorted(starts, offsets)]
+        return [raw[a:b] for a, b in zip(after[:-1].tolist(), after[1:].tolist())]
 
 
 @lru_cache(maxsize=1)
@@ -118,10 +186,9 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(path)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for part, data, offsets in texts(batch.column(1)):
                 rows, own = [], []
-                for i, ids in enumerate(encode(pc.fill_null(part.column(1), "").to_pylist())):
+                for i, ids in enumerate(encode(data, offsets)):
                     ids += end
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[start : start + 4 * capacity]
@@ -129,16 +196,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                         rows.append((k, start // 4, len(cut) // 4, zlib.crc32(cut), cut))
                 columns = list(zip(*rows))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 4 + keep_ids]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part].take(pa.array(own)), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names)
 
     chosen = docs.select(F.col(id_col), F.col(text_col))
     return chosen.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
+def fills(bins: list[list[int]], sizes: list[int]) -> list[int]:
+    return [sum(map(sizes.__getitem__, b)) for b in bins]
+
+
 def best_fit(order: list[int], sizes: list[int], capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
     """Put each item into the fullest bin that still holds it, else into a new one."""
     bins = [] if bins is None else bins
-    free = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
+    free = sorted((capacity - x, k) for k, x in enumerate(fills(bins, sizes)))
     for i in order:
         at = bisect_left(free, (sizes[i], -1))
         if at < len(free):
@@ -153,25 +224,26 @@ def best_fit(order: list[int], sizes: list[int], capacity: int, bins: list[list[
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then bins of uneven fill, which leave room that can be used."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum(x * x for x in fills(bins, sizes)) / capacity**2
 
 
 def crossover(taker: list[list[int]], giver: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Whole well-filled bins of ``giver`` enter; bins of ``taker`` with any of their items go, and what they lose is best-fitted."""
-    filled = sorted(giver, key=lambda b: -sum(sizes[i] for i in b))
+    filled = [b for _, b in sorted(zip(fills(giver, sizes), giver), key=lambda x: -x[0])]
     pool = filled[: max(1, len(filled) // 2)]
     injected = rng.sample(pool, max(1, len(pool) // 2))
-    there = {i for b in injected for i in b}
+    there = set().union(*injected)
     kept, displaced = [], []
     for b in taker:
         if there.isdisjoint(b):
             kept.append(b)
         else:
             displaced += [i for i in b if i not in there]
-    loosest = sorted(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]))[:2]
+    fill = fills(kept, sizes)
+    loosest = sorted(range(len(kept)), key=fill.__getitem__)[:2]
     displaced += [i for k in loosest for i in kept[k]]
     kept = [list(b) for k, b in enumerate(kept) if k not in loosest]
-    return best_fit(sorted(displaced, key=lambda i: -sizes[i]), sizes, capacity, [list(b) for b in injected] + kept)
+    return best_fit(sorted(displaced, key=sizes.__getitem__, reverse=True), sizes, capacity, [list(b) for b in injected] + kept)
 
 
 def decreasing(sizes: list[int]) -> list[int]:

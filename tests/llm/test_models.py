@@ -256,12 +256,14 @@ def test_islands_evolve_real_lengths(spark):
         assert r.found <= len(packing.best_fit(packing.decreasing(sizes), sizes, 4096))
 
 
-def test_words_are_remembered_in_generations(monkeypatch):
+def test_words_are_forgotten_and_cut_as_the_tokenizer_does(monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(packing, "REMEMBERED", 6)
     encode, plain = packing.WordIds(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
-    for text in ["a b c d", "a e f g h", "a b i j k l", "a b c", ""]:
-        want = np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert encode([text]) == [want]
-    assert b"a" in encode.known and len(encode.known) + len(encode.old) < 12
+    odd = ["a b c d", "a e f g h", "a b i j k l", "a b c", "", "a\u2014. b", "\u00e9. x", "don't. it's! '' 's", "x.'s", "<|endoftext|>. a", "b<|ENDOFTEXT|>", "3.5,6 a_b -- c.", ".c", "c..", "\ufb01. \u00bd. a\u00bd.", "a.\u0301 b", "foo@mail0.example.com", "!!! ??", "x...\u2026", "A.b\u0130.", "a.\x1cb", "a.\x85b", "ab.\u200bcd", "x" * 5000 + "."]
+    for together in (1, 3, len(odd)):
+        for at in range(0, len(odd), together):
+            for _, data, offsets in texts(pa.array(odd[at : at + together])):
+                want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd[at : at + together]]
+                assert encode(data, offsets) == want
