@@ -5,97 +5,130 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from macrotide.llm.store import new_path, table, written
+from macrotide.llm.store import discard, table, written
 
-#: Bits of the filter over repeated digests: 1 MB, whatever the input.
-FILTER_BITS = 1 << 23
+#: Memtables that a table is flushed in; runs of one level that are merged into one of the next.
+BATCHES, FAN = 4, 3
+#: Bits of a filter for each of its digests, at least; a filter of more than MAX_BITS (16 MB) is left out, and digests are joined themselves.
+BITS_EACH, MAX_BITS = 8, 1 << 27
 
 
-class DigestLog:
-    """Runs of ``(digest, smallest, largest, n, n_largest)`` sorted by digest, in levels.
-
-    ``flush`` writes one sorted run file per task (a memtable of level 0), ``compact`` merges
-    all runs into one of the next level. Rows with a null id are kept under the null id, which
-    is smaller than any other.
-    """
-
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.runs = spark, path or new_path(spark, "digest-log"), []
-
-    def flush(self, rows: DataFrame) -> None:
-        """rows: (id, digest)."""
-        run = rows.select("digest", F.col("id").alias("smallest"), F.col("id").alias("largest"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_largest"))
-        self._write(run.sortWithinPartitions("digest"), 0)
-
-    def compact(self) -> DataFrame:
-        """One row for each digest: its smallest and largest id, its rows, and the rows of the largest id."""
-        by_top = self.read().groupBy("digest", "largest").agg(F.min("smallest").alias("smallest"), F.sum("n").alias("n"), F.sum("n_largest").alias("n_largest"))
-        merged = (
-            by_top.groupBy("digest")
-            .agg(F.min("smallest").alias("smallest"), F.max(F.struct("largest", "n_largest")).alias("top"), F.sum("n").alias("n"))
-            .select("digest", "smallest", F.col("top.largest").alias("largest"), "n", F.col("top.n_largest").alias("n_largest"))
-        )
-        level = 1 + max(level for level, _ in self.runs)
-        self.runs = [(level, self._write(merged.sortWithinPartitions("digest"), level))]
-        return self.read()
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(*[path for _, path in self.runs])
-
-    def _write(self, run: DataFrame, level: int) -> str:
-        path = f"{self.path}/level={level}/run={len(self.runs)}"
-        run.write.option("compression", "zstd").parquet(path)
-        self.runs.append((level, path))
-        return path
-
-
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(bits))
 
 
-def digest_filter(digests: DataFrame) -> DataFrame:
-    """Bitmap filter (bucket, bits) of a column ``digest``; at most FILTER_BITS bits in all."""
-    slot = _slot()
-    return digests.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+def digest_filter(digests: DataFrame, n: int) -> tuple[DataFrame, int] | None:
+    """(bitmap rows (bucket, bits), size in bits) of the ``n`` rows of a column ``digest``, or None if it would be too large to broadcast."""
+    size = 1 << 15
+    while size < BITS_EACH * n:
+        size *= 2
+    if size > MAX_BITS:
+        return None
+    slot = _slot(size)
+    return digests.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")), size
 
 
-def may_contain(rows: DataFrame, digest_bits: DataFrame) -> DataFrame:
-    """Rows whose digest the filter may hold."""
-    slot = _slot()
+def may_contain(rows: DataFrame, digests: DataFrame, found: tuple[DataFrame, int] | None) -> DataFrame:
+    """Rows whose digest the filter of ``digests`` may hold; without one, those whose digest is there."""
+    if found is None:
+        return rows.join(digests, "digest", "left_semi")
+    slot = _slot(found[1])
     at = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.expr("shiftright(byte, cast(at % 8 as int)) & 1")
     return (
         rows.withColumns({"bucket": F.bitmap_bucket_number(slot), "at": at})
-        .join(F.broadcast(digest_bits), "bucket")  # a fixed 1 MB at most
+        .join(F.broadcast(found[0]), "bucket")  # MAX_BITS at most
         .withColumn("byte", byte)
         .filter(bit == 1)
         .drop("bucket", "at", "byte", "bits")
     )
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """One row for each digest from rows (digest, smallest, largest, n, n_largest); a null id is smaller than any other."""
+    by_top = rows.groupBy("digest", "largest").agg(F.min("smallest").alias("smallest"), F.sum("n").alias("n"), F.sum("n_largest").alias("n_largest"))
+    return (
+        by_top.groupBy("digest")
+        .agg(F.min("smallest").alias("smallest"), F.max(F.struct("largest", "n_largest")).alias("top"), F.sum("n").alias("n"))
+        .select("digest", "smallest", F.col("top.largest").alias("largest"), "n", F.col("top.n_largest").alias("n_largest"))
+    )
+
+
+class DigestLog:
+    """A log-structured merge index: runs ``(digest, smallest, largest, n, n_largest)`` sorted by digest, in levels, each with a filter.
+
+    ``flush`` writes a memtable as a run of level 0 and looks its digests up in older runs, behind
+    their filters. FAN runs of one level are compacted into one of the next, which keeps the
+    smallest and the largest id of each digest.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.runs = spark, []
+
+    def flush(self, rows: DataFrame) -> DataFrame:
+        """Add (id, digest); returns the digests (digest) that this batch repeats: within itself, or of older runs."""
+        one = F.lit(1).cast("long")
+        run = self._add(0, rows.select("digest", F.col("id").alias("smallest"), F.col("id").alias("largest"), one.alias("n"), one.alias("n_largest")))
+        hits = run.filter("n > 1").select("digest")
+        for _, older, found in self.runs[:-1]:
+            hits = hits.unionByName(may_contain(run.select("digest"), older.select("digest"), found).join(older.select("digest"), "digest", "left_semi"))
+        hits = written(hits.dropDuplicates(), "digest-hits")
+        level = 0
+        while sum(own == level for own, _, _ in self.runs) >= FAN:
+            self._compact(level)
+            level += 1
+        return hits
+
+    def lookup(self) -> DataFrame:
+        """One row for each digest of all runs."""
+        rows = None
+        for _, run, _ in self.runs:
+            rows = run if rows is None else rows.unionByName(run)
+        return merged(rows)
+
+    def _compact(self, level: int) -> None:
+        old = [run for own, run, _ in self.runs if own == level]
+        rows = old[0]
+        for run in old[1:]:
+            rows = rows.unionByName(run)
+        self.runs = [x for x in self.runs if x[0] != level]
+        self._add(level + 1, rows)
+        discard(*old)
+
+    def _add(self, level: int, rows: DataFrame) -> DataFrame:
+        run = written(merged(rows).sortWithinPartitions("digest"), "digest-run")
+        found = digest_filter(run.select("digest"), run.count())
+        self.runs.append((level, run, found and (written(found[0], "digest-filter"), found[1])))
+        return run
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, smallest, largest, n, n_largest) for every distinct (id, text) of ``docs``.
+    """(id, digest, smallest, largest, n, n_largest) for every row of ``docs``.
 
-    A null text counts as empty, and a null id is smaller than any other. Rows that repeat an id
-    with the same text are one document and come out once, but count in ``n``. Digests that
-    several rows share are verified byte for byte; if two texts ever share one, its rows are
-    grouped by the text itself. An empty table gives no rows.
+    A null text counts as empty, and a null id is smaller than any other. Rows that repeat come
+    out again, and each counts in ``n``. Digests that several rows share are verified byte for
+    byte; if two texts ever share one, its rows are grouped by the text itself. Very long texts
+    are read whole; other columns of ``docs`` play no part. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    log = DigestLog(docs.sparkSession)
-    log.flush(rows.select("id", "digest"))
-    merged = log.compact()
-    hits = merged.filter("n > 1")
-    verified = may_contain(rows.select("text", "digest"), digest_filter(hits.select("digest"))).groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    digests = written(rows.select("id", "digest"), "digests")
+    log, hits = DigestLog(docs.sparkSession), None
+    for batch in range(BATCHES):
+        found = log.flush(digests.filter(F.pmod(F.xxhash64("id"), F.lit(BATCHES)) == batch))
+        hits = found if hits is None else hits.unionByName(found)
+    hits = written(hits.dropDuplicates(), "digest-hits")
+    known = digest_filter(hits, hits.count())
+    verified = may_contain(rows.select("text", "digest"), hits, known).groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = written(verified.filter("lo <> hi").select("digest"), "digest-clash")
     out = ["id", "digest", "smallest", "largest", "n", "n_largest"]
-    whole = rows.select("id", "digest").dropDuplicates().join(merged, "digest").select(*out)
+    whole = digests.join(written(log.lookup(), "digest-index"), "digest").select(*out)
     if clash.limit(1).count() == 0:
         return whole
-    apart = rows.join(clash, "digest").groupBy("digest", "text", "id").agg(F.count("*").alias("rows"))
-    by_text = apart.groupBy("digest", "text").agg(F.min("id").alias("smallest"), F.max(F.struct("id", "rows")).alias("top"), F.sum("rows").alias("n"))
+    apart = rows.join(clash, "digest")
+    counted = apart.groupBy("digest", "text", "id").agg(F.count("*").alias("rows"))
+    by_text = counted.groupBy("digest", "text").agg(F.min("id").alias("smallest"), F.max(F.struct("id", "rows")).alias("top"), F.sum("rows").alias("n"))
     split = apart.join(by_text, ["digest", "text"]).withColumns({"largest": F.col("top.id"), "n_largest": F.col("top.rows")})
     return whole.join(clash, "digest", "left_anti").select(*out).unionByName(split.select(*out))
 
@@ -103,8 +136,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts the one with the largest id, with all columns of ``docs``.
 
-    A row without an id stays only if no row of its group has one. Rows that repeat a kept id
-    and text come out once.
+    A row without an id stays only if no row of its group has one. Of rows that tie, with one id
+    and text, one stays. Columns of ``docs`` may have any names; an empty table gives no rows.
     """
     groups = written(exact_groups(docs, id_col, text_col), "exact-groups")
     kept = groups.filter(F.col("id").eqNullSafe(F.col("largest"))).select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
@@ -117,6 +150,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its group; rows that tie for the largest doc_id are all ``kept``."""
     return exact_groups(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.col("largest").alias("keep_id"), F.col("n").alias("group_size"),
         F.col("id").eqNullSafe(F.col("largest")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -125,6 +159,6 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
-       doc_id = max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
+       doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))
 """
