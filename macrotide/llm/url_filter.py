@@ -10,8 +10,12 @@ from macrotide.llm.store import table, written
 
 #: (host, path, verdict). A rule fits its host and all subdomains.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-#: Mined rules need so many blocked pages, however large the table, this confidence and this lift.
+#: Mined rules need so many blocked pages, however large the table, this confidence and this lift; longer ones are left out.
 MIN_PAGES, MIN_CONFIDENCE, MIN_LIFT, MAX_TOKENS = 20, 0.4, 1.5, 3
+#: One labelled page of so many is held out. Rules are used from the least confidence at which the held-out pages they match are blocked this often.
+HOLD_OUT, MIN_PRECISION = 5, 0.5
+#: Rule indexes of up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 BLOCK = "label=block"
 
 
@@ -50,7 +54,7 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def mine_rules(labelled: DataFrame, min_pages: int = MIN_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """(rule_id, tokens, confidence) from (tokens, blocked): token combinations that foretell a block.
+    """(tokens, confidence, token) from (tokens, blocked): token combinations that foretell a block, and the rarest token of each.
 
     Support, of ``min_pages`` pages, prunes inside FP-growth; confidence, lift and length prune after it, and so does a
     shorter rule that is contained in a longer one and at least as sure. No labels, no rules.
@@ -58,22 +62,57 @@ def mine_rules(labelled: DataFrame, min_pages: int = MIN_PAGES, min_confidence:
     baskets = written(labelled.select(F.concat("tokens", F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-baskets")
     n_baskets = baskets.count()
     if n_baskets < min_pages:
-        return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double")
+        return labelled.sparkSession.createDataFrame([], "tokens array<string>, confidence double, token string")
     found = FPGrowth(itemsCol="items", minSupport=(min_pages - 0.5) / n_baskets, minConfidence=min_confidence).fit(baskets).associationRules
     rules = found.filter((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= max_tokens) & (F.col("lift") >= min_lift))
-    rules = written(rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence"), "url-rules")
+    rules = written(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence"), "url-rules")
     short, long = rules.alias("s"), rules.alias("l")
     beaten = (F.col("s.tokens")[0] == F.col("x")) & (F.size("s.tokens") < F.size("l.tokens")) & (F.size(F.array_except("s.tokens", "l.tokens")) == 0) & (F.col("s.confidence") >= F.col("l.confidence"))
-    covered = long.withColumn("x", F.explode("l.tokens")).join(short, beaten).select(F.col("l.rule_id").alias("rule_id"))
-    return rules.join(covered, "rule_id", "left_anti")
+    covered = long.withColumn("x", F.explode("l.tokens")).join(short, beaten).select(F.col("l.tokens").alias("tokens"))
+    kept = written(rules.join(covered, "tokens", "left_anti"), "url-rules")
+    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").count()
+    return kept.withColumn("token", F.explode("tokens")).join(counts, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, n_rules, confidence) for the rows (key, tokens) that hold all tokens of a rule, by an inverted index from token to rule."""
-    index = rules.select("rule_id", "confidence", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
-    held = urls.select("key", F.explode("tokens").alias("token")).join(index, "token")
-    whole = held.groupBy("key", "rule_id").agg(F.count("*").alias("have"), F.first("need").alias("need"), F.first("confidence").alias("confidence")).filter("have = need")
-    return whole.groupBy("key").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
+    """(tokens, n_rules, confidence) for the distinct rows (tokens) that hold all tokens of a rule, by an inverted index from each rule's rarest token."""
+    index = written(rules.select(F.col("tokens").alias("need"), "confidence", "token"), "url-index")
+    held = index.agg(F.sum(F.length(F.array_join("need", " ")) + 64)).first()[0] or 0
+    index = F.broadcast(index) if held <= BROADCAST_BYTES else index
+    met = urls.select("tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("need", "tokens")) == 0)
+    return met.groupBy("tokens").agg(F.count("*").alias("n_rules"), F.max("confidence").alias("confidence"))
+
+
+def least_confidence(held_out: DataFrame, rules: DataFrame, min_precision: float = MIN_PRECISION) -> dict:
+    """The least confidence of rules whose matches among the labelled rows (tokens, blocked) are blocked often enough, with precision and recall there.
+
+    Without such rules ``confidence`` is None, and precision and recall are those of all rules.
+    """
+    rows = held_out.groupBy("tokens").agg(F.count("*").alias("pages"), F.sum(F.col("blocked").cast("long")).alias("bad"))
+    matched = rows.join(match_rules(rows.select("tokens"), rules), "tokens", "left")
+    bands = matched.groupBy(F.floor(F.coalesce("confidence", F.lit(-1.0)) * 20).alias("band")).agg(F.sum("pages").alias("pages"), F.sum("bad").alias("bad")).collect()  # 22 bands at most
+    total = sum(r.bad for r in bands)
+    pages = bad = 0
+    best = {"confidence": None, "precision": None, "recall": None, "pages": sum(r.pages for r in bands), "bad": total}
+    for r in sorted(bands, key=lambda r: -r.band):
+        if r.band < 0:
+            break
+        pages, bad = pages + r.pages, bad + r.bad
+        found = {"precision": bad / pages, "recall": bad / total if total else None}
+        if bad >= min_precision * pages:
+            best |= found | {"confidence": r.band / 20}
+        elif best["confidence"] is None:
+            best |= found
+    return best
+
+
+def learned_rules(labelled: DataFrame, min_precision: float = MIN_PRECISION) -> tuple[DataFrame, dict]:
+    """(rules, held-out figures) from (url, tokens, blocked): mined without the held-out pages, and used from the confidence that they set."""
+    labelled = written(labelled.select("tokens", "blocked", (F.crc32(F.col("url").cast("binary")) % HOLD_OUT == 0).alias("out")), "labelled-urls")
+    mined = written(mine_rules(labelled.filter("not out")), "mined-rules")
+    found = least_confidence(labelled.filter("out"), mined, min_precision)
+    kept = mined.filter(F.col("confidence") >= found["confidence"]) if found["confidence"] is not None else mined.limit(0)
+    return kept, found | {"mined": mined.count(), "used": kept.count()}
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, by_document: bool = False) -> DataFrame:
@@ -82,21 +121,29 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url
     A stated rule that fits decides; else a URL that any mined rule matches is blocked, and any
     other allowed. A null URL, or one without ``://``, has an empty host and path and is allowed.
     ``labels`` has (id, blocked) for some of the pages, or, ``by_document``, for some of the
-    documents that the URLs number; rows that repeat are judged alike.
+    documents that the URLs number; an id with clashing labels is blocked. Rows that repeat are
+    judged alike, very long URLs whole; other columns play no part. An empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     rows = rows.withColumn("tokens", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(url_tokens(F.col("host"), F.col("path"), F.col("url"))))
-    known = labels.select(F.col("id").alias("labelled"), "blocked").dropDuplicates(["labelled"])
+    known = labels.groupBy(F.col("id").alias("labelled")).agg(F.max("blocked").alias("blocked")).filter("labelled is not null and blocked is not null")
     of = url_document(F.col("path")) if by_document else F.col("id")
-    mined = mine_rules(rows.select(of.alias("of"), "tokens").join(known, F.col("of") == F.col("labelled")).select("tokens", "blocked"))
-    urls = rows.select(F.xxhash64("host", "path", "tokens").alias("key"), "tokens").dropDuplicates(["key"])
-    matched = match_rules(urls, mined).withColumnRenamed("key", "matched_key")
-    rows = rows.withColumn("key", F.xxhash64("host", "path", "tokens")).join(matched, F.col("key") == F.col("matched_key"), "left")
+    with_host = rows.filter("host <> ''")
+    mined, _ = learned_rules(with_host.select("url", "tokens", of.alias("of")).join(known, F.col("of") == F.col("labelled")).select("url", "tokens", "blocked"))
+    matched = match_rules(with_host.select("tokens").dropDuplicates(), mined).withColumnRenamed("tokens", "matched")
+    judged = with_host.join(matched, F.col("tokens") == F.col("matched"), "left").drop("matched")
+    judged = judged.unionByName(rows.filter("host = ''").withColumns({"n_rules": F.lit(None).cast("long"), "confidence": F.lit(None).cast("double")}))
     stated = fitting_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("n_rules") > 0, "block").otherwise("allow")
-    return rows.withColumn("stated", stated).select("id", "url", "host", "path", F.col("stated.rule").alias("rule"), F.coalesce("stated.verdict", by_method).alias("verdict"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "confidence")
+    return judged.withColumn("stated", stated).select("id", "url", "host", "path", F.col("stated.rule").alias("rule"), F.coalesce("stated.verdict", by_method).alias("verdict"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "confidence")
+
+
+def blocked_documents(labels: DataFrame) -> DataFrame:
+    """(id, blocked) from (doc_id, quality, toxic): blocked if of low quality or toxic."""
+    return labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")).filter("blocked is not null")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")).filter("blocked is not null")
-    return judge_urls(table(spark, sf_dir, "pages"), labels, by_document=True).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "n_rules", "confidence")
+    """The verdict on every row of ``pages``; nulls, repeats and the like as in ``judge_urls``."""
+    judged = judge_urls(table(spark, sf_dir, "pages"), blocked_documents(table(spark, sf_dir, "labels")), by_document=True)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "n_rules", "confidence")
