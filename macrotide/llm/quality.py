@@ -202,8 +202,9 @@ def fit(rated: DataFrame, grades: int = 3, dimensions: int = DIMENSIONS, max_tra
 def judge(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", at_grade: int = SELECT_GRADE, at: float = SELECT_AT) -> DataFrame:
     """(id, score, expected_grade, tail_probability, selected) for every row; a null text is empty.
 
-    tail_probability is P(grade >= at_grade). Rows that repeat are judged alike. The model sent
-    to the tasks has a fixed size.
+    tail_probability is P(grade >= at_grade); a tie with ``at`` is selected. Rows that repeat are
+    judged alike, very long texts whole; other columns play no part, and an empty table gives no
+    rows. The model sent to the tasks has a fixed size.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype("<f4"), model.thresholds))
 
@@ -235,9 +236,9 @@ def select_documents(docs: DataFrame, model: OrdinalModel, text_col: str = "text
 
 
 def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, grade): 2 for quality without toxicity, 0 for toxic text without quality, else 1."""
+    """(doc_id, grade): 2 for quality without toxicity, 0 for toxic text without quality, else 1; of clashing labels the lowest grade."""
     grade = F.col("quality") + 1 - F.col("toxic")
-    return table(spark, sf_dir, "labels").select("doc_id", grade.cast("int").alias("grade")).filter("grade is not null").dropDuplicates(["doc_id"])
+    return table(spark, sf_dir, "labels").select("doc_id", grade.cast("int").alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade")).filter("grade is not null")
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> OrdinalModel:
@@ -246,4 +247,5 @@ def fitted(spark: SparkSession, sf_dir: str) -> OrdinalModel:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judgement of every row of ``documents`` by the model fitted on ``labels``; nulls, ties and repeats as in ``judge``."""
     return judge(table(spark, sf_dir, "documents"), fitted(spark, sf_dir)).withColumnRenamed("id", "doc_id")

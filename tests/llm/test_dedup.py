@@ -101,7 +101,7 @@ def test_near_copies_leave_one_of_each_group_and_all_columns(spark):
 def test_exact_groups(spark):
     rows = [(1, "a"), (2, "a"), (5, "a"), (5, "a"), (3, None), (4, ""), (6, "A"), (7, "x" * 200_000), (8, "x" * 200_000), (None, "a"), (None, "n")]
     got = sorted(((r.id, r.largest, r.n) for r in exact_dedup.exact_groups(docs(spark, rows)).collect()), key=str)
-    want = [(1, 5, 5), (2, 5, 5), (5, 5, 5), (None, 5, 5), (3, 4, 2), (4, 4, 2), (6, 6, 1), (7, 8, 2), (8, 8, 2), (None, None, 1)]
+    want = [(1, 5, 5), (2, 5, 5), (5, 5, 5), (5, 5, 5), (None, 5, 5), (3, 4, 2), (4, 4, 2), (6, 6, 1), (7, 8, 2), (8, 8, 2), (None, None, 1)]
     assert got == sorted(want, key=str)
     out = exact_dedup.drop_copies(docs(spark, rows))
     assert out.columns == docs(spark, []).columns
@@ -109,13 +109,28 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0 == exact_dedup.drop_copies(docs(spark, [])).count()
 
 
-def test_digest_log_merges_runs(spark):
+def test_digest_log_probes_older_runs_and_compacts(spark, monkeypatch):
     log = exact_dedup.DigestLog(spark)
-    for part in ([(1, b"p"), (2, b"q")], [(3, b"p"), (0, b"r")]):
-        log.flush(spark.createDataFrame(part, "id long, digest binary"))
-    assert len(log.runs) == 2
-    got = {bytes(r.digest): (r.smallest, r.largest, r.n) for r in log.compact().collect()}
-    assert got == {b"p": (1, 3, 2), b"q": (2, 2, 1), b"r": (0, 0, 1)} and len(log.runs) == 1
+    batches = [[(1, b"p"), (2, b"q")], [(3, b"p"), (0, b"r"), (9, b"r")], [(4, b"s")], [(5, b"q"), (None, b"s")]]
+    hits = [{bytes(r.digest) for r in log.flush(spark.createDataFrame(part, "id long, digest binary")).collect()} for part in batches]
+    assert hits == [set(), {b"p", b"r"}, set(), {b"q", b"s"}]
+    assert [level for level, _, _ in log.runs] == [1, 0] and all(found for _, _, found in log.runs)
+    got = {bytes(r.digest): (r.smallest, r.largest, r.n) for r in log.lookup().collect()}
+    assert got == {b"p": (1, 3, 2), b"q": (2, 5, 2), b"r": (0, 9, 2), b"s": (4, 4, 2)}
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 0)
+    assert exact_dedup.digest_filter(spark.createDataFrame([(b"p",)], "digest binary"), 1) is None
+    assert exact_dedup.exact_groups(docs(spark, [(1, "a"), (2, "a")])).filter("largest = 2 and n = 2").count() == 2
+
+
+def test_exact_dedup_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, "a"), (5, "a"), (5, "a"), (3, None), (4, ""), (None, "a"), (None, "n"), (None, "n"), (7, "é" * 100_000)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in exact_dedup.op4_exact_dedup(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=str) == sorted(con.execute(exact_dedup.OP4_SQL).fetchall(), key=str)
 
 
 def brute_removed(rows, window=20):

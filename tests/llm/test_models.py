@@ -178,6 +178,39 @@ def test_url_rules_learn_from_the_document_that_a_page_shows(spark):
     assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i, _ in urls)
 
 
+def test_mined_rules_equal_brute_force(spark):
+    """All token combinations, counted one by one; a rule that a shorter, surer one covers goes."""
+    from itertools import combinations
+
+    rng = random.Random(2)
+    rows = [(sorted({f"t{rng.randrange(6)}" for _ in range(4)}), rng.random() < 0.3) for _ in range(300)]
+    rows = [(t, b or ("t0" in t and "t1" in t and rng.random() < 0.8)) for t, b in rows]
+    base = sum(b for _, b in rows) / len(rows)
+    sure = {}
+    for size in (1, 2, 3):
+        for c in combinations([f"t{i}" for i in range(6)], size):
+            met = [b for t, b in rows if set(c) <= set(t)]
+            if sum(met) >= 20 and sum(met) / len(met) >= 0.4 and sum(met) / len(met) / base >= 1.2:
+                sure[c] = sum(met) / len(met)
+    want = {c: p for c, p in sure.items() if not any(set(x) < set(c) and sure[x] >= p for x in sure)}
+    frame = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    rules = url_filter.mine_rules(frame, min_lift=1.2)
+    got = {tuple(r.tokens): r.confidence for r in rules.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[c], want[c]) for c in want) and want
+    matched = {tuple(r.tokens): (r.n_rules, r.confidence) for r in url_filter.match_rules(frame.select("tokens").dropDuplicates(), rules).collect()}
+    held = {tuple(t): [p for c, p in want.items() if set(c) <= set(t)] for t, _ in rows}
+    assert matched.keys() == {t for t, x in held.items() if x} and all(matched[t][0] == len(held[t]) and math.isclose(matched[t][1], max(held[t])) for t in matched)
+
+
+def test_held_out_pages_set_the_confidence(spark):
+    rules = spark.createDataFrame([(["a"], 0.9, "a"), (["b"], 0.5, "b"), (["c"], 0.41, "c")], "tokens array<string>, confidence double, token string")
+    rows = [(["a"], True)] * 4 + [(["b"], True), (["b"], False)] + [(["c"], False)] * 9 + [(["d"], True)] * 5
+    found = url_filter.least_confidence(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), rules)
+    assert found == {"confidence": 0.5, "precision": 5 / 6, "recall": 0.5, "pages": 20, "bad": 10}
+    found = url_filter.least_confidence(spark.createDataFrame(rows[6:], "tokens array<string>, blocked boolean"), rules)
+    assert found["confidence"] is None and found["precision"] == 0
+
+
 def test_support_floor_does_not_rise_with_the_table(spark):
     rows = [(["host=bad", "depth=3"], True)] * 24 + [(["host=good", "depth=3"], False)] * 20_000
     rules = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean")).collect()
