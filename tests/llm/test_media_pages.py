@@ -141,3 +141,54 @@ def test_every_codec_is_stored_and_decoded_whole(spark, tmp_path):
     payload = audio.padded(rows[3][1].encode())
     assert {r.adpcm_feature for r in got if r.doc_id == 4} == {audio.features(audio.decode(audio.wave(payload, "ima_adpcm")))}
     assert audio.describe_all(audio.store_all(frame.limit(0))).count() == 0
+
+
+def test_deep_and_broken_pages_take_linear_time(spark):
+    import time
+
+    deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
+    broken = ["<a " * 350_000, "<a \"'" * 250_000, '<a ">"' * 170_000, "<i>" * 5000 + "<hr>" * 100_000, "<b><div>" + "<i>" * 5000 + "</b>" * 100_000, "</x>" * 250_000, "<!--" * 250_000, "<![CDATA[" * 100_000]
+    for text in [deep, *broken]:
+        began = time.time()
+        html.Shape(html.parse(text))
+        assert time.time() - began < 2, text[:20]
+    began = time.time()
+    shape = html.Shape(html.parse(deep)).structure()
+    assert min(html.align(shape, html.Shape(html.parse(deep + "<p>x")).structure())) >= 0 and time.time() - began < 2
+    wide = ["".join(f"<div class=c{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}q{'xyz'[i // 600 % 3]}>t</div>" for i in range(k, 1500)) for k in (0, 1)]
+    began = time.time()
+    html.align(*[html.Shape(html.parse(x)).structure() for x in wide])
+    assert time.time() - began < 2
+    frame = spark.createDataFrame([(i, "http://h.test/", deep) for i in range(2)] + [(2, "http://h.test/", broken[0])], "page_id long, url string, html string")
+    got = {r.id: r.text for r in html.extract(frame).collect()}
+    assert got[0] == got[1] == "deep text" and len(got) == 3
+
+
+def test_alignment_equals_simple_tree_matching_by_recursion():
+    rng = random.Random(3)
+
+    def tree(depth):
+        tag = rng.choice(["div", "p", "ul", "section"])
+        return f"<{tag} class={rng.choice('abc')}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(3) if depth else 0)) + f"</{tag}>"
+
+    def best(a, b, kids_a, kids_b, x, y):
+        u, v = a[x][1], b[y][1]
+        own = 4 if u == v else int(u.partition(".")[0] == v.partition(".")[0])
+        if not own:
+            return 0
+        left, right = kids_a[x], kids_b[y]
+        table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, p in enumerate(left):
+            for j, q in enumerate(right):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + best(a, b, kids_a, kids_b, p, q))
+        return own + table[-1][-1]
+
+    for _ in range(40):
+        pages = ["".join(tree(3) for _ in range(3)) for _ in range(2)]
+        shapes = [html.Shape(html.parse(x)) for x in pages]
+        a, b = (s.paths for s in shapes)
+        kids = [[[k for k, (parent, _) in enumerate(paths) if parent == x] for x in range(len(paths))] for paths in (a, b)]
+        partner = html.align(*[s.structure() for s in shapes])
+        got = sum(4 if a[x][1] == b[y][1] else 1 for x, y in enumerate(partner) if y >= 0)
+        assert got == best(a, b, *kids, 0, 0)
+        assert all(partner[a[x][0]] == b[y][0] for x, y in enumerate(partner) if y > 0)
