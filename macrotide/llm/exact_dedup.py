@@ -11,6 +11,8 @@ from macrotide.llm.store import discard, table, written
 BATCHES, FAN = 4, 3
 #: Bits of a filter for each of its digests, at least; a filter of more than MAX_BITS (16 MB) is left out, and digests are joined themselves.
 BITS_EACH, MAX_BITS = 8, 1 << 27
+#: Keys of dropped rows (some 64 bytes each) of up to so many rows are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _slot(bits: int) -> Column:
@@ -87,6 +89,9 @@ class DigestLog:
             rows = run if rows is None else rows.unionByName(run)
         return merged(rows)
 
+    def tables(self) -> list[DataFrame]:
+        return [x for _, run, found in self.runs for x in (run, *(found or ())[:1])]
+
     def _compact(self, level: int) -> None:
         old = [run for own, run, _ in self.runs if own == level]
         rows = old[0]
@@ -123,8 +128,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     verified = may_contain(rows.select("text", "digest"), hits, known).groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     clash = written(verified.filter("lo <> hi").select("digest"), "digest-clash")
     out = ["id", "digest", "smallest", "largest", "n", "n_largest"]
-    whole = digests.join(written(log.lookup(), "digest-index"), "digest").select(*out)
+    index = written(log.lookup(), "digest-index")
+    whole = digests.join(index, "digest").select(*out)
     if clash.limit(1).count() == 0:
+        whole = written(whole, "exact-groups")
+        discard(digests, index, hits, *log.tables())
         return whole
     apart = rows.join(clash, "digest")
     counted = apart.groupBy("digest", "text", "id").agg(F.count("*").alias("rows"))
@@ -139,11 +147,14 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row without an id stays only if no row of its group has one. Of rows that tie, with one id
     and text, one stays. Columns of ``docs`` may have any names; an empty table gives no rows.
     """
-    groups = written(exact_groups(docs, id_col, text_col), "exact-groups")
-    kept = groups.filter(F.col("id").eqNullSafe(F.col("largest"))).select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    groups = exact_groups(docs, id_col, text_col)
+    dropped = groups.filter(~F.col("id").eqNullSafe(F.col("largest"))).select(F.col("id").alias("dropped_id"), F.col("digest").alias("dropped_digest")).dropDuplicates()
+    dropped = written(dropped, "exact-copies")
+    if dropped.count() <= BROADCAST_ROWS:
+        dropped = F.broadcast(dropped)
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), digest.alias("digest"))
-    rows = rows.join(kept, (F.col("digest") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = rows.join(dropped, (F.col("digest") == F.col("dropped_digest")) & F.col("id").eqNullSafe(F.col("dropped_id")), "left_anti")
     if groups.filter("n_largest > 1").limit(1).count():
         rows = rows.dropDuplicates(["id", "digest"])
     return rows.select("doc.*")

@@ -341,9 +341,10 @@ def apart_rows(groups: DataFrame, roots: DataFrame) -> DataFrame:
 def whole_texts(docs: DataFrame, features: DataFrame, ids: DataFrame) -> DataFrame:
     """(sid, n, text) of the sets in (sid)."""
     wanted = features.select(F.col("row").alias("sid"), F.col("id").alias("own"), "n", F.col("digest").alias("of")).join(_bounded(ids), "sid")
-    wanted = _bounded(written(wanted, "wanted-texts"))
-    found = docs.withColumn("digest", F.unhex(F.sha2("text", 256))).join(wanted, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("own")))
-    return found.select("sid", "n", "text").dropDuplicates(["sid"])
+    wanted = written(wanted, "wanted-texts")
+    found = docs.withColumn("digest", F.unhex(F.sha2("text", 256))).join(_bounded(wanted), (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("own")))
+    kept = written(found.select("sid", "n", "text"), "set-texts")
+    return kept if kept.count() == wanted.count() else written(kept.dropDuplicates(["sid"]), "set-texts")  # rows may repeat
 
 
 def set_maps(kept: DataFrame, k: int) -> DataFrame:
@@ -377,6 +378,8 @@ def verified(pairs: DataFrame, kept: DataFrame, k: int, percent: int) -> DataFra
                 linked.append(100 * common >= percent * (len(last[1]) + len(own) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("sid")).dropDuplicates(), "pair-sets")
+    kept = kept.join(_bounded(ids), "sid", "left_semi")
     left = pairs.join(kept.select(F.col("sid").alias("b"), F.col("text").alias("t")), "b")
     both = left.join(kept.select(F.col("sid").alias("a"), F.col("text").alias("s")), "a")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
@@ -396,11 +399,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     copies = written(held.join(written(copies, "copied-texts"), "digest").filter("row <> sid").select("row", "sid"), "copies")
     sets = features.filter("n > 0").join(_bounded(copies.select("row")), "row", "left_anti").select(F.col("row").alias("sid"), "signatures")
     groups = meetings(features, sets)
-    kept = written(whole_texts(docs, features, groups.select("sid").dropDuplicates()), "set-texts")
-    links = written(verified(hub_pairs(groups), kept, k, percent), "shingle-links")
+    kept = whole_texts(docs, features, groups.select("sid").dropDuplicates())
+    links = written(verified(written(hub_pairs(groups), "hub-pairs"), kept, k, percent), "shingle-links")
     roots = components(links)
     rows = apart_rows(groups, roots)
-    pairs = written(tree_pairs(rows.join(set_maps(kept, k), "sid"), percent), "shingle-pairs")
+    rows = written(rows, "apart-rows")
+    maps = set_maps(kept.join(_bounded(rows.select("sid").dropDuplicates()), "sid", "left_semi"), k)
+    pairs = written(tree_pairs(rows.join(maps, "sid"), percent), "shingle-pairs")
     more = written(verified(pairs, kept, k, percent), "shingle-links")
     roots = components(links.unionByName(more))
     discard(groups, kept, pairs)
@@ -427,7 +432,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Rows without text stay; repeated rows with a kept id stay as often as they come.
     """
     found = jaccard_components(docs, k, percent, id_col, text_col)
-    dropped = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").dropDuplicates()
+    dropped = _bounded(written(found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").dropDuplicates(), "near-copies"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"))
     return rows.join(dropped, F.col("own_id") == F.col("id"), "left_anti").select("doc.*")
 

@@ -241,9 +241,14 @@ def graded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", grade.cast("int").alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade")).filter("grade is not null")
 
 
-def fitted(spark: SparkSession, sf_dir: str) -> OrdinalModel:
-    rated = table(spark, sf_dir, "documents").select("doc_id", "text").join(graded_labels(spark, sf_dir), "doc_id")
-    return fit(rated)
+def fitted(spark: SparkSession, sf_dir: str, max_train: int = MAX_TRAIN) -> OrdinalModel:
+    """The model of the labelled ``documents``; of more than ``max_train`` labels about so many, chosen by a hash of the id."""
+    labels = graded_labels(spark, sf_dir)
+    n = labels.count()
+    if n > max_train:
+        labels = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
+    rated = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id")  # about max_train rows at most
+    return fit(rated, max_train=2 * max_train)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
