@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,3 +21,13 @@ def ship(spark: SparkSession) -> None:
             z.write(module, module.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._macrotide_shipped = True
+
+
+def cut(df):
+    """``df`` checkpointed, which cuts its lineage; a folder of its own only in local mode without one, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-macrotide-"))
+    return df.checkpoint()

@@ -95,7 +95,8 @@ def lag_grid(panel: DataFrame, cutoffs: DataFrame, lags: dict[str, int], by: str
     for freq, most in lags.items():
         one = cutoffs.withColumns({"freq": F.lit(freq), "lag": F.explode(F.sequence(F.lit(1), F.lit(most)))}).withColumn("wanted", F.least(F.expr(LAG_STEPS[freq]), F.col("cutoff")))
         wanted = one if wanted is None else wanted.unionByName(one)
-    targets = wanted.withColumn("list", F.lit(0)).join(series.withColumn("list", F.lit(0)), "list").select(by, "quarter_end", "freq", "lag", "wanted")
+    # every series is asked at every cutoff and lag: the product of two lists, not of observations
+    targets = wanted.crossJoin(series).select(by, "quarter_end", "freq", "lag", "wanted")
     return as_of(targets, panel, "wanted", by)
 
 

@@ -15,31 +15,6 @@ from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS,
 QEND = "last_day((date_trunc('quarter', date) + interval 2 month)::date)"
 R, N, M, G = f"with {RESULTS}", f"with {PANEL_NATION}", f"with {PANEL_M}", f"with {PANEL_GAPS}"
 W = "(partition by series order by date)"
-INSTRUMENTED = f"""{N}, z as (select date, value as z from panel_nation where series = 'NATION_5'), t as (select date, value as d from panel_nation where series = 'NATION_0'),
-r0 as (select p.series, p.value as y, d, z from panel_nation p join t using (date) join z using (date) where p.series not in ('NATION_0', 'NATION_5')),
-c0 as (select series, avg(y) as my, avg(d) as md, avg(z) as mz from r0 group by series), r as (select r0.series, y - my as y, d - md as d, z - mz as z from r0 join c0 using (series))"""
-
-
-def _instrumented(spark, d):
-    panel = panel_nation(spark, d)
-    z, t = (panel.filter(F.col("series") == s).select("date", F.col("value").alias(c)) for s, c in (("NATION_5", "z"), ("NATION_0", "d")))
-    rows = panel.filter("series not in ('NATION_0', 'NATION_5')").withColumnRenamed("value", "y").join(t, "date").join(z, "date")
-    means = rows.groupBy("series").agg(*[F.avg(c).alias(f"m{c}") for c in "ydz"])
-    return rows.join(means, "series").select("series", *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "ydz"])
-
-
-@query("ar_grid_ci", f"""{INSTRUMENTED}, m as (select series, count(*) as n, sum(z * y) as zy, sum(z * d) as zd, sum(z * z * y * y) as q0, sum(z * z * y * d) as q1, sum(z * z * d * d) as q2 from r group by series),
-g as (select unnest(range(-40, 41)) / 8.0 as theta), a as (select series, n, theta, abs(zy - theta * zd) / sqrt(nullif(q0 - 2 * theta * q1 + theta * theta * q2, 0)) as t from m, g)
-select series, any_value(n) as n, count(*) as accepted, round(min(theta), 6) as lo, round(max(theta), 6) as hi from a where t <= 1.96 group by series""")
-def _(spark, d):
-    z, y, x = F.col("z"), F.col("y"), F.col("d")
-    m = _instrumented(spark, d).groupBy("series").agg(F.count("*").alias("n"), F.sum(z * y).alias("zy"), F.sum(z * x).alias("zd"), F.sum(z * z * y * y).alias("q0"), F.sum(z * z * y * x).alias("q1"), F.sum(z * z * x * x).alias("q2"))
-    grid = m.withColumn("step", F.explode(F.sequence(F.lit(-40), F.lit(40)))).withColumn("theta", F.col("step") / 8.0)
-    spread = F.expr("q0 - 2 * theta * q1 + theta * theta * q2")
-    accepted = grid.filter(F.abs(F.expr("zy - theta * zd")) / F.sqrt(F.when(spread != 0, spread)) <= 1.96)
-    return accepted.groupBy("series").agg(F.first("n").alias("n"), F.count("*").alias("accepted"), F.round(F.min("theta"), 6).alias("lo"), F.round(F.max("theta"), 6).alias("hi"))
-
-
 @query("tmle_target_step", f"""{N}, b as (select series, value as y, case when value >= avg(value) over (partition by series) then 1 else 0 end as q1, (month(date) % 2) as a, 0.3 + 0.4 * (quarter(date) / 4.0) as g from panel_nation),
 e as (select unnest([0.01, 0.35, 0.45]) as eps), c as (select series, eps, y, a, least(greatest(g, eps), 1 - eps) as g, 1.0 * q1 as q from b, e),
 h as (select *, a / g - (1 - a) / (1 - g) as hh from c), s as (select series, eps, sum(hh * (y - q)) / nullif(sum(hh * hh), 0) as step from h group by all)

@@ -45,8 +45,8 @@ def _columns():
 
 
 def _pairs(panel):
-    series = panel.select("series").distinct().withColumn("k", F.lit(0))
-    return series.toDF("treatment", "k").join(series.toDF("outcome", "k"), "k").filter("treatment <> outcome").select("treatment", "outcome")
+    series = panel.select("series").distinct()
+    return series.toDF("treatment").crossJoin(series.toDF("outcome")).filter("treatment <> outcome").select("treatment", "outcome")
 
 
 @query("lp_irf", _projection_sql(PANEL_M, "panel_m", ALL_PAIRS))
