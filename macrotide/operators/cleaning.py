@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,18 +99,17 @@ def invert_stationary(panel: DataFrame, by: str = "series", at: str = "date", x:
 
 
 def ema(panel: DataFrame, span: int, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
-    """Exponential average without adjustment, alpha = 2 / (span + 1), from a fold over each series in date order."""
-    alpha = 2.0 / (span + 1)
-    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(x).cast("double").alias("v"))))
-    start = F.array().cast("array<struct<at:date,v:double,ema:double>>")
+    """Exponential average without adjustment, alpha = 2 / (span + 1); a missing value keeps the last average.
 
-    def step(done: Column, row: Column) -> Column:
-        last = F.when(F.size(done) > 0, F.element_at(done, -1)["ema"])
-        now = F.when(row["v"].isNull(), last).when(last.isNull(), row["v"]).otherwise(alpha * row["v"] + (1 - alpha) * last)
-        return F.concat(done, F.array(F.struct(row["at"].alias("at"), row["v"].alias("v"), now.alias("ema"))))
-
-    folded = panel.groupBy(by).agg(rows.alias("rows")).select(by, F.explode(F.aggregate("rows", start, step)).alias("r"))
-    return folded.select(by, F.col("r.at").alias(at), F.col("r.v").alias(x), F.col("r.ema").alias("ema"))
+    Each row folds the values before it whose weight is not below the precision of a double, so
+    that no array is longer than some 19 spans, however long the series.
+    """
+    alpha = 2.0 / (span + 1)
+    reach = 1 if alpha >= 1 else math.ceil(37 / -math.log(1 - alpha))
+    rows = panel.withColumn("__k", F.count(x).over(along(by, at)))
+    held = F.collect_list(F.col(x).cast("double")).over(Window.partitionBy(by).orderBy("__k").rangeBetween(1 - reach, 0))
+    fold = F.aggregate(held, F.lit(None).cast("double"), lambda last, v: F.when(last.isNull(), v).otherwise(alpha * v + (1 - alpha) * last))
+    return rows.withColumn("ema", fold).select(by, at, F.col(x).cast("double").alias(x), "ema")
 
 
 def persistence(panel: DataFrame, by: str = "series", at: str = "date", x: str = "value", least_pairs: int = 10) -> DataFrame:

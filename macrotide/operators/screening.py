@@ -27,13 +27,30 @@ def rolling_pairs(panel: DataFrame, targets: DataFrame, width: int, by: str = "s
     return out.select("target", "candidate", at, "r", "beta", "z", "p", "i")
 
 
-def directional_score(windows: DataFrame, keys: list[str], alpha: float = 0.1) -> DataFrame:
-    """Coverage of significant windows times their mean strength, scaled by tanh of the median slope and by n / (n + 12)."""
-    significant = F.when(F.col("p") < alpha, 1.0).otherwise(0.0)
-    strength = F.try_divide(F.sum(significant * F.abs("r")), F.sum(significant))
-    out = windows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(significant).alias("share"), F.coalesce(strength, F.lit(0.0)).alias("strength"), F.percentile(F.abs("beta"), F.lit(0.5)).alias("median_beta"))
-    score = F.col("share") * F.col("strength") * F.tanh(F.col("median_beta")) * F.col("n") / (F.col("n") + 12)
-    return out.withColumn("score", score)
+def directional_score(windows: DataFrame, keys: list[str], alpha: float = 0.1, prior: float = 12.0) -> DataFrame:
+    """(*keys, n, share, strength, score, direction) of windows (r, p): a score of 0 .. 100 for the direction that has the larger one.
+
+    A window with p below ``alpha`` has the evidence 1 - p / alpha for the direction of its r.
+    ``share`` is the evidence per window, ``strength`` the mean |r| weighted by it, and their
+    product is scaled by evidence / (evidence + prior).
+    """
+    weight = F.greatest(1 - F.col("p") / alpha, F.lit(0.0))
+    sums = []
+    for name, side in (("p", F.col("r") > 0), ("n", F.col("r") < 0)):
+        held = F.when(side & (F.col("p") < alpha), weight).otherwise(0.0)
+        sums += [F.sum(held).alias(f"e{name}"), F.sum(F.when(held > 0, held * F.least(F.abs("r"), F.lit(1.0))).otherwise(0.0)).alias(f"s{name}")]
+    out = windows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    out = out.withColumns({f"v{k}": F.expr(f"100 * s{k} / n") * F.expr(f"e{k} / (e{k} + {prior})") for k in "pn"})
+    up = F.col("vp") >= F.col("vn")
+    strength = F.when(up, F.try_divide("sp", "ep")).otherwise(F.try_divide("sn", "en"))
+    found = {"share": F.when(up, F.col("ep")).otherwise(F.col("en")) / F.col("n"), "strength": F.coalesce(strength, F.lit(0.0)), "score": F.greatest("vp", "vn"), "direction": F.when(up, "positive").otherwise("negative")}
+    return out.withColumns(found).select(*keys, "n", *found)
+
+
+def independence(alpha: float = 0.1, prior: float = 12.0) -> Column:
+    """How little a group's windows (r, p) are related, 0 .. 100: the median of 1 - |r| times the share with p above ``alpha``, scaled by n / (n + prior)."""
+    apart = F.percentile(1 - F.least(F.abs("r"), F.lit(1.0)), F.lit(0.5))
+    return 100 * apart * F.avg((F.col("p") > alpha).cast("int")) * F.count("*") / (F.count("*") + prior)
 
 
 def ranked(scores: DataFrame, keys: list[str], name: str, score: Column) -> DataFrame:

@@ -67,8 +67,9 @@ BOTH = "b as (select l.treatment, l.outcome, l.horizon, l.estimate as lp, m.esti
 
 
 def _both(rows):
-    lp, dml = (rows.filter(F.col("estimator") == e).select(*KEY, F.col("estimate").alias(e), F.col("p").alias(f"p_{e}")) for e in ("lp", "dml"))
-    return lp.join(dml, KEY)
+    """Keys that both estimators have, with their estimates and p: one aggregation, no self join."""
+    own = [F.max(F.when(F.col("estimator") == e, F.col(c))).alias(n) for e in ("lp", "dml") for c, n in (("estimate", e), ("p", f"p_{e}"))]
+    return rows.groupBy(*KEY).agg(*own).filter("lp is not null and dml is not null")
 
 
 @query("estimator_alignment", f"""{R}, {BOTH} select treatment, outcome, count(*) as n, round(avg((sign(lp) = sign(dml))::int), 6) as sign_agreement, case when count(*) >= 3 then round(corr(lp, dml), 6) end as correlation, round(avg(abs(lp - dml)), 6) as mean_delta, round(quantile_cont(abs(lp - dml), 0.5), 6) as median_delta, round(avg((p_lp < 0.1)::int), 6) as share_lp, round(avg((p_dml < 0.1)::int), 6) as share_dml from b group by grouping sets ((), (treatment), (outcome))""")

@@ -10,27 +10,30 @@ from macrotide.operators import screening
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_NATION, normal_p_sql, panel_nation
 
-TARGETS = ("NATION_0", "NATION_1", "NATION_2")
 WIDTH = 24
 
 
 def _windows(spark, d):
+    """Windows of all ordered pairs of nations."""
     panel = panel_nation(spark, d)
-    targets = panel.select(F.col("series").alias("target")).distinct().filter(F.col("target").isin(*TARGETS))
-    return screening.rolling_pairs(panel, targets, WIDTH)
+    return screening.rolling_pairs(panel, panel.select(F.col("series").alias("target")).distinct(), WIDTH)
 
 
-WINDOWS = f"""with {PANEL_NATION}, pr as (select t.series as target, c.series as candidate, t.date, t.value as y, c.value as x from panel_nation t join panel_nation c on t.date = c.date and t.series <> c.series where t.series in {TARGETS}),
+WINDOWS = f"""with {PANEL_NATION}, pr as (select t.series as target, c.series as candidate, t.date, t.value as y, c.value as x from panel_nation t join panel_nation c on t.date = c.date and t.series <> c.series),
 sm as (select *, count(*) over w as n, sum(x) over w as sx, sum(y) over w as sy, sum(x * x) over w as sxx, sum(y * y) over w as syy, sum(x * y) over w as sxy from pr window w as (partition by target, candidate order by date rows between {WIDTH - 1} preceding and current row)),
 rb as (select target, candidate, date, (n * sxy - sx * sy) / nullif(sqrt(greatest((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 0) as r, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) as beta from sm where n = {WIDTH}),
 zz as (select *, r * sqrt({WIDTH - 2} / nullif(1 - r * r, 0)) as z from rb),
 win as (select *, {normal_p_sql('z')} as p, row_number() over (partition by target, candidate order by date) as i from zz)"""
-SCORE = """(share * strength * tanh(median_beta) * n / (n + 12))"""
 
 
 def _score_sql(source: str, keys: str, name: str = "sc") -> str:
-    return f"""{name}_ as (select {keys}, count(*) as n, avg(case when p < 0.1 then 1.0 else 0.0 end) as share, coalesce(sum(case when p < 0.1 then abs(r) else 0 end) / nullif(sum(case when p < 0.1 then 1.0 else 0.0 end), 0), 0) as strength, quantile_cont(abs(beta), 0.5) as median_beta from {source} group by {keys}),
-{name} as (select *, {SCORE} as score from {name}_)"""
+    def summed(sign: str, times: str = "") -> str:
+        return f"sum(case when p < 0.1 and r {sign} 0 then (1 - p / 0.1){times} else 0 end)"
+
+    ep, sp, en, sn = summed(">"), summed(">", " * least(abs(r), 1)"), summed("<"), summed("<", " * least(abs(r), 1)")
+    return f"""{name}__ as (select {keys}, count(*) as n, {ep} as ep, {sp} as sp, {en} as en, {sn} as sn from {source} group by {keys}),
+{name}_ as (select *, 100 * sp / n * ep / (ep + 12) as vp, 100 * sn / n * en / (en + 12) as vn from {name}__),
+{name} as (select *, greatest(vp, vn) as score, case when vp >= vn then ep else en end / n as share, coalesce(case when vp >= vn then sp / nullif(ep, 0) else sn / nullif(en, 0) end, 0) as strength from {name}_)"""
 
 
 @query("driver_response_windows", f"{WINDOWS} select target, candidate, date, round(r, 5) as r, round(beta, 5) as beta, round(p, 5) as p from win")
@@ -43,9 +46,9 @@ def _(spark, d):
     return screening.directional_score(_windows(spark, d), ["target", "candidate"]).select("target", "candidate", "n", *rounded("share", "strength", "score", digits=5))
 
 
-@query("directional_score_v1_least_correlated", f"{WINDOWS} select target, candidate, round(avg((p < 0.1)::int) * quantile_cont(abs(r), 0.5), 5) as legacy, round(1 - avg(abs(r)), 5) as independence from win group by all")
+@query("directional_score_v1_least_correlated", f"{WINDOWS} select target, candidate, round(avg((p < 0.1)::int) * quantile_cont(abs(r), 0.5), 5) as legacy, round(100 * quantile_cont(1 - least(abs(r), 1), 0.5) * avg((p > 0.1)::int) * count(*) / (count(*) + 12), 5) as independence from win group by all")
 def _(spark, d):
-    return _windows(spark, d).groupBy("target", "candidate").agg(F.round(F.avg((F.col("p") < 0.1).cast("int")) * F.percentile(F.abs("r"), F.lit(0.5)), 5).alias("legacy"), F.round(1 - F.avg(F.abs("r")), 5).alias("independence"))
+    return _windows(spark, d).groupBy("target", "candidate").agg(F.round(F.avg((F.col("p") < 0.1).cast("int")) * F.percentile(F.abs("r"), F.lit(0.5)), 5).alias("legacy"), F.round(screening.independence(), 5).alias("independence"))
 
 
 @query("rank_candidates", f"{WINDOWS}, {_score_sql('win', 'target, candidate')} select target, candidate, round(score, 5) as score, row_number() over (partition by target order by round(score, 8) desc, candidate) as place from sc")
@@ -54,10 +57,10 @@ def _(spark, d):
     return screening.ranked(scores, ["target"], "candidate", F.round("score", 8)).select("target", "candidate", *rounded("score", digits=5), "place")
 
 
-@query("shortlist", f"{WINDOWS}, {_score_sql('win', 'target, candidate')}, k as (select *, row_number() over (partition by target order by round(score, 8) desc, candidate) as place, case when score > 0.12 then 'promoted' else 'provisional' end as status from sc), h as (select target, max(case when status = 'promoted' then 1 else 0 end) as any_promoted from k group by target) select target, candidate, status, place from k join h using (target) where (any_promoted = 1 and status = 'promoted') or (any_promoted = 0 and place <= 3)")
+@query("shortlist", f"{WINDOWS}, {_score_sql('win', 'target, candidate')}, k as (select *, row_number() over (partition by target order by round(score, 8) desc, candidate) as place, case when score > 5 then 'promoted' else 'provisional' end as status from sc), h as (select target, max(case when status = 'promoted' then 1 else 0 end) as any_promoted from k group by target) select target, candidate, status, place from k join h using (target) where (any_promoted = 1 and status = 'promoted') or (any_promoted = 0 and place <= 3)")
 def _(spark, d):
     scores = screening.ranked(screening.directional_score(_windows(spark, d), ["target", "candidate"]), ["target"], "candidate", F.round("score", 8))
-    rows = scores.withColumn("status", F.when(F.col("score") > 0.12, "promoted").otherwise("provisional"))
+    rows = scores.withColumn("status", F.when(F.col("score") > 5, "promoted").otherwise("provisional"))
     rows = rows.withColumn("any_promoted", F.max((F.col("status") == "promoted").cast("int")).over(Window.partitionBy("target")))
     return rows.filter("(any_promoted = 1 and status = 'promoted') or (any_promoted = 0 and place <= 3)").select("target", "candidate", "status", "place")
 
@@ -101,21 +104,21 @@ def _(spark, d):
     return screening.directional_score(shifted, ["target", "candidate", "k"]).select("target", "candidate", "k", "n", *rounded("score", digits=5))
 
 
-@query("placebo_sign_flip", f"{WINDOWS}, dr as (select win.*, d.draw, case when ('0x' || substr(md5(target || '|' || candidate || '|' || i || '|' || d.draw), 1, 4))::bigint % 2 = 0 then 1 else -1 end as flip from win, (select unnest(range(1, 21)) as draw) d), m as (select target, candidate, draw, abs(avg(r * flip)) as null_score from dr group by all), o as (select target, candidate, abs(avg(r)) as observed from win group by all) select target, candidate, round(any_value(observed), 5) as observed, round((1 + sum((null_score >= observed - 1e-9)::int)) / (1 + count(*)), 5) as empirical_p from m join o using (target, candidate) group by all")
+@query("placebo_sign_flip", f"{WINDOWS}, dr as (select win.*, d.draw, case when ('0x' || substr(md5(target || '|' || candidate || '|' || i || '|' || d.draw), 1, 4))::bigint % 2 = 0 then 1 else -1 end as flip from win, (select unnest(range(1, 101)) as draw) d), m as (select target, candidate, draw, abs(avg(r * flip)) as null_score from dr group by all), o as (select target, candidate, abs(avg(r)) as observed from win group by all) select target, candidate, round(any_value(observed), 5) as observed, round((1 + sum((null_score >= observed - 1e-9)::int)) / (1 + count(*)), 5) as empirical_p from m join o using (target, candidate) group by all")
 def _(spark, d):
     windows = _windows(spark, d)
-    draws = windows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    draws = windows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(100))))
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", "target", "candidate", "i", "draw")), 1, 4), 16, 10).cast("long")
     null = draws.groupBy("target", "candidate", "draw").agg(F.abs(F.avg(F.col("r") * F.when(bits % 2 == 0, 1).otherwise(-1))).alias("null_score"))
     observed = windows.groupBy("target", "candidate").agg(F.abs(F.avg("r")).alias("observed"))
     return null.join(observed, ["target", "candidate"]).groupBy("target", "candidate").agg(F.round(F.first("observed"), 5).alias("observed"), F.round((1 + F.sum((F.col("null_score") >= F.col("observed") - 1e-9).cast("int"))) / (1 + F.count("*")), 5).alias("empirical_p"))
 
 
-@query("score_block_bootstrap", f"{WINDOWS}, n_ as (select target, candidate, count(*) as n from win group by all), b as (select win.target, win.candidate, d.draw, ((d.draw * 1103515245 + ((win.i - 1) // 7) * 12345) % 2147483648) % (n - 6) + (win.i - 1) % 7 + 1 as j from win join n_ using (target, candidate), (select unnest(range(1, 11)) as draw) d where n > 7), rs as (select b.target, b.candidate, b.draw, w.r, w.p, w.beta from b join win w on w.target = b.target and w.candidate = b.candidate and w.i = b.j), {_score_sql('rs', 'target, candidate, draw')} select target, candidate, count(*) as draws, round(quantile_cont(score, 0.05), 5) as q05, round(quantile_cont(score, 0.95), 5) as q95 from sc group by all")
+@query("score_block_bootstrap", f"{WINDOWS}, n_ as (select target, candidate, count(*) as n, greatest(1, floor(sqrt(count(*)) + 0.5))::bigint as k from win group by all), b as (select win.target, win.candidate, d.draw, ((d.draw * 1103515245 + ((win.i - 1) // k) * 12345) % 2147483648) % (n - k + 1) + (win.i - 1) % k + 1 as j from win join n_ using (target, candidate), (select unnest(range(1, 101)) as draw) d where n > k), rs as (select b.target, b.candidate, b.draw, w.r, w.p, w.beta from b join win w on w.target = b.target and w.candidate = b.candidate and w.i = b.j), {_score_sql('rs', 'target, candidate, draw')} select target, candidate, count(*) as draws, round(quantile_cont(score, 0.05), 5) as q05, round(quantile_cont(score, 0.95), 5) as q95 from sc group by all")
 def _(spark, d):
     windows = _windows(spark, d)
-    sized = windows.withColumn("n", F.count("*").over(Window.partitionBy("target", "candidate"))).filter("n > 7")
-    drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(10).cast("long")))).select("target", "candidate", "draw", F.expr("((draw * 1103515245L + ((i - 1) div 7) * 12345L) % 2147483648L) % (n - 6) + (i - 1) % 7 + 1").alias("i"))
+    sized = windows.withColumn("n", F.count("*").over(Window.partitionBy("target", "candidate"))).withColumn("k", F.expr("cast(greatest(1, floor(sqrt(n) + 0.5)) as bigint)")).filter("n > k")
+    drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long")))).select("target", "candidate", "draw", F.expr("((draw * 1103515245L + ((i - 1) div k) * 12345L) % 2147483648L) % (n - k + 1) + (i - 1) % k + 1").alias("i"))
     rows = drawn.join(windows.select("target", "candidate", "i", "r", "p", "beta"), ["target", "candidate", "i"])
     scores = screening.directional_score(rows, ["target", "candidate", "draw"])
     return scores.groupBy("target", "candidate").agg(F.count("*").alias("draws"), F.round(F.percentile("score", F.lit(0.05)), 5).alias("q05"), F.round(F.percentile("score", F.lit(0.95)), 5).alias("q95"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from macrotide.operators import controls, selection
+from macrotide.operators import controls, screening, selection
 
 DAY = datetime.date(2000, 1, 31)
 
@@ -136,3 +136,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/r").groupBy("batch").count().count() == 2
     assert selection.snapshot_id(panel, "date").first()[0] == "20000131_20000131_n2"
     assert selection.snapshot_id(panel.limit(0), "date").first()[0] == "empty"
+
+
+def test_directional_score_by_hand(spark):
+    rows = [("k", 0.8, 0.0), ("k", 0.4, 0.05), ("k", -0.9, 0.09), ("k", 0.9, 0.5)]
+    r = screening.directional_score(spark.createDataFrame(rows, "g string, r double, p double"), ["g"]).first()
+    # evidence 1 and 0.5 upwards, 0.1 downwards; 4 windows
+    assert r.direction == "positive" and r.n == 4 and np.isclose(r.share, 1.5 / 4) and np.isclose(r.strength, (0.8 + 0.2) / 1.5)
+    assert np.isclose(r.score, 100 * (1.5 / 4) * (1.0 / 1.5) * 1.5 / 13.5)
+    apart = spark.createDataFrame(rows, "g string, r double, p double").groupBy("g").agg(screening.independence().alias("x")).first().x
+    assert np.isclose(apart, 100 * 0.15 * 0.25 * 4 / 16)
