@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import rounded
-from macrotide.operators import controls, selection
+from macrotide.operators import constraints, controls, selection
 from macrotide.plans.regression_queries import _hac_sql, _pairs
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, panel_gaps, panel_m, panel_nation
@@ -141,3 +141,13 @@ def _(spark, d):
     z, t = (panel.filter(F.col("series") == s).select("date", F.col("value").alias(c)) for s, c in (("NATION_5", "z"), ("NATION_0", "d")))
     rows = panel.filter("series not in ('NATION_0', 'NATION_5')").withColumnRenamed("value", "y").join(t, "date").join(z, "date")
     return selection.anderson_rubin_set(rows, ["series"], "date", "y", "d", "z").select("series", "n", *[F.round(c, 5).alias(c) for c in ("theta", "lo", "hi")], "status")
+
+
+QUARTERS = f"{M}, p as (select series, date, date_trunc('quarter', date)::date as block, value from panel_m), t as (select series, block, sum(value) * 1.02 as target from p group by all), u as (select *, max(value) over {W} as top from p)"
+
+
+@query("constraint_enforce", f"{QUARTERS} select series, block, date, round(top + (target - sum(top) over (partition by series, block)) / count(*) over (partition by series, block), 6) as value from u join t using (series, block)")
+def _(spark, d):
+    path = panel_m(spark, d).withColumn("block", F.trunc("date", "quarter"))
+    low = path.groupBy("series", "block").agg((F.sum("value") * 1.02).alias("target"))
+    return constraints.constraint_enforce(path, low, monotonic="increasing").select("series", "block", "date", *rounded("value"))

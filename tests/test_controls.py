@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from macrotide.operators import controls, screening, selection
+from macrotide.operators import constraints, controls, screening, selection
 
 DAY = datetime.date(2000, 1, 31)
 
@@ -146,3 +146,31 @@ def test_directional_score_by_hand(spark):
     assert np.isclose(r.score, 100 * (1.5 / 4) * (1.0 / 1.5) * 1.5 / 13.5)
     apart = spark.createDataFrame(rows, "g string, r double, p double").groupBy("g").agg(screening.independence().alias("x")).first().x
     assert np.isclose(apart, 100 * 0.15 * 0.25 * 4 / 16)
+
+
+def test_paths_are_held_to_bounds_order_and_benchmarks(spark):
+    def slow(v, target, low, high):
+        x = np.clip(v, low, high)
+        for _ in range(500):
+            gap = target - x.sum()
+            free = (x < high) if gap > 0 else (x > low)
+            if abs(gap) < 1e-12 or not free.any():
+                break
+            x = np.clip(np.where(free, x + gap / free.sum(), x), low, high)
+        return x
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        v, goal = rng.normal(3, 3, 4), float(rng.uniform(0, 24))
+        got, can = constraints.level_to_sum(v, goal, 0.0, 6.0)
+        assert can and np.allclose(got, slow(v, goal, 0.0, 6.0), atol=1e-8)
+    assert constraints.level_to_sum(np.array([1.0, 2.0]), 9.0, 0.0, 4.0)[1] is False
+    days = [DAY + datetime.timedelta(31 * i) for i in range(6)]
+    path = spark.createDataFrame([("a", i // 3, days[i], v) for i, v in enumerate([1.0, 5.0, 3.0, 2.0, 9.0, 4.0])], "series string, block int, date date, value double")
+    low = spark.createDataFrame([("a", 0, 9.0), ("a", 1, 100.0)], "series string, block int, target double")
+    for priority, order in (("benchmark", 1), ("shape", 0)):
+        out = constraints.constraint_enforce(path, low, 0.0, 6.0, "increasing", priority=priority)
+        r = constraints.constraint_report(out, low, 0.0, 6.0, "increasing").first()
+        assert (r.out_of_bounds, r.infeasible) == (0, 1) and r.out_of_order <= order and r.benchmark_error >= 82
+    last = constraints.constraint_enforce(path, low, conversion="last").orderBy("date").collect()
+    assert [x.value for x in last] == [1.0, 5.0, 9.0, 2.0, 9.0, 100.0]
