@@ -56,3 +56,40 @@ def independence(alpha: float = 0.1, prior: float = 12.0) -> Column:
 def ranked(scores: DataFrame, keys: list[str], name: str, score: Column) -> DataFrame:
     """Adds ``place`` by falling score, then by name, within keys."""
     return scores.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), name)))
+
+
+#: Critical values of the residual test of two series with a constant, at 5 and 10 % (fixed values).
+COINTEGRATED, WEAK = -3.34, -3.04
+
+
+def rolling_cointegration(panel: DataFrame, pairs: DataFrame, width: int, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
+    """(driver, target, date, n, beta, speed, t, regime): a two-step residual test in every whole window of ``width`` rows.
+
+    pairs: (driver, target). beta is the target's slope on the driver in the window; speed and t
+    come from the change of what is left, regressed on what was left one row before. Both steps
+    are quadratic forms of one pass of window sums. t is null where nothing is left to explain.
+    """
+    lagged = panel.withColumn("before", F.lag(x).over(Window.partitionBy(by).orderBy(at))).filter(F.col(x).isNotNull() & F.col("before").isNotNull())
+    target = lagged.select(F.col(by).alias("target"), at, F.col(x).alias("y"), F.col("before").alias("y1"))
+    driver = lagged.select(F.col(by).alias("driver"), at, F.col(x).alias("x"), F.col("before").alias("x1"))
+    key, names = ["driver", "target"], ["y", "x", "y1", "x1"]
+    rows = pairs.join(target, "target").join(driver, ["driver", at])
+    means = rows.groupBy(*key).agg(F.avg("y").alias("__y"), F.avg("x").alias("__x"))
+    rows = rows.join(means, key).withColumns({"y": F.expr("y - __y"), "y1": F.expr("y1 - __y"), "x": F.expr("x - __x"), "x1": F.expr("x1 - __x"), "one": F.lit(1.0)})
+    w = Window.partitionBy(*key).orderBy(at).rowsBetween(1 - width, 0)
+    terms = ["one", *names]
+    sums = {f"{a}_{b}": F.sum(F.col(a) * F.col(b)).over(w) for i, a in enumerate(terms) for b in terms[i:]}
+    held = rows.withColumns({"n": F.count("*").over(w), **sums}).filter(F.col("n") == width).select(*key, at, "n", *sums)
+    held = held.withColumn("beta", F.try_divide(F.expr("n * y_x - one_y * one_x"), F.expr("n * x_x - one_x * one_x"))).withColumn("a", F.expr("(one_y - beta * one_x) / n"))
+
+    def product(u: dict[str, str], v: dict[str, str]) -> Column:
+        """The window's sum of the product of two linear combinations of the terms."""
+        return F.expr(" + ".join(f"({u[a]}) * ({v[b]}) * {a if terms.index(a) <= terms.index(b) else b}_{b if terms.index(a) <= terms.index(b) else a}" for a in u for b in v))
+
+    before, change = {"y1": "1", "one": "-a", "x1": "-beta"}, {"y": "1", "y1": "-1", "x": "-beta", "x1": "beta"}
+    held = held.withColumns({"ee": product(before, before), "ed": product(before, change), "dd": product(change, change)})
+    held = held.withColumn("speed", F.try_divide("ed", F.when(F.expr("ee > 1e-10 * y_y"), F.col("ee"))))
+    spread = F.expr("(dd - speed * ed) / (n - 1)") / F.col("ee")
+    held = held.withColumn("t", F.col("speed") / F.sqrt(F.when(spread > 0, spread)))
+    t = F.round("t", 6)
+    return held.select(*key, at, "n", "beta", "speed", "t", F.when(t <= COINTEGRATED, "cointegrated").when(t <= WEAK, "weak").otherwise("none").alias("regime"))
