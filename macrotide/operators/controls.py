@@ -173,3 +173,16 @@ def rolling_granger(panel: DataFrame, pairs: DataFrame, width: int, lags: int =
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*key, at, "n")) + ", f double, r double")
+
+
+def joint_test(df: DataFrame, by: list[str], y: str, kept: list[str], tested: list[str], least: int = 12) -> DataFrame:
+    """(*by, n, f): the F of leaving ``tested`` out of the fit of y on a constant, ``kept`` and them, in groups with more than ``least`` whole rows.
+
+    With leads of a shock as ``tested``, it tells whether an outcome moves ahead of it.
+    """
+    held = df.dropna(subset=[y, *kept, *tested])
+    full = partial_out(held, by, [y], [*kept, *tested]).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col(f"r_{y}") * F.col(f"r_{y}")).alias("full"))
+    less = partial_out(held, by, [y], kept).groupBy(*by).agg(F.sum(F.col(f"r_{y}") * F.col(f"r_{y}")).alias("less"))
+    free = F.col("n") - 1 - len(kept) - len(tested)
+    f = F.try_divide((F.col("less") - F.col("full")) / len(tested), F.col("full") / F.when(free > 0, free))
+    return full.join(less, by).filter(F.col("n") > least).select(*by, "n", f.alias("f"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from macrotide.functions.columns import normal_p
+
 
 def thinned(events: DataFrame, gap: int, by: str = "series", i: str = "i") -> DataFrame:
     """(series, i): events in order, each kept if it is ``gap`` or more after the last kept one."""
@@ -37,6 +39,6 @@ def event_panel(panel: DataFrame, events: DataFrame, first: int, last: int, base
 
 
 def event_path(rows: DataFrame) -> DataFrame:
-    """Mean change, error and 95 % interval by event time."""
+    """Mean change, error, 95 % interval and normal p by event time."""
     out = rows.groupBy("event_time").agg(F.count("*").alias("n"), F.avg("change").alias("effect"), (F.stddev_samp("change") / F.sqrt(F.count("*"))).alias("se"))
-    return out.withColumns({"lo": F.col("effect") - 1.96 * F.col("se"), "hi": F.col("effect") + 1.96 * F.col("se")})
+    return out.withColumns({"lo": F.col("effect") - 1.96 * F.col("se"), "hi": F.col("effect") + 1.96 * F.col("se"), "p": normal_p(F.try_divide("effect", "se"))})

@@ -27,14 +27,6 @@ def two_slopes(a: str, b: str, y: str) -> tuple[Column, Column]:
     return (s(b, b) * s(a, y) - s(a, b) * s(b, y)) / held, (s(a, a) * s(b, y) - s(a, b) * s(a, y)) / held
 
 
-def residualized(df: DataFrame, by: list[str], targets: list[str], control: str) -> DataFrame:
-    """Each target less its fit on a constant and one control in the group, as r_<target>."""
-    stats = df.filter(" and ".join(f"{c} is not null" for c in [*targets, control])).groupBy(*by).agg(F.avg(control).alias("__c"), *[F.avg(t).alias(f"__m_{t}") for t in targets], *[F.regr_slope(t, control).alias(f"__b_{t}") for t in targets])
-    rows = df.join(stats, by)
-    fits = {f"r_{t}": F.col(t) - F.col(f"__m_{t}") - F.coalesce(F.col(f"__b_{t}"), F.lit(0.0)) * (F.col(control) - F.col("__c")) for t in targets}
-    return rows.withColumns(fits).drop("__c", *[f"__m_{t}" for t in targets], *[f"__b_{t}" for t in targets])
-
-
 def hac_slope(df: DataFrame, by: list[str], at: str, y: str, x: str, lags: int) -> DataFrame:
     """Slope of y on x in each group, its Bartlett HAC error, z and normal p.
 
@@ -55,25 +47,30 @@ def hac_slope(df: DataFrame, by: list[str], at: str, y: str, x: str, lags: int)
     return out.withColumn("p", normal_p(F.col("z"))).drop("sxx", "meat")
 
 
-def local_projection(panel: DataFrame, pairs: DataFrame, horizons: int, lags: int, state: str | None = None, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
-    """Response of outcomes' changes to a one-deviation shock at horizons 0 .. H, with HAC errors that widen with the horizon.
+def local_projection(panel: DataFrame, pairs: DataFrame, horizons: int, lags: int, state: str | None = None, past: int = 1, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
+    """Response of outcomes' changes to a one-deviation shock at horizons 0 .. H, with HAC errors.
 
     pairs: (treatment, outcome). The shock is the treatment's change; both the outcome ahead and
-    the shock are cleared of the outcome's own last change before the slope is taken. With a
-    ``state`` column on the panel, each state is a group of its own.
+    the shock are cleared of the last ``past`` shocks and the last ``past`` changes of the
+    outcome before the slope is taken. With a ``state`` column on the panel, each state is a
+    group of its own.
     """
+    from macrotide.operators.controls import partial_out
+
     w = Window.partitionBy(by).orderBy(at)
     moves = panel.withColumn("move", F.col(x) - F.lag(x).over(w))
-    held = moves.select(F.col(by).alias("treatment"), at, F.col("move").alias("shock"), *([state] if state else []))
+    before = [f"{c}{k}" for c in ("shock", "before") for k in range(1, past + 1)]
+    held = moves.select(F.col(by).alias("treatment"), at, F.col("move").alias("shock"), *[F.lag("move", k).over(w).alias(f"shock{k}") for k in range(1, past + 1)], *([state] if state else []))
     ahead = moves
     for h in range(horizons + 1):
         ahead = ahead.withColumn(f"y{h}", F.lead(x, h).over(w) - F.lag(x).over(w))
-    ahead = ahead.withColumn("before", F.lag("move").over(w))
-    outcomes = ahead.select(F.col(by).alias("outcome"), at, "before", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in range(horizons + 1)])).alias("ahead"))
-    outcomes = outcomes.select("outcome", at, "before", "ahead.horizon", "ahead.y")
-    design = pairs.join(held, "treatment").join(outcomes, ["outcome", at]).filter("y is not null and shock is not null and before is not null")
+    own = [f"before{k}" for k in range(1, past + 1)]
+    ahead = ahead.withColumns({c: F.lag("move", k).over(w) for k, c in enumerate(own, 1)})  # before rows are multiplied
+    outcomes = ahead.select(F.col(by).alias("outcome"), at, *own, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y")) for h in range(horizons + 1)])).alias("ahead"))
+    outcomes = outcomes.select("*", "ahead.horizon", "ahead.y").drop("ahead")
+    design = pairs.join(held, "treatment").join(outcomes, ["outcome", at]).dropna(subset=["y", "shock", *before])
     key = ["treatment", "outcome", "horizon", *([state] if state else [])]
-    cleared = residualized(design, key, ["y", "shock"], "before")
+    cleared = partial_out(design, key, ["y", "shock"], before)
     fit = hac_slope(cleared, key, at, "r_y", "r_shock", lags)
     scale = design.groupBy(*key).agg(F.stddev_samp("shock").alias("shock_sd"))
     return fit.join(scale, key).withColumns({"effect": F.col("beta") * F.col("shock_sd"), "effect_se": F.col("se") * F.col("shock_sd")})

@@ -20,6 +20,37 @@ def factor_panel_filter(stacked: DataFrame, frequencies: list[str], excluded: st
     return rows.join(stats.filter((F.col("missing") <= most_missing) & (F.col("spread") > least_std)).select(by), by, "left_semi")
 
 
+def select_controls(panel: DataFrame, targets: DataFrame, k: int, mode: str = "corr_t", forced: list[str] = (), fold: str | None = None, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
+    """(treatment, [fold,] series, variance, abs_corr, place): the ``k`` controls of each treatment that vary most or go best with it.
+
+    targets: (treatment, date, t). ``mode``: ``variance``, ``corr_t``, or ``corr_t_then_variance``
+    (half of them by |correlation|, the others by variance). ``forced`` series come first, beyond
+    k; series that do not vary are left out. With a ``fold`` column on the panel, each fold's
+    controls come from the rows of the others: sums of all less its own.
+    """
+    rows = panel.join(targets, at).dropna(subset=[x, "t"])
+    key = ["treatment", by]
+    v, t = F.col(x).cast("double"), F.col("t").cast("double")
+    sums = {"n": F.count("*").cast("double"), "sv": F.sum(v), "st": F.sum(t), "svv": F.sum(v * v), "stt": F.sum(t * t), "svt": F.sum(v * t)}
+    m = rows.groupBy(*key, *([fold] if fold else [])).agg(*[c.alias(n) for n, c in sums.items()])
+    if fold:
+        m = m.select(*key, fold, *[(F.sum(n).over(Window.partitionBy(*key)) - F.col(n)).alias(n) for n in sums])
+    vv, tt, vt = F.expr("svv - sv * sv / n"), F.expr("stt - st * st / n"), F.expr("svt - sv * st / n")
+    m = m.filter("n > 1").withColumns({"variance": vv / (F.col("n") - 1), "abs_corr": F.abs(vt) / F.sqrt(F.when(vv * tt > 1e-20, vv * tt))})
+    group = ["treatment", *([fold] if fold else [])]
+    is_forced = F.col(by).isin(list(forced))
+    m = m.filter((F.col("variance") > 1e-12) | is_forced).withColumn("__forced", is_forced)
+    w = Window.partitionBy(*group, "__forced")
+    by_corr, by_var = F.round("abs_corr", 9).desc_nulls_last(), F.round("variance", 9).desc()
+    if mode == "corr_t_then_variance":
+        m = m.withColumn("__late", F.row_number().over(w.orderBy(by_corr, by)) > max(1, k // 2))
+        order = [F.when(~F.col("__late"), F.round("abs_corr", 9)).desc_nulls_last(), by_var, F.col(by)]
+    else:
+        order = [by_var if mode == "variance" else by_corr, F.col(by)]
+    placed = m.withColumn("place", F.row_number().over(w.orderBy(*order))).filter(F.col("__forced") | (F.col("place") <= k))
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(F.col("__forced").desc(), "place"))).select(*group, by, "variance", "abs_corr", "place")
+
+
 def snapshot_id(rows: DataFrame, at: str = "quarter_end") -> DataFrame:
     """(snapshot_id): first and last day and number of rows; ``rows<n>`` without days, ``empty`` without rows."""
     n, days = F.count("*"), F.count(at)

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, normal_p, rounded
-from macrotide.operators import calendar, events, inference
+from macrotide.operators import calendar, controls, events, inference
 from macrotide.plans.registry import query
 from macrotide.plans.result_queries import BOTH, KEY, _both
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results
@@ -124,11 +124,10 @@ def _(spark, d):
     return s.select("estimator", "treatment", "n", F.round(F.when(F.col("n") < 20, 1.96).otherwise(F.least(F.greatest("q", F.lit(1.0)), F.lit(1.8))), 6).alias("threshold"))
 
 
-@query("question_grid", f"{R}, j as (select distinct treatment from results), o as (select distinct outcome from results where outcome <> '5-LOW'), d as (select unnest(['event', 'did']) as design) select treatment, outcome, unnest([0, 1, 2, 4])::integer as horizon, design from j, o, d")
+@query("question_grid", f"{R}, j as (select distinct treatment from results), o as (select distinct outcome from results), d as (select unnest(['event', 'did']) as design) select treatment, outcome, unnest([0, 1, 2, 4])::integer as horizon, design from j, o, d")
 def _(spark, d):
     rows = results(spark, d)
-    missing = rows.select("outcome").distinct().filter("outcome = '5-LOW'")
-    outcomes = rows.select("outcome").distinct().join(missing, "outcome", "left_anti")
+    outcomes = rows.select("outcome").distinct()
     jobs = rows.select("treatment").distinct().crossJoin(outcomes)
     return jobs.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (0, 1, 2, 4)]))).withColumn("design", F.explode(F.array(F.lit("event"), F.lit("did"))))
 
@@ -158,15 +157,19 @@ def _(spark, d):
     return rows.groupBy("series").agg(F.count("*").alias("n"), F.round(corr("value", "ind"), 5).alias("correlation"), F.round(F.stddev_samp("ratio") / F.avg("ratio"), 5).alias("cv"), F.round(median[3] / median[1] - 1, 5).alias("drift"))
 
 
-@query("lead_test", f"{N}, t as (select date, value - lag(value) over (order by date) as s, lead(value) over (order by date) - value as s1 from panel_nation where series = 'NATION_0'), p as (select series, date, value - lag(value) over {W} as y from panel_nation where series <> 'NATION_0'), r as (select series, y, s, s1 from p join t using (date) where y is not null and s is not null and s1 is not null), m as (select series, count(*) as n, corr(y, s) as ys, corr(y, s1) as y1, corr(s, s1) as c from r group by series), q as (select series, n, ys * ys as r0, (ys * ys + y1 * y1 - 2 * ys * y1 * c) / (1 - c * c) as r1 from m) select series, n, round((r1 - r0) * (n - 3) / (1 - r1), 4) as f from q where n > 12")
+@query("lead_test", f"""{N}, t as (select date, value - lag(value) over w as s, lead(value) over w - value as s1, lead(value, 2) over w - lead(value) over w as s2 from panel_nation where series = 'NATION_0' window w as (order by date)),
+p as (select series, date, value - lag(value) over {W} as y from panel_nation where series <> 'NATION_0'), r as (select series, y, s, s1, s2 from p join t using (date) where y is not null and s is not null and s1 is not null and s2 is not null),
+a as (select series, count(*) as n, avg(y) as my, avg(s) as ms, avg(s1) as m1, avg(s2) as m2, regr_slope(y, s) as b0, regr_slope(s1, s) as b1, regr_slope(s2, s) as b2 from r group by series having count(*) > 12),
+e as (select series, n, y - my - b0 * (s - ms) as ey, s1 - m1 - b1 * (s - ms) as e1, s2 - m2 - b2 * (s - ms) as f2 from r join a using (series)), c as (select series, sum(e1 * f2) / sum(e1 * e1) as g from e group by series),
+z as (select series, any_value(n) as n, sum(ey * ey) as ssr, pow(sum(e1 * ey), 2) / sum(e1 * e1) + pow(sum((f2 - g * e1) * ey), 2) / sum(pow(f2 - g * e1, 2)) as gain from e join c using (series) group by series)
+select series, n, round(gain / 2 / ((ssr - gain) / (n - 4)), 4) as f from z""")
 def _(spark, d):
     panel = panel_nation(spark, d)
     w, one = Window.partitionBy("series").orderBy("date"), F.col("series") == "NATION_0"
-    moves = panel.withColumns({"move": F.col("value") - F.lag("value").over(w), "next": F.lead("value").over(w) - F.col("value")})
-    shock = moves.filter(one).select("date", F.col("move").alias("s"), F.col("next").alias("s1"))
-    rows = moves.filter(~one).select("series", "date", F.col("move").alias("y")).join(shock, "date").filter("y is not null and s is not null and s1 is not null")
-    m = rows.groupBy("series").agg(F.count("*").alias("n"), corr("y", "s").alias("ys"), corr("y", "s1").alias("y1"), corr("s", "s1").alias("c")).filter("n > 12")
-    return m.selectExpr("series", "n", "ys * ys as r0", "(ys * ys + y1 * y1 - 2 * ys * y1 * c) / (1 - c * c) as r1").select("series", "n", F.round(F.expr("(r1 - r0) * (n - 3) / (1 - r1)"), 4).alias("f"))
+    moves = panel.withColumn("move", F.col("value") - F.lag("value").over(w))
+    shock = moves.filter(one).select("date", F.col("move").alias("s"), F.lead("move").over(w).alias("s1"), F.lead("move", 2).over(w).alias("s2"))
+    rows = moves.filter(~one).select("series", "date", F.col("move").alias("y")).join(shock, "date")
+    return controls.joint_test(rows, ["series"], "y", ["s"], ["s1", "s2"]).select("series", "n", F.round("f", 4).alias("f"))
 
 
 @query("confirmatory_join", f"{R}, c as (select treatment, outcome, horizon, p, row_number() over (partition by treatment, outcome order by p, horizon) as r from results where estimator = 'lp'), k as (select treatment, outcome, min(p) as p_dml from results where estimator = 'dml' and horizon <= 3 group by all) select coalesce(c.treatment, k.treatment) as treatment, coalesce(c.outcome, k.outcome) as outcome, c.horizon as best_horizon, case when c.p < 0.05 and k.p_dml < 0.05 then 'A' when c.p < 0.05 or k.p_dml < 0.05 then 'B' else 'C' end as tier from (select * from c where r = 1) c full join k on c.treatment = k.treatment and c.outcome = k.outcome")

@@ -32,11 +32,11 @@ def _(spark, d):
     return rows.select("label", "date", F.round("v", 6).alias("dense"), F.when(F.month("date") % 3 == 0, F.round("v", 6)).alias("sparse"))
 
 
-@query("policy_route_compare", f"{R}, a as (select treatment, outcome, count(*) as n, avg(se) as mean_se from results where estimator = 'lp' and outcome <> '5-LOW' group by all), b as (select treatment, outcome, count(*) as n, avg(se) as mean_se from results where estimator = 'dml' and outcome <> '1-URGENT' group by all) select coalesce(a.treatment, b.treatment) as treatment, coalesce(a.outcome, b.outcome) as outcome, a.n as n_base, b.n as n_candidate, round(b.mean_se / nullif(a.mean_se, 0), 6) as se_ratio from a full join b on a.treatment = b.treatment and a.outcome = b.outcome")
+@query("policy_route_compare", f"{R}, a as (select treatment, outcome, count(*) as n, avg(se) as mean_se from results where estimator = 'lp' group by all), b as (select treatment, outcome, count(*) as n, avg(se) as mean_se from results where estimator = 'dml' group by all) select coalesce(a.treatment, b.treatment) as treatment, coalesce(a.outcome, b.outcome) as outcome, a.n as n_base, b.n as n_candidate, round(b.mean_se / nullif(a.mean_se, 0), 6) as se_ratio from a full join b on a.treatment = b.treatment and a.outcome = b.outcome")
 def _(spark, d):
     rows = results(spark, d)
-    a = rows.filter("estimator = 'lp' and outcome <> '5-LOW'").groupBy("treatment", "outcome").agg(F.count("*").alias("n_base"), F.avg("se").alias("se_a"))
-    b = rows.filter("estimator = 'dml' and outcome <> '1-URGENT'").groupBy("treatment", "outcome").agg(F.count("*").alias("n_candidate"), F.avg("se").alias("se_b"))
+    a = rows.filter("estimator = 'lp'").groupBy("treatment", "outcome").agg(F.count("*").alias("n_base"), F.avg("se").alias("se_a"))
+    b = rows.filter("estimator = 'dml'").groupBy("treatment", "outcome").agg(F.count("*").alias("n_candidate"), F.avg("se").alias("se_b"))
     return a.join(b, ["treatment", "outcome"], "full").select("treatment", "outcome", "n_base", "n_candidate", F.round(F.try_divide("se_b", "se_a"), 6).alias("se_ratio"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import clip, corr, rounded, safe_ln, yeo_johnson, yeo_johnson_inverse
-from macrotide.operators import calendar, cleaning
+from macrotide.operators import calendar, cleaning, evaluation, selection
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_D, PANEL_GAPS, PANEL_M, PANEL_NATION, panel_d, panel_gaps, panel_m, panel_nation
 
@@ -348,15 +348,13 @@ def _(spark, d):
 
 
 @query("evaluate_candidates", f"""{M}, c as (select series, date, value as truth, k.name, case k.name when 'naive' then lag(value) over (partition by series, k.name order by date) else avg(value) over (partition by series, k.name order by date rows between 3 preceding and 1 preceding) end as guess from panel_m, (select unnest(['naive', 'mean3']) as name) k),
-e as (select series, name as candidate, avg(abs(guess - truth)) as mae, sqrt(avg((guess - truth) * (guess - truth))) as rmse, avg(case when abs(truth) > 1e-12 then abs((guess - truth) / truth) end) as mape from c where guess is not null group by all)
-select series, candidate, round(mae, 6) as mae, round(rmse, 6) as rmse, round(mape, 6) as mape, row_number() over (partition by series order by rmse, candidate) as place from e""")
+e as (select series, name as candidate, avg(abs(guess - truth)) as mae, sqrt(avg((guess - truth) * (guess - truth))) as rmse, avg(case when abs(truth) > 1e-8 then abs((guess - truth) / truth) end) as mape, case when var_pop(truth) * count(*) > 1e-12 then 1 - sum((guess - truth) * (guess - truth)) / (var_pop(truth) * count(*)) end as r2 from c where guess is not null group by all)
+select series, candidate, round(mae, 6) as mae, round(rmse, 6) as rmse, round(mape, 6) as mape, round(r2, 5) as r2, row_number() over (partition by series order by round(rmse, 9), candidate) as place, row_number() over (partition by series order by round(rmse, 9), candidate) = 1 as recommended from e""")
 def _(spark, d):
     w = Window.partitionBy("series").orderBy("date")
     wide = panel_m(spark, d).withColumns({"naive": F.lag("value").over(w), "mean3": F.avg("value").over(w.rowsBetween(-3, -1))})
     rows = wide.select("series", F.col("value").alias("truth"), F.explode(F.array(*[F.struct(F.lit(k).alias("candidate"), F.col(k).alias("guess")) for k in ("naive", "mean3")])).alias("c")).select("series", "truth", "c.*").filter("guess is not null")
-    error = F.col("guess") - F.col("truth")
-    out = rows.groupBy("series", "candidate").agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.when(F.abs("truth") > 1e-12, F.abs(error / F.col("truth")))).alias("mape"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("series").orderBy("rmse", "candidate"))).select("series", "candidate", *rounded("mae", "rmse", "mape"), "place")
+    return evaluation.evaluate_candidates(rows, ["series"]).select("series", "candidate", *rounded("mae", "rmse", "mape"), F.round("r2", 5).alias("r2"), "place", "recommended")
 
 
 @query("corr_matrix", f"""{N} select a.series as left_series, b.series as right_series, count(*) as n, round(corr(a.value, b.value), 6) as correlation from panel_nation a join panel_nation b on a.date = b.date and a.series < b.series group by all having count(*) >= 24""")
@@ -366,15 +364,15 @@ def _(spark, d):
     return a.join(b, "date").filter("left_series < right_series").groupBy("left_series", "right_series").agg(F.count("*").alias("n"), F.round(corr("x", "y"), 6).alias("correlation")).filter("n >= 24")
 
 
-@query("select_controls", f"""{N}, t as (select date, value as t from panel_nation where series = 'NATION_0'), s as (select series, var_samp(value) as v, abs(corr(value, t)) as c from panel_nation join t using (date) where series <> 'NATION_0' group by series),
-k as (select *, row_number() over (order by c desc, series) as place from s) select series, round(v, 6) as variance, round(c, 6) as abs_corr, place from k where place <= 8""")
+@query("select_controls", f"""{N}, {PANEL_M}, s as (select m.series as treatment, n.series, var_samp(n.value) as v, abs(corr(n.value, m.value)) as c from panel_nation n join panel_m m using (date) group by all),
+r as (select *, row_number() over (partition by treatment order by round(v, 9) desc, series) as rv, row_number() over (partition by treatment order by round(c, 9) desc, series) as rc from s),
+h as (select *, row_number() over (partition by treatment, rc <= 4 order by round(v, 9) desc, series) + 4 as rest from r),
+u as (select 'variance' as mode, treatment, series, v, c, rv as place from h union all select 'corr_t', treatment, series, v, c, rc from h union all select 'corr_t_then_variance', treatment, series, v, c, case when rc <= 4 then rc else rest end from h)
+select mode, treatment, series, round(v, 6) as variance, round(c, 6) as abs_corr, place from u where place <= 8""")
 def _(spark, d):
-    panel = panel_nation(spark, d)
-    target = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("t"))
-    stats = panel.filter("series <> 'NATION_0'").join(target, "date").groupBy("series").agg(F.var_samp("value").alias("variance"), F.abs(corr("value", "t")).alias("abs_corr"))
-    # one row for each candidate control
-    placed = stats.withColumn("place", F.row_number().over(Window.orderBy(F.desc("abs_corr"), "series"))).filter("place <= 8")
-    return placed.select("series", *rounded("variance", "abs_corr"), "place")
+    panel, targets = panel_nation(spark, d), panel_m(spark, d).select(F.col("series").alias("treatment"), "date", F.col("value").alias("t"))
+    modes = [selection.select_controls(panel, targets, 8, mode).withColumn("mode", F.lit(mode)) for mode in ("variance", "corr_t", "corr_t_then_variance")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2]).select("mode", "treatment", "series", *rounded("variance", "abs_corr"), "place")
 
 
 @query("limiting_series", f"""{G}, f as (select series, min(date) as first_date from panel_gaps where value is not null and value > 1 group by series), p as (select a.series as left_series, b.series as right_series, greatest(a.first_date, b.first_date) as start, case when a.first_date >= b.first_date then a.series else b.series end as limiting from f a join f b on a.series < b.series)

@@ -28,11 +28,13 @@ def _projection_sql(panel: str, source: str, pairs: str, state: str = "") -> str
     key = "treatment, outcome, horizon" + (", state" if state else "")
     extra = ", state" if state else ""
     leads = " union all ".join(f"select series as outcome, date, {h} as horizon, lead(value, {h}) over {W} - lag(value) over {W} as y, before from moved" for h in range(HORIZONS + 1))
+    det = "(var_pop(before) * var_pop(past) - pow(covar_pop(before, past), 2))"
+    slopes = ", ".join(f"({own} * covar_pop({a}, {v}) - covar_pop(before, past) * covar_pop({b}, {v})) / {det} as {n}" for v in ("y", "shock") for a, b, own, n in (("before", "past", "var_pop(past)", f"b_{v}"), ("past", "before", "var_pop(before)", f"g_{v}")))
     return f"""with {panel}, m0 as (select *, value - lag(value) over {W} as move{', ' + state + ' as state' if state else ''} from {source}),
 moved as (select *, lag(move) over {W} as before from m0), ahead as ({leads}),
-design as (select s.series as treatment, a.outcome, a.date, a.horizon, a.y, s.move as shock, a.before{', s.state' if state else ''} from ahead a join moved s on a.date = s.date join ({pairs}) p on p.treatment = s.series and p.outcome = a.outcome where a.y is not null and s.move is not null and a.before is not null),
-st as (select {key}, avg(before) as mc, avg(y) as m_y, avg(shock) as m_s, coalesce(regr_slope(y, before), 0) as b_y, coalesce(regr_slope(shock, before), 0) as b_s, stddev_samp(shock) as sd from design group by {key}),
-cleared as (select {key}, date, y - m_y - b_y * (before - mc) as y, shock - m_s - b_s * (before - mc) as x from design join st using ({key})),
+design as (select s.series as treatment, a.outcome, a.date, a.horizon, a.y, s.move as shock, s.before as past, a.before{', s.state' if state else ''} from ahead a join moved s on a.date = s.date join ({pairs}) p on p.treatment = s.series and p.outcome = a.outcome where a.y is not null and s.move is not null and s.before is not null and a.before is not null),
+st as (select {key}, avg(before) as mb, avg(past) as mp, avg(y) as m_y, avg(shock) as m_s, {slopes}, stddev_samp(shock) as sd from design group by {key}),
+cleared as (select {key}, date, y - m_y - b_y * (before - mb) - g_y * (past - mp) as y, shock - m_s - b_shock * (before - mb) - g_shock * (past - mp) as x from design join st using ({key})),
 {_hac_sql('cleared', key, 'date', LAGS)}
 select {key}, n, round(beta, 6) as beta, round(se, 6) as se, round(beta * sd, 6) as effect, round(se * sd, 6) as effect_se, round({normal_p_sql('(beta / nullif(se, 0))')}, 6) as p from hac join st using ({key})"""
 
@@ -184,11 +186,11 @@ def _(spark, d):
 
 @query("did_event_path", f"""{EVENTS}, h as (select unnest(range(-3, 5)) as h), p as (select ev.series, h.h::integer as event_time, c.value - b.value as change from ev, h join c on c.series = ev.series and c.i = ev.i + h.h join c b on b.series = ev.series and b.i = ev.i - 1),
 s as (select event_time, count(*) as n, avg(change) as effect, stddev_samp(change) / sqrt(count(*)) as se from p group by event_time)
-select event_time, n, round(effect, 6) as effect, round(se, 6) as se, round(effect - 1.96 * se, 6) as lo, round(effect + 1.96 * se, 6) as hi from s""")
+select event_time, n, round(effect, 6) as effect, round(se, 6) as se, round(effect - 1.96 * se, 6) as lo, round(effect + 1.96 * se, 6) as hi, round({normal_p_sql('(effect / nullif(se, 0))')}, 6) as p from s""")
 def _(spark, d):
     panel = panel_nation(spark, d)
     rows = events.event_panel(panel, events.select_events(panel, 0.8, 4), -3, 4, -1)
-    return events.event_path(rows).select("event_time", "n", *rounded("effect", "se", "lo", "hi"))
+    return events.event_path(rows).select("event_time", "n", *rounded("effect", "se", "lo", "hi", "p"))
 
 
 @query("placebo_events", f"""{EVENTS}, pl as (select series, i - 6 as i, row_number() over (partition by series order by i) as k from ev where i > 6), pg(series, k, i, last) as (select series, k, i, i from pl where k = 1 union all select pl.series, pl.k, pl.i, case when pl.i - pg.last >= 4 then pl.i else pg.last end from pg join pl on pl.series = pg.series and pl.k = pg.k + 1)

@@ -136,10 +136,10 @@ def _(spark, d):
     return a.join(b, KEY).select(*KEY, (F.signum("e_lp") != F.signum("e_dml")).cast("int").alias("sign_flip"), ((F.col("p_lp") < 0.1) != (F.col("p_dml") < 0.1)).cast("int").alias("significance_flip"), (F.col("r_dml") - F.col("r_lp")).alias("rank_shift"))
 
 
-@query("latest_results", f"""{R}, r as (select *, horizon % 3 as spec, n as run from results), k as (select *, row_number() over (partition by estimator, treatment, outcome, spec order by run desc, horizon) as r from r where horizon <> 7)
+@query("latest_results", f"""{R}, r as (select *, horizon % 3 as spec, n as run from results), k as (select *, row_number() over (partition by estimator, treatment, outcome, spec order by run desc, horizon) as r from r)
 select estimator, treatment, outcome, spec, horizon, run, estimate from k where r = 1""")
 def _(spark, d):
-    rows = results(spark, d).filter("horizon <> 7").withColumns({"spec": F.col("horizon") % 3, "run": F.col("n")})
+    rows = results(spark, d).withColumns({"spec": F.col("horizon") % 3, "run": F.col("n")})
     return inference.latest(rows, ["estimator", "treatment", "outcome", "spec"], [F.desc("run"), F.col("horizon")]).select("estimator", "treatment", "outcome", "spec", "horizon", "run", "estimate")
 
 
@@ -180,14 +180,14 @@ def _(spark, d):
     return pairs.withColumn("kind", F.explode(F.array(F.lit("iv"), F.lit("lp_iv")))).withColumn("horizon", F.explode(F.array(F.lit(0), F.lit(4), F.lit(8))))
 
 
-@query("drift_report", f"""{R}, a as (select treatment || '/' || outcome || '/' || horizon as name, case when p < 0.1 then 'pass' else 'fail' end as status, estimate as score from results where estimator = 'lp' and horizon <> 1), b as (select treatment || '/' || outcome || '/' || horizon as name, case when p < 0.1 then 'pass' else 'fail' end as status, estimate as score from results where estimator = 'dml' and horizon <> 2),
+@query("drift_report", f"""{R}, a as (select treatment || '/' || outcome || '/' || horizon as name, case when p < 0.1 then 'pass' else 'fail' end as status, estimate as score from results where estimator = 'lp'), b as (select treatment || '/' || outcome || '/' || horizon as name, case when p < 0.1 then 'pass' else 'fail' end as status, estimate as score from results where estimator = 'dml'),
 j as (select coalesce(a.name, b.name) as name, a.name is null as gone, b.name is null as fresh, a.status as s1, b.status as s0, a.score as v1, b.score as v0 from a full join b on a.name = b.name)
 select name, case when gone then 'removed' when fresh then 'added' when s1 is distinct from s0 or abs(v1 - v0) > 1e-12 then 'changed' else 'same' end as change, round(v1 - v0, 6) as delta, case when gone or fresh then 'medium' when s1 is distinct from s0 or abs(v1 - v0) >= 0.05 then 'high' else 'low' end as severity from j""")
 def _(spark, d):
     name = F.concat_ws("/", "treatment", "outcome", "horizon")
     rows = results(spark, d).select("estimator", "horizon", name.alias("name"), F.when(F.col("p") < 0.1, "pass").otherwise("fail").alias("status"), F.col("estimate").alias("score"))
-    now = rows.filter("estimator = 'lp' and horizon <> 1").select("name", F.col("status").alias("s1"), F.col("score").alias("v1"))
-    then = rows.filter("estimator = 'dml' and horizon <> 2").select("name", F.col("status").alias("s0"), F.col("score").alias("v0"))
+    now = rows.filter("estimator = 'lp'").select("name", F.col("status").alias("s1"), F.col("score").alias("v1"))
+    then = rows.filter("estimator = 'dml'").select("name", F.col("status").alias("s0"), F.col("score").alias("v0"))
     j = now.join(then, "name", "full")
     other = ~F.col("s1").eqNullSafe(F.col("s0"))
     delta = F.col("v1") - F.col("v0")

@@ -103,11 +103,11 @@ def _(spark, d):
     return b.join(a, "event_type").select("event_type", "n_b", "n_a", F.round(F.try_divide("n_b", "n_a"), 6).alias("n_ratio"), F.round(F.try_divide("m_b", "m_a"), 6).alias("mean_ratio"))
 
 
-@query("panel_compare", f"""with {PANEL_GAPS}, j as (select coalesce(a.series, b.series) as series, a.value as x, b.value as y from panel_m a full join (select * from panel_gaps where month(date) <> 5) b using (series, date))
+@query("panel_compare", f"""with {PANEL_GAPS}, j as (select coalesce(a.series, b.series) as series, a.value as x, b.value as y from panel_m a full join panel_gaps b using (series, date))
 select series, count(*) as n, count_if(x is null or y is null)::bigint as unmatched, round(max(abs(x - y)), 6) as max_abs, round(sqrt(avg((x - y) * (x - y))), 6) as rmse, round(avg(abs(x - y) / nullif(abs(x), 0)), 6) as mean_rel, round(corr(x, y), 6) as correlation from j group by series""")
 def _(spark, d):
     a = panel_m(spark, d).withColumnRenamed("value", "x")
-    b = panel_gaps(spark, d).filter(F.month("date") != 5).withColumnRenamed("value", "y")
+    b = panel_gaps(spark, d).withColumnRenamed("value", "y")
     gap = F.col("x") - F.col("y")
     return a.join(b, ["series", "date"], "full").groupBy("series").agg(F.count("*").alias("n"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("unmatched"), F.round(F.max(F.abs(gap)), 6).alias("max_abs"), F.round(F.sqrt(F.avg(gap * gap)), 6).alias("rmse"), F.round(F.avg(F.try_divide(F.abs(gap), F.abs("x"))), 6).alias("mean_rel"), F.round(corr("x", "y"), 6).alias("correlation"))
 
