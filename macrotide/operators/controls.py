@@ -104,14 +104,17 @@ def partial_out(df: DataFrame, by: list[str], ys: list[str], xs: list[str], ridg
     return _cleared(df.dropna(subset=[*xs, *ys]).join(fits, by), ys, xs)
 
 
-def out_of_fold(df: DataFrame, by: list[str], fold: str, ys: list[str], xs: list[str], ridge: float = 0.0) -> DataFrame:
-    """As ``partial_out``, with the fit of the rows of the other folds: moments of all less those of the own fold. A fold without a fit is left out."""
-    held = df.dropna(subset=[*xs, *ys, fold])
-    moments, places = _moments(held, [*by, fold], [*xs, *ys])
+def fold_fits(df: DataFrame, by: list[str], fold: str, ys: list[str], xs: list[str], ridge: float = 0.0) -> DataFrame:
+    """(*by, fold, b_<y>: array): the fit of the rows of the other folds, from moments of all less those of the own fold. A fold without a fit is left out."""
+    moments, places = _moments(df.dropna(subset=[*xs, *ys, fold]), [*by, fold], [*xs, *ys])
     whole = Window.partitionBy(*by)
     rest = moments.select(*by, fold, *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ["n", *[f"m{k}" for k in range(len(places))]]])
-    fits = _solve(rest, [*by, fold], places, len(xs), ys, ridge, 0, 1e12).filter("reason is null").select(*by, fold, *[f"b_{y}" for y in ys])
-    return _cleared(held.join(fits, [*by, fold]), ys, xs)
+    return _solve(rest, [*by, fold], places, len(xs), ys, ridge, 0, 1e12).filter("reason is null").select(*by, fold, *[f"b_{y}" for y in ys])
+
+
+def out_of_fold(df: DataFrame, by: list[str], fold: str, ys: list[str], xs: list[str], ridge: float = 0.0) -> DataFrame:
+    """As ``partial_out``, with the fit of the rows of the other folds (``fold_fits``)."""
+    return _cleared(df.dropna(subset=[*xs, *ys, fold]).join(fold_fits(df, by, fold, ys, xs, ridge), [*by, fold]), ys, xs)
 
 
 def partially_linear(df: DataFrame, by: list[str], at: str, y: str, d: str, xs: list[str], fold: str, lags: int = 3, ridge: float = 0.0) -> DataFrame:

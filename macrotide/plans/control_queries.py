@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import rounded
-from macrotide.operators import constraints, controls, selection
+from macrotide.operators import constraints, controls, effects, selection
 from macrotide.plans.regression_queries import _hac_sql, _pairs
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, panel_gaps, panel_m, panel_nation
@@ -86,6 +86,22 @@ def _(spark, d):
     return controls.partially_linear(_shocked(spark, d), ["series"], "date", "y", "d", ["c"], "fold").select("series", "n", *rounded("beta", "se"))
 
 
+@query("tmle_ate")
+def _(spark, d):
+    """The effect of months in which the first nation is above its mean, on each other nation."""
+    rows = _shocked(spark, d).dropna()
+    mean = rows.groupBy("series").agg(F.avg("d").alias("mean"))
+    rows = rows.join(mean, "series").withColumn("a", (F.col("d") > F.col("mean")).cast("double"))
+    out = effects.tmle_ate(rows, ["series"], "date", "y", "a", ["c"], "fold")
+    return out.select("series", "eps", "n", *rounded("estimate", "se", "lo", "hi", "p", "ess", digits=5))
+
+
+@query("r_learner_effects")
+def _(spark, d):
+    rows, _ = effects.r_learner(_shocked(spark, d).withColumn("month", F.month("date").cast("double")), "y", "d", ["c", "month"], "fold", [0, 1, 2])
+    return effects.segment_effects(rows, ["series"], "y", "d").select("series", "n", *rounded("mean_effect", "ate", digits=5))
+
+
 def _ridge_sql(d: str, extra: str = "") -> str:
     return f"""(with h as (select series, date, y, {d} as d, c from r), g as (select * from h where d is not null and c is not null),
 s as (select series, avg(y) as my, avg(d) as md, avg(c) as mc, regr_slope(y, c) / 1.1 as sy, regr_slope(d, c) / 1.1 as sd from g group by series),
