@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from macrotide.functions.columns import corr, normal_p, rounded
 from macrotide.operators import calendar, controls, events, inference
 from macrotide.plans.registry import query
-from macrotide.plans.result_queries import BOTH, KEY, _both
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results
 
 QEND = "last_day((date_trunc('quarter', date) + interval 2 month)::date)"
@@ -102,14 +101,6 @@ def _(spark, d):
     return draws.unionByName(draws.filter("draw = 1")).dropDuplicates(["family", "hypothesis", "draw"]).select("family", "hypothesis", "draw", F.round("abs_t", 6).alias("abs_t"))
 
 
-@query("gate_summary", f"""{R}, {BOTH}, g as (select treatment, outcome, horizon, sign(lp) = sign(dml) as stable, p_lp < 0.1 as lp_ok, p_dml < 0.2 as dml_ok from b)
-select treatment, outcome, horizon, case when stable and lp_ok and dml_ok then 'promote' when stable and lp_ok then 'review' else 'hold' end as action, concat_ws(';', case when not stable then 'sign' end, case when not lp_ok then 'lp' end, case when not dml_ok then 'dml' end) as reasons from g""")
-def _(spark, d):
-    stable, lp_ok, dml_ok = F.signum("lp") == F.signum("dml"), F.col("p_lp") < 0.1, F.col("p_dml") < 0.2
-    action = F.when(stable & lp_ok & dml_ok, "promote").when(stable & lp_ok, "review").otherwise("hold")
-    return _both(results(spark, d)).select(*KEY, action.alias("action"), F.concat_ws(";", F.when(~stable, "sign"), F.when(~lp_ok, "lp"), F.when(~dml_ok, "dml")).alias("reasons"))
-
-
 @query("pretrend_triage", f"{R}, c as (select treatment, outcome, max(abs(z)) as lead_t, avg((p < 0.1)::int) as fail_share, list_aggregate(list(horizon order by abs(z) desc, horizon)[1:3], 'string_agg', ',') as worst from results where estimator = 'lp' and horizon <= 4 group by all) select treatment, outcome, round(lead_t * (1 + fail_share), 6) as severity, worst from c")
 def _(spark, d):
     rows = results(spark, d).filter("estimator = 'lp' and horizon <= 4")

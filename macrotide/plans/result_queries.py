@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import inference
+from macrotide.operators import gates, inference
 from macrotide.plans.registry import query
 from macrotide.sources.panels import RESULTS, results
 
@@ -120,11 +120,32 @@ def _(spark, d):
     return rows.groupBy("treatment", "tag").agg(F.count("*").alias("n"), F.sum((F.signum("base") != F.signum("estimate")).cast("int")).alias("flips"), F.round(F.max(F.abs(F.col("base") - F.col("estimate"))), 6).alias("max_delta"))
 
 
-@query("fragility_shares", f"""{R}, {BOTH}, c as (select treatment, outcome, horizon, (p_lp < 0.1 and p_dml >= 0.1) as loses, sign(lp) <> sign(dml) as flips from b)
-select treatment, round(avg(loses::int), 6) as loss_share, round(avg(flips::int), 6) as flip_share, (avg(loses::int) > 0.1 or avg(flips::int) > 0.5)::int as fragile from c group by treatment""")
+CHECKS = f"""{BOTH}, pr as (select treatment, outcome, horizon, lead(p) over (partition by treatment, outcome order by horizon) as p_next from results where estimator = 'lp'),
+checks as (select treatment, outcome, horizon, sign(lp) = sign(dml) as endpoint, p_dml < 0.2 as calibration, p_next >= 0.1 as lead, not (p_lp < 0.1 and p_dml >= 0.1) as episode, abs(lp - dml) <= 0.5 * abs(lp) as wspec from b left join pr using (treatment, outcome, horizon))"""
+GATES = ["endpoint", "calibration", "lead", "episode", "wspec"]
+
+
+def _checks(rows):
+    """Five checks of each key, true where it passes: same sign, calibrated p, nothing a horizon later, significance kept, estimate kept."""
+    w = Window.partitionBy("treatment", "outcome").orderBy("horizon")
+    after = rows.filter("estimator = 'lp'").select(*KEY, F.lead("p").over(w).alias("p_next"))
+    both = _both(rows).join(after, KEY, "left")
+    lost = (F.col("p_lp") < 0.1) & (F.col("p_dml") >= 0.1)
+    return both.select(*KEY, (F.signum("lp") == F.signum("dml")).alias("endpoint"), (F.col("p_dml") < 0.2).alias("calibration"), (F.col("p_next") >= 0.1).alias("lead"), (~lost).alias("episode"), (F.abs(F.col("lp") - F.col("dml")) <= 0.5 * F.abs("lp")).alias("wspec"))
+
+
+@query("gate_summary", f"""{R}, {CHECKS} select treatment, outcome, horizon, case when not (endpoint and calibration and coalesce(lead, true) and episode and wspec) then 'demote' else 'hold' end as action,
+coalesce(nullif(concat_ws(';', {', '.join(f"case when not {g} then '{g.upper()}_FAIL' end" for g in GATES)}), ''), 'PASS') as reasons from checks""")
+def _(spark, d):
+    return gates.gate_summary(_checks(results(spark, d)), KEY, GATES)
+
+
+@query("fragility_shares", f"""{R}, {CHECKS}, s as (select treatment, avg((not lead)::int) as lead_share, avg((not episode)::int) as episode_share, avg((not wspec)::int) as wspec_share from checks group by treatment)
+select treatment, round(lead_share, 6) as lead_share, round(episode_share, 6) as episode_share, round(wspec_share, 6) as wspec_share, lead_share >= 0.1 as lead_fragile, episode_share >= 0.1 as episode_fragile, wspec_share >= 0.5 as wspec_fragile, lead_share >= 0.1 or episode_share >= 0.1 or wspec_share >= 0.5 as fragile from s""")
 def _(spark, d):
-    rows = _both(results(spark, d)).withColumns({"loses": ((F.col("p_lp") < 0.1) & (F.col("p_dml") >= 0.1)).cast("int"), "flips": (F.signum("lp") != F.signum("dml")).cast("int")})
-    return rows.groupBy("treatment").agg(F.round(F.avg("loses"), 6).alias("loss_share"), F.round(F.avg("flips"), 6).alias("flip_share"), ((F.avg("loses") > 0.1) | (F.avg("flips") > 0.5)).cast("int").alias("fragile"))
+    checks = _checks(results(spark, d)).select("treatment", *[(~F.col(c)).alias(c) for c in ("lead", "episode", "wspec")])
+    out = gates.fragility_shares(checks, ["treatment"], {"lead": 0.1, "episode": 0.1, "wspec": 0.5})
+    return out.select("treatment", *rounded("lead_share", "episode_share", "wspec_share"), "lead_fragile", "episode_fragile", "wspec_fragile", "fragile")
 
 
 @query("domain_shift", f"""{R}, k as (select *, row_number() over (partition by estimator, treatment order by abs(estimate) desc, outcome, horizon) as place from results)

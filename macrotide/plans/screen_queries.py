@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import screening
+from macrotide.operators import gates, screening
 from macrotide.plans.registry import query
-from macrotide.sources.panels import PANEL_NATION, normal_p_sql, panel_nation
+from macrotide.sources.panels import PANEL_M, PANEL_NATION, normal_p_sql, panel_m, panel_nation
 
 WIDTH = 24
 
@@ -124,17 +124,22 @@ def _(spark, d):
     return scores.groupBy("target", "candidate").agg(F.count("*").alias("draws"), F.round(F.percentile("score", F.lit(0.05)), 5).alias("q05"), F.round(F.percentile("score", F.lit(0.95)), 5).alias("q95"))
 
 
-@query("nc_candidate_screen", f"with {PANEL_NATION}, t as (select date, value as t from panel_nation where series = 'NATION_0'), c as (select p.series as candidate, p.date, p.value as c, t, lead(t, 1) over (partition by p.series order by p.date) as t1, lead(t, 2) over (partition by p.series order by p.date) as t2 from panel_nation p join t using (date) where p.series <> 'NATION_0'), s as (select candidate, count(*) as n, abs(corr(c, t)) as similarity, greatest(abs(corr(c, t1)), abs(corr(c, t2))) as lead_corr from c group by candidate), k as (select *, 0.65 * (1 - similarity) + 0.35 * (1 - lead_corr) as score from s) select candidate, n, round(similarity, 5) as similarity, round(lead_corr, 5) as lead_corr, round(score, 5) as score, row_number() over (order by round(score, 8) desc, candidate) as place, concat_ws(';', case when similarity > 0.2 then 'similar' end, case when lead_corr > 0.2 then 'leads' end) as reasons from k")
+def _t_sql(h: int) -> str:
+    return f"abs(corr(t, c{h})) * sqrt((count(c{h}) - 2) / (1 - corr(t, c{h}) * corr(t, c{h})))"
+
+
+@query("nc_candidate_screen", f"""with {PANEL_NATION}, {PANEL_M}, a as (select series as candidate, date, value as c, {', '.join(f'lead(value, {h}) over (partition by series order by date) as c{h}' for h in (1, 2, 3, 4))} from panel_nation),
+q as (select t.series as treatment, y.series as outcome, date, t.value as t, y.value as y from panel_m t join panel_nation y using (date) where y.series in ('NATION_0', 'NATION_1')),
+s as (select treatment, outcome, candidate, count(*) as n, case when count(*) >= 24 then abs(corr(y, c)) end as similarity, greatest({', '.join(_t_sql(h) for h in (1, 2, 3, 4))}) as lead_t from q join a using (date) where candidate <> outcome group by all),
+k as (select *, 0.65 * coalesce(similarity, 0) + 0.35 / (1 + lead_t) as score from s), r as (select *, row_number() over (partition by treatment, outcome order by round(score, 9) desc, round(similarity, 9) desc nulls last, round(lead_t, 9), candidate) as place, coalesce(similarity >= 0.2, false) as alike, lead_t <= 1.645 as quiet from k)
+select treatment, outcome, candidate, n, round(similarity, 5) as similarity, round(lead_t, 4) as lead_t, round(score, 5) as score, place, case when not (alike and quiet) then 'drop' when place <= 5 then 'select' else 'demote' end as decision,
+concat_ws(';', case when not alike then 'SIMILARITY_FAIL' end, case when not quiet then 'NULL_SCREEN_FAIL' end, case when alike and quiet then case when place <= 5 then 'PASS' else 'RANK' end end) as reasons from r""")
 def _(spark, d):
     panel = panel_nation(spark, d)
-    t = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("t"))
-    w = Window.partitionBy("candidate").orderBy("date")
-    rows = panel.filter("series <> 'NATION_0'").select(F.col("series").alias("candidate"), "date", F.col("value").alias("c")).join(t, "date").withColumns({"t1": F.lead("t", 1).over(w), "t2": F.lead("t", 2).over(w)})
-    s = rows.groupBy("candidate").agg(F.count("*").alias("n"), F.abs(corr("c", "t")).alias("similarity"), F.greatest(F.abs(corr("c", "t1")), F.abs(corr("c", "t2"))).alias("lead_corr"))
-    s = s.withColumn("score", 0.65 * (1 - F.col("similarity")) + 0.35 * (1 - F.col("lead_corr")))
-    s = s.withColumn("place", F.row_number().over(Window.orderBy(F.desc(F.round("score", 8)), "candidate")))  # one row for each candidate
-    reasons = F.concat_ws(";", F.when(F.col("similarity") > 0.2, "similar"), F.when(F.col("lead_corr") > 0.2, "leads"))
-    return s.select("candidate", "n", *rounded("similarity", "lead_corr", "score", digits=5), "place", reasons.alias("reasons"))
+    t = panel_m(spark, d).select(F.col("series").alias("treatment"), "date", F.col("value").alias("t"))
+    y = panel.filter("series in ('NATION_0', 'NATION_1')").select(F.col("series").alias("outcome"), "date", F.col("value").alias("y"))
+    out = gates.control_screen(panel, t.join(y, "date"))
+    return out.select("treatment", "outcome", "candidate", "n", F.round("similarity", 5).alias("similarity"), F.round("lead_t", 4).alias("lead_t"), F.round("score", 5).alias("score"), "place", "decision", "reasons")
 
 
 @query("block_permutation_test", f"with {PANEL_NATION}, t as (select date, value as t from panel_nation where series = 'NATION_0'), r as (select p.series, p.value as y, t, row_number() over (partition by p.series order by p.date) - 1 as i from panel_nation p join t using (date) where p.series <> 'NATION_0'), b as (select distinct series, i // 6 as b from r), o as (select series, draw, b, row_number() over (partition by series, draw order by md5(series || '|' || draw || '|' || b), b) - 1 as place from b, (select unnest(range(1, 30)) as draw)), q as (select r.series, o.draw, r.t, row_number() over (partition by r.series, o.draw order by o.place, r.i) - 1 as i from r join o on o.series = r.series and o.b = r.i // 6), n as (select q.series, draw, abs(corr(q.t, r.y)) as null_corr from q join r using (series, i) group by all), s as (select series, abs(corr(t, y)) as observed from r group by series) select series, round(any_value(observed), 5) as observed, round((1 + sum((null_corr >= observed - 1e-9)::int)) / (1 + count(*)), 5) as permutation_p from n join s using (series) group by series")
