@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, normal_p, rounded
-from macrotide.operators import calendar, controls, events, inference
+from macrotide.operators import calendar, controls, events, factors, inference, shocks
 from macrotide.plans.registry import query
-from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results
+from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results, table
 
 QEND = "last_day((date_trunc('quarter', date) + interval 2 month)::date)"
 R, N, M, G = f"with {RESULTS}", f"with {PANEL_NATION}", f"with {PANEL_M}", f"with {PANEL_GAPS}"
@@ -175,27 +174,41 @@ def _(spark, d):
 
 @query("factor_extract")
 def _(spark, d):
-    """Loadings of the first three principal components of the nations' panel, signed by the largest loading."""
-    panel = panel_nation(spark, d)
-    names = sorted(r.series for r in panel.select("series").distinct().collect())  # the nations
-    wide = panel.groupBy("date").pivot("series", names).agg(F.max("value"))
-    filled = Imputer(strategy="median", inputCols=names, outputCols=names).fit(wide).transform(wide)
-    vectors = VectorAssembler(inputCols=names, outputCol="raw").transform(filled)
-    scaled = StandardScaler(inputCol="raw", outputCol="x", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    model = PCA(k=min(3, len(names)), inputCol="x", outputCol="f").fit(scaled)
-    share, loads = model.explainedVariance.toArray(), model.pc.toArray()
-    signs = [1 if abs(c.max()) >= abs(c.min()) else -1 for c in loads.T]
-    rows = [(names[i], k + 1, round(float(loads[i, k]) * signs[k], 6), round(float(share[k]), 6)) for i in range(len(names)) for k in range(loads.shape[1])]
-    return spark.createDataFrame(rows, "series string, factor int, loading double, variance_share double")
+    """Loadings of the nations' principal components: as many as explain 60 % of the variance, eight at most."""
+    names = sorted(r["n_name"] for r in table(spark, d, "nation").select("n_name").collect())  # the nations
+    wide = panel_nation(spark, d).groupBy("date").agg(*[F.max(F.when(F.col("series") == n, F.col("value"))).alias(n) for n in names]).withColumn("all", F.lit(1))
+    filled = shocks.median_filled(wide, ["all"], names)
+    fits = factors.components(filled, ["all"], names, threshold=0.6, most=8)
+    return factors.loading_table(fits, ["all"], names).select(F.col("name").alias("series"), "factor", *rounded("loading"), F.round("share", 6).alias("variance_share"))
+
+
+def _events_sql(cut: float, name: str) -> str:
+    """CTEs that end in <name>(series, i): the events of one threshold, at least four rows apart."""
+    return f"""q{name} as (select series, quantile_cont(move, {cut}) as cut from c where move is not null group by series), x{name} as (select c.series, i, row_number() over (partition by c.series order by i) as k from c join q{name} using (series) where move >= cut),
+g{name}(series, k, i, last) as (select series, k, i, i from x{name} where k = 1 union all select x.series, x.k, x.i, case when x.i - g.last >= 4 then x.i else g.last end from g{name} g join x{name} x on x.series = g.series and x.k = g.k + 1), {name} as (select distinct series, last as i from g{name})"""
+
+
+def _path_sql(events: str, times: str) -> str:
+    """Mean changes of (series, event_time) and their p."""
+    return f"""(select *, {normal_p_sql('(effect / nullif(se, 0))')} as p from (select e.series, h.h as event_time, count(*) as n, avg(c.value - b.value) as effect, stddev_samp(c.value - b.value) / sqrt(count(*)) as se
+from {events} e, (select unnest({times}) as h) h join c on c.series = e.series and c.i = e.i + h.h join c b on b.series = e.series and b.i = e.i - 1 group by all))"""
 
 
-@query("id_diagnostics", None)
+@query("id_diagnostics", f"""with recursive {PANEL_NATION}, c as (select series, date, row_number() over {W} as i, value, value - lag(value) over {W} as move from panel_nation), {_events_sql(0.8, 'ev')}, {_events_sql(0.7, 'lo')},
+xpl as (select series, i - 6 as i, row_number() over (partition by series order by i) as k from ev where i > 6), gpl(series, k, i, last) as (select series, k, i, i from xpl where k = 1 union all select x.series, x.k, x.i, case when x.i - g.last >= 4 then x.i else g.last end from gpl g join xpl x on x.series = g.series and x.k = g.k + 1), pl as (select distinct series, last as i from gpl),
+path as {_path_sql('ev', 'range(-3, 5)')}, pp as {_path_sql('pl', 'range(0, 1)')}, m as (select series, quantile_cont(effect, 0.5) as m from path where event_time >= 0 group by series),
+f as (select series, min(p) filter (event_time < -1) as pretrend_p, count(*) filter (event_time >= 0) / 5 as overlap, avg((sign(effect) = sign(m) and abs(effect) >= 0.5 * abs(m))::int) filter (event_time >= 0) as stability from path left join m using (series) group by series),
+j as (select coalesce(ev.series, lo.series) as series, count(ev.i) as n_events, count(lo.i) as n_looser, count_if(ev.i is not null and lo.i is not null) / count(*) as jaccard from ev full join lo on ev.series = lo.series and ev.i = lo.i group by 1 having count(ev.i) > 0),
+z as (select j.*, pretrend_p, overlap, stability, pp.p as placebo_p from j left join f using (series) left join pp using (series))
+select series, n_events, n_looser, round(jaccard, 6) as jaccard, round(pretrend_p, 5) as pretrend_p, round(placebo_p, 5) as placebo_p, round(overlap, 6) as overlap, round(stability, 6) as stability,
+concat_ws(';', case when n_events < 8 then 'support' end, case when not coalesce(pretrend_p >= 0.05, false) then 'pretrend' end, case when not coalesce(placebo_p >= 0.05, false) then 'placebo' end, case when not coalesce(overlap >= 0.6, false) then 'depth' end, case when not coalesce(stability >= 0.6, false) then 'stable' end) as failed from z""")
 def _(spark, d):
-    """Overlap of the events that two thresholds select in each series."""
     panel = panel_nation(spark, d)
-    sets = [events.select_events(panel, q, 4).groupBy("series").agg(F.collect_set("i").alias(f"s{k}")) for k, q in enumerate((0.8, 0.7))]
-    both = sets[0].join(sets[1], "series")
-    return both.select("series", F.size("s0").alias("n_strict"), F.size("s1").alias("n_loose"), F.round(F.try_divide(F.size(F.array_intersect("s0", "s1")), F.size(F.array_union("s0", "s1"))), 6).alias("jaccard"))
+    found, looser = (events.select_events(panel, q, 4) for q in (0.8, 0.7))
+    placebo = events.thinned(found.select("series", (F.col("i") - 6).alias("i")).filter("i > 0"), 4)
+    rows, shifted = (events.event_panel(panel, e, -3, 4, -1) for e in (found, placebo))
+    out = events.design_diagnostics(rows, shifted, found, looser, 4)
+    return out.select("series", "n_events", "n_looser", *rounded("jaccard"), *rounded("pretrend_p", "placebo_p", digits=5), *rounded("overlap", "stability"), "failed")
 
 
 @query("exog_sensitivity", f"{N}, b as (select date, max(case when series = 'NATION_0' then value end) as x, max(case when series = 'NATION_1' then value end) as y from panel_nation where series in ('NATION_0', 'NATION_1') group by date), c as (select series as control, count(*) as n, corr(x, y) as xy, corr(x, value) as xc, corr(y, value) as yc from panel_nation join b using (date) where series not in ('NATION_0', 'NATION_1') group by series), z as (select *, (xy - xc * yc) / sqrt(nullif((1 - xc * xc) * (1 - yc * yc), 0)) as r from c where n >= 50 and isfinite(xy) and isfinite(xc) and isfinite(yc)) select control, n, round(xy, 5) as plain, round(r, 5) as controlled, round({normal_p_sql('(r * sqrt((n - 3) / (1 - r * r)))')}, 5) as p from z")
