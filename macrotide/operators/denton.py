@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +21,28 @@ def denton_operator(periods: int, per: int, conversion: str = "sum", ridge: floa
     return spread @ np.linalg.inv(meets @ spread)
 
 
+def _cells(per: int, conversion: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(length, target, slot, q, weight) of the operators of the lengths given, one target at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for length in frame["length"]:
+                weights = denton_operator(int(length), per, conversion).reshape(length, per, length)
+                slot, q = (a.ravel() for a in np.indices((per, length)))
+                for target, block in enumerate(weights):
+                    rows = pd.DataFrame({"length": length, "target": target, "slot": slot, "q": q, "weight": block.ravel()})
+                    yield rows[rows["weight"].abs() > 1e-14]
+
+    return run
+
+
 def denton_panel(low: DataFrame, per: int, conversion: str = "sum", by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
     """(series, date, slot, path): every low-frequency value spread over ``per`` slots.
 
-    The operator of each length in the panel is a small table on the driver, which is joined by
-    length and position; the sum over positions is an aggregation, so series never meet in a task.
+    The operator of each length in the panel is worked out in a task and joined by length and
+    position; the sum over positions is an aggregation, so series never meet in a task.
     """
     rows = low.withColumns({"q": F.row_number().over(Window.partitionBy(by).orderBy(at)) - 1, "length": F.count("*").over(Window.partitionBy(by))})
-    lengths = [r[0] for r in rows.select("length").distinct().collect()]  # a few lengths
-    cells = [(int(n), int(i) // per, int(i) % per, int(j), float(b)) for n in lengths for (i, j), b in np.ndenumerate(denton_operator(n, per, conversion)) if abs(b) > 1e-14]
-    operator = low.sparkSession.createDataFrame(cells, "length long, target int, slot int, q int, weight double")
+    operator = rows.select("length").distinct().mapInPandas(_cells(per, conversion), "length long, target int, slot int, q int, weight double")
     path = rows.join(operator, ["length", "q"]).groupBy(by, "target", "slot").agg(F.sum(F.col(x) * F.col("weight")).alias("path"))
     return path.join(rows.select(by, F.col("q").alias("target"), at), [by, "target"]).select(by, at, "slot", "path")
