@@ -25,7 +25,7 @@ def propensities(df: DataFrame, by: list[str], fold: str, a: str, xs: list[str],
     """Rows with ``g``: the probability of a = 1 by a logistic fit on the rows of the group's other folds.
 
     Each of the ``rounds`` Newton steps is one aggregation for each group and fold left out, so
-    that no group is gathered; a row takes part in the fits of all folds but its own. ``ridge``
+    that no group is gathered, and reads ``df`` again; a row takes part in the fits of all folds but its own. ``ridge``
     holds the slopes where xs separate a. A group with a single fold has no fit and no rows.
     """
     held = df.dropna(subset=[a, fold, *xs])
@@ -66,7 +66,8 @@ def tmle_ate(df: DataFrame, by: list[str], at: str, y: str, a: str, xs: list[str
     without both values of a, or without a fit, are left out.
     """
     both = df.dropna(subset=[y, a, fold, *xs])
-    both = both.join(both.groupBy(*by).agg(F.count_distinct(a).alias("__k")).filter("__k = 2").select(*by), by, "left_semi")
+    # written once: every Newton step reads these rows
+    both = cut(both.join(both.groupBy(*by).agg(F.count_distinct(a).alias("__k")).filter("__k = 2").select(*by), by, "left_semi").select(*by, at, y, a, fold, *xs))
     rows = propensities(both, by, fold, a, xs).join(fold_fits(both, by, fold, [y], [a, *xs]), [*by, fold])
     rows = rows.withColumn("q", _linear(f"b_{y}", [a, *xs])).withColumns({"q1": F.col("q") + F.col(f"b_{y}")[1] * (1 - F.col(a)), "q0": F.col("q") - F.col(f"b_{y}")[1] * F.col(a)})
     rows = rows.select(*by, at, F.col(y).alias("y"), F.col(a).cast("double").alias("a"), "g", "q", "q1", "q0", F.explode(F.array(*[F.lit(float(e)) for e in epsilons])).alias("eps"))
