@@ -75,8 +75,8 @@ def sums_of_model_vectors(keyed: DataFrame, min_docs: int = MIN_DOCS) -> DataFra
     if frequent.isEmpty():  # a model without a vocabulary cannot be fitted
         return keyed.sparkSession.createDataFrame([], schema)
     model = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(min_docs), vocabSize=MAX_VOCABULARY).fit(words)
-    vector = F.unwrap_udt(model.transform(words)["vector"])
-    entries = model.transform(words).select("lang", "source", F.inline(F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("times"))))
+    vectors = model.transform(words).select("lang", "source", F.unwrap_udt("vector").alias("vector"))
+    entries = vectors.select("lang", "source", F.inline(F.arrays_zip("vector.indices", "vector.values")))
     sums = entries.toDF("lang", "source", "index", "times").groupBy("lang", "source", "index").agg(F.sum("times").cast("long").alias("n"), F.count(F.lit(1)).alias("docs"))
     named = keyed.sparkSession.createDataFrame([(i, w.rpartition("\0")[2]) for i, w in enumerate(model.vocabulary)], "index int, term string")
     return sums.join(named, "index").select(*[c.split()[0] for c in schema.split(", ")])
