@@ -17,8 +17,8 @@ from macrotide.llm.text import texts
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS, ADDED, SCALE, TOP = 3, 1, 1_000_000_000, 200
-#: ``CountVectorizer`` gathers its vocabulary on the driver and sends it to every task: it is used for up to about so many terms.
-DRIVER_TERMS = 1 << 16
+#: ``CountVectorizer`` gathers its vocabulary on the driver and sends it to every task: it is used if there can be no more terms than this.
+DRIVER_TERMS = 1 << 18
 MAX_VOCABULARY = (1 << 31) - 1
 #: Group tables of up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 16 << 20
@@ -109,16 +109,16 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     Ranks count from 1 by value, then by item in byte order. Repeated rows count each time,
     texts are read whole, other columns are not read, an empty table gives no rows.
 
-    Vectors are by ``CountVectorizer`` if a count of distinct words says that its vocabulary is
-    within ``driver_terms``; else they are keyed by terms, and the vocabulary stays a table. Both
-    give the same sums. Terms that a group lacks share one p, so that pairs are worked out from
+    Vectors are by ``CountVectorizer`` if its vocabulary is within ``driver_terms`` for certain: a
+    term in ``min_docs`` documents takes as many bytes and separators at least. Else they are keyed
+    by terms, and the vocabulary stays a table. Both give the same sums. Terms that a group lacks share one p, so that pairs are worked out from
     the terms that occur: from the number of a group's terms with each p, and from the terms that
     both groups have.
     """
     keyed = _keyed(docs, lang_col, source_col, text_col)
-    vectors = term_vectors(keyed)
-    (words,) = vectors.select("lang", F.explode("terms").alias("term")).agg(F.approx_count_distinct(F.struct("lang", "term"), 0.02)).first()
-    sums = sums_of_model_vectors(keyed, min_docs) if words <= driver_terms else sums_of_term_vectors(vectors)
+    (most,) = keyed.agg(F.sum(F.octet_length("text") + 1)).first()
+    few = (most or 0) <= driver_terms * 2 * min_docs
+    sums = sums_of_model_vectors(keyed, min_docs) if few else sums_of_term_vectors(term_vectors(keyed))
     return compare(keyed.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("rows")).select("lang", "source"), sums, min_docs, added, scale, top)
 
 
