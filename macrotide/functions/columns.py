@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,3 +62,14 @@ def yeo_johnson_inverse(y: Column, lam: Column | float) -> Column:
 
 def rounded(*names: str, digits: int = 6) -> list[Column]:
     return [F.round(n, digits).alias(n) for n in names]
+
+
+def chi2_p(x: Column, df: Column | int) -> Column:
+    """P(a chi-square variable of ``df`` degrees of freedom exceeds x), for whole df from 1: erfc or exp(-x/2) plus a finite sum."""
+    df = F.lit(df) if isinstance(df, int) else df
+    half, odd = x / 2, df % 2 == 1
+    start = F.when(odd, F.struct((F.exp(-half) * F.sqrt(half) * (2 / math.sqrt(math.pi))).alias("term"), F.lit(0.0).alias("total"))).otherwise(F.struct(F.exp(-half).alias("term"), F.lit(0.0).alias("total")))
+    steps = F.when(df > 1, F.sequence(F.lit(0), (F.floor((df - 2) / 2)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    step = lambda a, k: F.struct((a["term"] * half / (k + F.when(odd, F.lit(1.5)).otherwise(F.lit(1.0)))).alias("term"), (a["total"] + a["term"]).alias("total"))
+    rest = F.aggregate(steps, start, step)["total"]
+    return F.when(x >= 0, F.least(F.lit(1.0), F.when(odd, normal_p(F.sqrt(F.greatest(x, F.lit(0.0))))).otherwise(F.lit(0.0)) + rest))

@@ -41,16 +41,6 @@ def _(spark, d):
     return _windows(spark, d).select("target", "candidate", "date", *rounded("r", "beta", "p", digits=5))
 
 
-@query("directional_score_v2", f"{WINDOWS}, {_score_sql('win', 'target, candidate')} select target, candidate, n, round(share, 5) as share, round(strength, 5) as strength, round(score, 5) as score from sc")
-def _(spark, d):
-    return screening.directional_score(_windows(spark, d), ["target", "candidate"]).select("target", "candidate", "n", *rounded("share", "strength", "score", digits=5))
-
-
-@query("directional_score_v1_least_correlated", f"{WINDOWS} select target, candidate, round(avg((p < 0.1)::int) * quantile_cont(abs(r), 0.5), 5) as legacy, round(100 * quantile_cont(1 - least(abs(r), 1), 0.5) * avg((p > 0.1)::int) * count(*) / (count(*) + 12), 5) as independence from win group by all")
-def _(spark, d):
-    return _windows(spark, d).groupBy("target", "candidate").agg(F.round(F.avg((F.col("p") < 0.1).cast("int")) * F.percentile(F.abs("r"), F.lit(0.5)), 5).alias("legacy"), F.round(screening.independence(), 5).alias("independence"))
-
-
 @query("rank_candidates", f"{WINDOWS}, {_score_sql('win', 'target, candidate')} select target, candidate, round(score, 5) as score, row_number() over (partition by target order by round(score, 8) desc, candidate) as place from sc")
 def _(spark, d):
     scores = screening.directional_score(_windows(spark, d), ["target", "candidate"])
