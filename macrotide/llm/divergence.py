@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from macrotide.llm.fertility import coded
-from macrotide.llm.store import discard, table, written
+from macrotide.llm.store import beside, table, written
 from macrotide.llm.text import texts
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -20,8 +20,6 @@ MIN_DOCS, ADDED, SCALE, TOP = 3, 1, 1_000_000_000, 200
 #: ``CountVectorizer`` gathers its vocabulary on the driver and sends it to every task: it is used if there can be no more terms than this.
 DRIVER_TERMS = 1 << 18
 MAX_VOCABULARY = (1 << 31) - 1
-#: Group tables of up to so many bytes are broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 16 << 20
 
 _IN_TERM, _LOWERED = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _IN_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -92,11 +90,6 @@ def _gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _beside(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    held = groups.agg(F.sum(F.length("lang") + (F.length("source") if "source" in groups.columns else F.lit(0)) + 64)).first()[0] or 0
-    return rows.join(F.broadcast(groups) if held <= BROADCAST_BYTES else groups, keys)
-
-
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS, added: int = ADDED, scale: int = SCALE, top: int = TOP, driver_terms: int = DRIVER_TERMS) -> DataFrame:
     """(lang, source, part, item, value, rank): how the sources of a language differ from each other and from the language.
 
@@ -133,7 +126,7 @@ def compare(groups: DataFrame, sums: DataFrame, min_docs: int, added: int, scale
     zero = F.lit(0).cast("long")
     sized = written(sized.withColumn("p0", _share(zero, F.col("group_n"), F.col("terms"), added, scale)), "sized")
 
-    entries = _beside(kept.select("lang", "term", "total", F.inline("by_source")), sized, ["lang", "source"])
+    entries = beside(kept.select("lang", "term", "total", F.inline("by_source")), sized, ["lang", "source"])
     p, q = _share(F.col("n"), F.col("group_n"), F.col("terms"), added, scale), _share(F.col("total"), F.col("lang_n"), F.col("terms"), added, scale)
     entries = written(entries.select("lang", "term", "source", "p0", p.alias("p"), q.alias("q")), "shares")
 

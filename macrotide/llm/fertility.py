@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from macrotide.llm.store import table, written
+from macrotide.llm.store import beside, table, written
 from macrotide.llm.text import Words, texts
 
 #: The vocabulary whose tokens give all three measures (it falls back to bytes), and a byte-level one whose characters per token are held beside it.
@@ -227,7 +227,7 @@ def bands(measured: DataFrame, width: float = WIDTH, least_docs: int = LEAST_DOC
     """
     past = measured.filter("not base_failed")
     middle = past.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.percentile(_rounded(m), F.lit(0.5)).alias(f"mid_{m}") for m in BANDED])
-    away = past.join(middle, "lang").groupBy("lang", "docs", *[f"mid_{m}" for m in BANDED])
+    away = beside(past, written(middle, "middles"), ["lang"]).groupBy("lang", "docs", *[f"mid_{m}" for m in BANDED])
     spread = away.agg(*[F.percentile(F.round(F.abs(_rounded(m) - F.col(f"mid_{m}")), 3), F.lit(0.5)).alias(f"off_{m}") for m in BANDED])
     reach = {m: width * F.greatest(1.4826 * F.col(f"off_{m}"), F.lit(LEAST_SPREAD)) for m in BANDED}
     known = F.col("docs") >= least_docs
@@ -242,11 +242,11 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     ``kept`` is false for a row that fails the base rules or has a measure outside its band.
     """
     outside = [F.when((F.col(m) < F.col(f"low_{m}")) | (F.col(m) > F.col(f"high_{m}")), F.lit(m)) for m in BANDED]
-    joined = measured.join(limits, "lang", "left").withColumn("rejected_by", F.array_compact(F.array(*outside)))
+    joined = beside(measured, limits, ["lang"], "left").withColumn("rejected_by", F.array_compact(F.array(*outside)))
     return joined.select(*measured.columns, "rejected_by", (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"))
 
 
 def op12_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fertility, base rules and verdict of every row of ``documents``; nulls, repeats and the like as in ``measure``."""
     measured = written(measure(table(spark, sf_dir, "documents")), "fertility")
-    return judge(measured, bands(measured))
+    return judge(measured, written(bands(measured), "bands"))

@@ -7,10 +7,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from macrotide.functions.shipping import ship
 
 
+#: Tables of up to so many bytes are broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
     ship(spark)
@@ -44,6 +49,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row for each of some keys, which may be few (a key of ``rows`` may then hold most rows) or many."""
+    strings = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if f.dataType.simpleString() == "string"]
+    (held,) = small.agg(F.sum(sum(strings, F.lit(16 * len(small.columns))))).first()
+    return rows.join(F.broadcast(small) if (held or 0) <= BROADCAST_BYTES else small, keys, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
