@@ -108,3 +108,10 @@ def _(spark, d):
     """Quarterly sums of the monthly panel spread over months again."""
     low = panel_m(spark, d).groupBy("series", calendar.quarter_end(F.col("date")).alias("date")).agg(F.sum("value").alias("value"))
     return denton.denton_panel(low, 3).select("series", "date", "slot", *rounded("path"))
+
+
+@query("denton_prior_panel")
+def _(spark, d):
+    """Yearly means of every nation spread over months, near a path through their anchors, without negative months."""
+    low = panel_nation(spark, d).groupBy("series", F.make_date(F.year("date"), F.lit(12), F.lit(31)).alias("date")).agg(F.avg("value").alias("value"))
+    return denton.denton_panel(low, 12, "mean", "prior", span=12, power=1, positive=True).select("series", "date", "slot", *rounded("path"))
