@@ -9,6 +9,7 @@ corpus is ever sent to a task: counts beyond the table of frequent words are joi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,13 @@ def word_classes(words: Words, classes: int = CLASSES) -> np.ndarray:
     return (mixed(key) % np.uint64(classes)).astype(np.int64)
 
 
-def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
+def corpus_key(docs: DataFrame) -> int:
+    """A key for word hashes from all of (id, held_out, text): the same whenever they are, whatever their order."""
+    (total,) = docs.agg(F.sum(F.xxhash64("id", "held_out", "text").cast("decimal(38,0)"))).first()
+    return int.from_bytes(hashlib.blake2b(str(total or 0).encode(), digest_size=8).digest(), "little")
+
+
+def count_words(docs: DataFrame, classes: int = CLASSES, key: int = 0) -> DataFrame:
     """(word, class, n): the count of every word hash in (text)."""
 
     def merged(parts: list) -> list:
@@ -52,7 +59,7 @@ def count_words(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
             for _, data, offsets in texts(batch.column(0)):
                 words = Words(data, offsets, lower=True)
                 if len(words.starts):
-                    parts += merged([(words.hashes().view(np.int64), word_classes(words, classes), np.ones(len(words.starts), np.int64))])
+                    parts += merged([(words.hashes(0, key).view(np.int64), word_classes(words, classes), np.ones(len(words.starts), np.int64))])
                     held += len(parts[-1][0])
                 if held > HELD:
                     parts = merged(parts)
@@ -92,7 +99,7 @@ class Vocabulary:
         return self.frequent + self.classes + 1
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: Vocabulary, key: int = 0) -> DataFrame:
     """(id, held_out, n_tokens, symbols, n_known, count_log, word_log, unlisted) from (id, held_out, text).
 
     count_log: sum of log10(count + 1) of the tabled words and the end. word_log: sum of the
@@ -109,7 +116,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for rows, data, offsets in texts(batch.column(2)):
                 words = Words(data, offsets, lower=True)
                 n = len(offsets) - 1
-                word = words.hashes().view(np.int64)
+                word = words.hashes(0, key).view(np.int64)
                 at = np.minimum(np.searchsorted(v.word, word), max(0, len(v.word) - 1))
                 tabled = v.word[at] == word if len(v.word) else np.zeros(len(word), bool)
                 own = np.where(tabled, v.own[at], -1) if len(v.word) else np.full(len(word), -1)
@@ -319,7 +326,8 @@ def hmm_scores(docs: DataFrame, states: int = STATES, passes: int = PASSES, freq
     """
     spark = docs.sparkSession
     docs = docs.select("id", F.coalesce("held_out", F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = written(count_words(docs.filter("not held_out"), classes), "word-counts")
+    key = corpus_key(docs)
+    counts = written(count_words(docs.filter("not held_out"), classes, key), "word-counts")
     n_docs = docs.filter("not held_out").count()
     sums = counts.groupBy("class").agg(F.sum(F.col("n") + 1).alias("s"), F.sum("n").alias("n"), F.count("*").alias("types")).collect()  # one row for each class
     # The words of as many of the highest count ranges as the table has room for: no task sorts candidates of all others.
@@ -331,7 +339,7 @@ def hmm_scores(docs: DataFrame, states: int = STATES, passes: int = PASSES, freq
         least = r["range"]
     top = counts.filter(F.col("range") >= least).select("word", "n", "class").toArrow()
     vocabulary = Vocabulary(top, n_docs, sum(r["types"] for r in sums), sum(r["n"] for r in sums), {r["class"]: r["s"] for r in sums}, frequent, classes)
-    coded = written(encoded(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "coded-texts")
+    coded = written(encoded(docs, vocabulary, key).withColumn("row", F.monotonically_increasing_id()), "coded-texts")
     model = train(coded, vocabulary, states, passes)
     shared = spark.sparkContext.broadcast(model)
     kind = "<u2" if vocabulary.symbols <= 1 << 16 else "<u4"

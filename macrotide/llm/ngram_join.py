@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from macrotide.llm.graph import components
 from macrotide.llm.store import discard, table, written
-from macrotide.llm.text import Words, gram_hashes, joined, mixed, span_hashes, texts
+from macrotide.llm.text import Words, drawn_key, gram_hashes, joined, mixed, span_hashes, texts
 
 #: Children of a tree node; sets of a group that one tree holds, beyond which it is a block beside others.
 FANOUT, BLOCK = 8, 1024
@@ -36,14 +36,14 @@ STEP, EXPANDED = 1 << 14, 1 << 11
 _TOKEN = np.uint64((1 << 54) - 1)
 
 
-def shingle_tokens(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_tokens(data: np.ndarray, offsets: np.ndarray, k: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, cuts): the distinct shingles of text i are tokens[cuts[i]:cuts[i + 1]], as 54-bit hashes in order.
 
     A text of fewer than k words is one shingle. There are fewer than 1,024 texts.
     """
     words = Words(data, offsets, lower=True)
     n = len(offsets) - 1
-    hashes = words.hashes()
+    hashes = words.hashes(0, key)
     whole = words.counts >= k
     count = np.where(whole, words.counts - k + 1, 0)
     doc = np.repeat(np.arange(n), count)
@@ -53,12 +53,12 @@ def shingle_tokens(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     if len(short):
         # all bytes of the text, white space made alike
         raw, cuts = words.normalized()
-        token = np.concatenate([token, span_hashes(raw, cuts[short], cuts[short + 1], 1)])
+        token = np.concatenate([token, span_hashes(raw, cuts[short], cuts[short + 1], 1, key)])
         doc = np.concatenate([doc, short])
-    key = np.sort(doc.astype(np.uint64) << np.uint64(54) | token & _TOKEN)
-    if len(key):
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key & _TOKEN, np.searchsorted(key >> np.uint64(54), np.arange(n + 1).astype(np.uint64))
+    held = np.sort(doc.astype(np.uint64) << np.uint64(54) | token & _TOKEN)
+    if len(held):
+        held = held[np.concatenate([[True], held[1:] != held[:-1]])]
+    return held & _TOKEN, np.searchsorted(held >> np.uint64(54), np.arange(n + 1).astype(np.uint64))
 
 
 def size_ranges(percent: int) -> np.ndarray:
@@ -265,13 +265,13 @@ def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").dropDuplicates()
 
 
-def shingle_features(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def shingle_features(docs: DataFrame, k: int, percent: int, key: int) -> DataFrame:
     """(id, digest, n, signatures, need_even, need_odd) of every row of (id, text): digest is the whole text's SHA-256, n its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in texts(batch.column(1), 1000):
-                tokens, cuts = shingle_tokens(data, offsets, k)
+                tokens, cuts = shingle_tokens(data, offsets, k, key)
                 found, need = part_signatures(tokens, cuts, percent)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 signatures = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
@@ -347,13 +347,13 @@ def whole_texts(docs: DataFrame, features: DataFrame, ids: DataFrame) -> DataFra
     return kept if kept.count() == wanted.count() else written(kept.dropDuplicates(["sid"]), "set-texts")  # rows may repeat
 
 
-def set_maps(kept: DataFrame, k: int) -> DataFrame:
+def set_maps(kept: DataFrame, k: int, key: int) -> DataFrame:
     """(sid, n, map) from (sid, n, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in texts(batch.column(2), 1000):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(bitmaps(*shingle_tokens(data, offsets, k)), pa.binary())], ["sid", "n", "map"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array(bitmaps(*shingle_tokens(data, offsets, k, key)), pa.binary())], ["sid", "n", "map"])
 
     return kept.mapInArrow(run, "sid long, n long, map binary")
 
@@ -393,7 +393,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are first compared with the most central set of their largest group; then signature trees
     give the pairs of those that are still apart. Rows that repeat come out again.
     """
-    features = written(shingle_features(docs, k, percent).withColumn("row", F.monotonically_increasing_id()), "shingle-features")
+    key = drawn_key()
+    features = written(shingle_features(docs, k, percent, key).withColumn("row", F.monotonically_increasing_id()), "shingle-features")
     held = features.filter("n > 0").select("row", "digest")
     copies = held.groupBy("digest").agg(F.min("row").alias("sid"), F.count("*").alias("n")).filter("n > 1").select("digest", "sid")
     copies = written(held.join(written(copies, "copied-texts"), "digest").filter("row <> sid").select("row", "sid"), "copies")
@@ -404,7 +405,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     roots = components(links)
     rows = apart_rows(groups, roots)
     rows = written(rows, "apart-rows")
-    maps = set_maps(kept.join(_bounded(rows.select("sid").dropDuplicates()), "sid", "left_semi"), k)
+    maps = set_maps(kept.join(_bounded(rows.select("sid").dropDuplicates()), "sid", "left_semi"), k, key)
     pairs = written(tree_pairs(rows.join(maps, "sid"), percent), "shingle-pairs")
     more = written(verified(pairs, kept, k, percent), "shingle-links")
     roots = components(links.unionByName(more))
@@ -438,4 +439,5 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def op6_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of every row of ``documents``; nulls, repeats and the like as in ``jaccard_components``."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90).withColumnRenamed("id", "doc_id")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from macrotide.llm.store import table, written
-from macrotide.llm.text import span_hashes, texts
+from macrotide.llm.text import drawn_key, span_hashes, texts
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 #: Pieces of a shard (a problem of its own), islands of a shard, epochs between migrations, and an island's population, elite and crossovers in an epoch.
@@ -65,9 +65,15 @@ class WordIds:
         self.kind[[32, *range(9, 14)]] = 0
         self.kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
         self.kind[list(self.SIGNS.encode())] = 2
+        self.calls = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is known any more, and hashes have another key."""
+        self.key = drawn_key()
         #: In order of hash: the words' two hashes, where their ids are, how many, and when they were last used.
         self.words = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
-        self.ids, self.calls = np.zeros(0, "<u4"), 0
+        self.ids = np.zeros(0, "<u4")
 
     def _count(self, word: str) -> int:
         """Pretokens of a word; what is guessed without the pattern is never too many, so that a group's sum shows any that are too few."""
@@ -120,14 +126,15 @@ class WordIds:
 
     def _places(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each word among those remembered, after new ones have been encoded."""
-        hashes, checks = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1)
+        hashes, checks = span_hashes(data, starts, ends, 0, self.key), span_hashes(data, starts, ends, 1, self.key)
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         check = checks[first]
         known = self.words[0]
         at = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
         held = known[at] == unique if len(known) else np.zeros(len(unique), bool)
         if (check[inverse] != checks).any() or (held.any() and (self.words[1][at[held]] != check[held]).any()):
-            raise ValueError("different words have equal hashes")
+            self._forget()  # different words with equal hashes: all are told apart by another key
+            return self._places(data, starts, ends)
         new = np.flatnonzero(~held)
         found = self._encoded([data[a:b].tobytes() for a, b in zip(starts[first[new]], ends[first[new]])])
         size = np.array([len(x) for x in found], np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from macrotide.llm.store import discard, table, written
-from macrotide.llm.text import Words, gram_hashes, joined, run_hashes, texts
+from macrotide.llm.text import Words, drawn_key, gram_hashes, joined, run_hashes, texts
 
 #: Words of a window and of an anchor.
 WINDOW, ANCHOR = 20, 8
@@ -60,14 +60,14 @@ def spans_of(hashes: np.ndarray, others: np.ndarray, first: np.ndarray, window:
     return doc[head], key[at[head]].view(np.int64), whole.view(np.int64), begin - first[:-1][doc[head]], n
 
 
-def all_spans(docs: DataFrame, keys: list[str], window: int, anchor: int) -> DataFrame:
+def all_spans(docs: DataFrame, keys: list[str], window: int, anchor: int, key: int) -> DataFrame:
     """(*keys, seed, span, place) of (*keys, text); place is the first window and the number of windows, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in texts(batch.column(len(keys))):
                 words = Words(data, offsets)
-                doc, seed, span, begin, n = spans_of(words.hashes(0), words.hashes(1), words.first, window, anchor)
+                doc, seed, span, begin, n = spans_of(words.hashes(0, key), words.hashes(1, key), words.first, window, anchor)
                 own = [batch.column(i)[rows].take(pa.array(doc)) for i in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(seed), pa.array(span), pa.array(begin << 8 | n)], [*keys, "seed", "span", "place"])
 
@@ -85,7 +85,7 @@ def _kinds(keys: list[str]) -> str:
     return ", ".join(f"{k} long" for k in keys)
 
 
-def window_hashes(docs: DataFrame, wanted: DataFrame, keys: list[str], window: int) -> DataFrame:
+def window_hashes(docs: DataFrame, wanted: DataFrame, keys: list[str], window: int, key: int) -> DataFrame:
     """(*keys, hash, at) of every window of the spans in wanted (*keys, places: array)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def window_hashes(docs: DataFrame, wanted: DataFrame, keys: list[str], window: i
                 n = place & 255
                 at = np.repeat(place >> 8, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 doc = np.repeat(doc, n)
-                hashed = gram_hashes(words.hashes(1), window)[words.first[:-1][doc] + at]
+                hashed = gram_hashes(words.hashes(1, key), window)[words.first[:-1][doc] + at]
                 own = [batch.column(i)[rows].take(pa.array(doc)) for i in range(len(keys))]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(hashed.view(np.int64)), pa.array(at)], [*keys, "hash", "at"])
 
@@ -108,7 +108,10 @@ def window_hashes(docs: DataFrame, wanted: DataFrame, keys: list[str], window: i
 
 def repeated_windows(docs: DataFrame, keys: list[str], window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(*keys, begin, n, first_*, first_begin): runs of n windows of (*keys, text) that start earlier too, by keys and then by place."""
-    spans = all_spans(docs, keys, window, anchor)
+    if window - anchor + 1 > 255:
+        raise ValueError("a span packs its windows into eight bits: at most 254 more words in a window than in an anchor")
+    key = drawn_key()
+    spans = all_spans(docs, keys, window, anchor, key)
     # Minima are written before they are joined, so that the joins have shuffles of their own, of which Spark can split a frequent key.
     seeds = written(spans.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
     repeated = written(spans.join(seeds, "seed"), "seeded-spans")
@@ -119,7 +122,7 @@ def repeated_windows(docs: DataFrame, keys: list[str], window: int = WINDOW, anc
     whole = later.select(*keys, F.shiftright("place", 8).alias("begin"), F.col("place").bitwiseAND(255).alias("n"), *first_keys, F.shiftright("first.place", 8).alias("first_begin"))
     varied = firsts.groupBy("seed").agg(F.min("span").alias("lo"), F.max("span").alias("hi")).filter("lo <> hi").select("seed")
     wanted = firsts.join(written(varied, "varied-seeds"), "seed").groupBy(*[F.col(f"first.{k}").alias(k) for k in keys]).agg(F.collect_list("first.place").alias("places"))
-    windows = written(window_hashes(docs, written(wanted, "varied-spans"), keys, window), "span-windows")
+    windows = written(window_hashes(docs, written(wanted, "varied-spans"), keys, window, key), "span-windows")
     at = F.struct(*keys, "at")
     earliest = windows.groupBy("hash").agg(F.min(at).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first")
     single = windows.join(written(earliest, "first-windows"), "hash").filter(at > F.col("first"))

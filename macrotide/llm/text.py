@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,21 +36,30 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(((a ^ (a >> np.uint64(29))) * _ODD) + b)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
-    """Hashes of the bytes data[start:end]: eight at a time, mixed after each step; long spans by BLAKE2b."""
+def drawn_key() -> int:
+    """A secret for the hashes of one run: no text can be made to collide with another under a key that nobody knew."""
+    return secrets.randbits(64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family: int = 0, key: int = 0) -> np.ndarray:
+    """Hashes of the bytes data[start:end]: eight at a time, mixed with the key after each step; long spans by keyed BLAKE2b.
+
+    Without a key the hashes are the same in every run, and texts with equal ones can be made.
+    """
+    secret, raw = np.uint64(key), key.to_bytes(8, "little") if key else b""
     size = ends - starts
     room = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", room, 0, (1,))
-    out = mixed(size.astype(np.uint64) * _ODD + np.uint64(family))
+    out = mixed(size.astype(np.uint64) * _ODD + np.uint64(family) ^ secret)
     out = joined(out, eight[starts] & _LOW[np.minimum(size, 8)])
     rest = np.flatnonzero((size > 8) & (size <= _LONG))
     for at in range(8, _LONG, 8):
         if not len(rest):
             break
-        out[rest] = joined(out[rest], eight[starts[rest] + at] & _LOW[np.minimum(size[rest] - at, 8)])
+        out[rest] = joined(out[rest] ^ secret, eight[starts[rest] + at] & _LOW[np.minimum(size[rest] - at, 8)])
         rest = rest[size[rest] > at + 8]
     for i in np.flatnonzero(size > _LONG):
-        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([family])).digest(), "little")
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([family]), key=raw).digest(), "little")
     return out
 
 
@@ -102,8 +112,8 @@ class Words:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self, family: int = 0) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, family)
+    def hashes(self, family: int = 0, key: int = 0) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, family, key)
 
     def normalized(self) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, offsets) of the texts with their words joined by one space."""
