@@ -14,6 +14,23 @@ from macrotide.operators import calendar
 from macrotide.operators.controls import _moments, design_guards
 
 
+def principal(cov: np.ndarray, threshold: float, most: int, pivot_at: int | None = None, least_std: float = 1e-8) -> tuple[int, list, list, list]:
+    """(k, share, scales, loadings) of a covariance matrix: the first components, signed by a column's or else their largest loading."""
+    size = np.sqrt(np.maximum(np.diag(cov), 0))
+    scales = np.divide(1, size, out=np.zeros_like(size), where=size > least_std)
+    values, vectors = np.linalg.eigh(cov * np.outer(scales, scales))
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    if values.sum() <= 0:
+        return 0, [], scales.tolist(), []
+    share = values / values.sum()
+    k = max(1, min(int(np.argmax(np.cumsum(share) >= threshold - 1e-12)) + 1, most, int((scales > 0).sum())))
+    loads = []
+    for v in vectors[:, :k].T:
+        pivot = v[pivot_at] if pivot_at is not None else v[int(np.argmax(np.round(np.abs(v), 9)))]
+        loads.append((-v if pivot < 0 else v).tolist())
+    return k, share[:k].tolist(), scales.tolist(), loads
+
+
 def components(df: DataFrame, by: list[str], names: list[str], threshold: float = 0.9, most: int = 5, anchor: str | None = None, least_std: float = 1e-8) -> DataFrame:
     """(*by, n, k, share, means, scales, loadings): principal components of the standardized columns of each group.
 
@@ -34,20 +51,8 @@ def components(df: DataFrame, by: list[str], names: list[str], threshold: float
                     s[i, j] = s[j, i] = x
                 means = s[0, 1:] / n
                 cov = s[1:, 1:] / n - np.outer(means, means)
-                size = np.sqrt(np.maximum(np.diag(cov), 0))
-                scales = np.divide(1, size, out=np.zeros_like(size), where=size > least_std)
-                values, vectors = np.linalg.eigh(cov * np.outer(scales, scales))
-                values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
-                if values.sum() <= 0:
-                    out.append((0, [], means.tolist(), scales.tolist(), []))
-                    continue
-                share = values / values.sum()
-                k = max(1, min(int(np.argmax(np.cumsum(share) >= threshold - 1e-12)) + 1, most, int((scales > 0).sum())))
-                loads = []
-                for v in vectors[:, :k].T:
-                    pivot = v[names.index(anchor)] if anchor else v[int(np.argmax(np.round(np.abs(v), 9)))]
-                    loads.append((-v if pivot < 0 else v).tolist())
-                out.append((k, share[:k].tolist(), means.tolist(), scales.tolist(), loads))
+                k, share, scales, loads = principal(cov, threshold, most, names.index(anchor) if anchor else None, least_std)
+                out.append((k, share, means.tolist(), scales, loads))
             found = pd.DataFrame(out, columns=["k", "share", "means", "scales", "loadings"])
             yield pd.concat([frame[[*by, "n"]].reset_index(drop=True), found], axis=1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import rounded
-from macrotide.operators import constraints, controls, effects, selection
+from macrotide.operators import constraints, controls, effects, selection, wide
 from macrotide.plans.regression_queries import _hac_sql, _pairs
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, panel_gaps, panel_m, panel_nation
@@ -167,3 +167,29 @@ def _(spark, d):
     path = panel_m(spark, d).withColumn("block", F.trunc("date", "quarter"))
     low = path.groupBy("series", "block").agg((F.sum("value") * 1.02).alias("target"))
     return constraints.constraint_enforce(path, low, monotonic="increasing").select("series", "block", "date", *rounded("value"))
+
+
+@query("wide_gram", f"""{N}, k as (select a.series as a, b.series as b, quarter(a.date) as quarter, a.value as x, b.value as y from panel_nation a join panel_nation b on a.date = b.date and a.series <= b.series
+  where a.date in (select date from panel_nation group by date having count(*) = (select count(distinct series) from panel_nation)))
+select quarter, a, b, count(*) as n, round(count(*) * covar_pop(x, y), 5) as s from k group by all""")
+def _(spark, d):
+    """Centred products of all nations' months in each quarter of the year."""
+    rows = wide.wide_rows(panel_nation(spark, d)).withColumn("quarter", F.quarter("date"))
+    sums = wide.wide_gram(rows, ["quarter"])
+    size = sums.filter("i = 0 and j = 0").select("quarter", F.col("s").cast("long").alias("n"))
+    named = sums.filter("i > 0").join(F.broadcast(rows.agg(F.first("names").alias("names")))).join(size, "quarter")
+    return named.select("quarter", F.get("names", F.col("i") - 1).alias("a"), F.get("names", F.col("j") - 1).alias("b"), "n", *rounded("s", digits=5)).withColumn("quarter", F.col("quarter").cast("long"))
+
+
+@query("dml_plr_nested")
+def _(spark, d):
+    """The effect of the first nation's change on every other's next one, given last month's values of all nations: six controls, chosen in each fold's training rows."""
+    panel = panel_nation(spark, d)
+    w = Window.partitionBy("series").orderBy("date")
+    moves = panel.withColumns({"d": F.col("value") - F.lag("value").over(w), "y": F.lead("value").over(w) - F.col("value")})
+    first = panel.agg(F.min("series").alias("treatment"))
+    treated = moves.join(F.broadcast(first), F.col("series") == F.col("treatment")).select("date", "d")
+    controls_ = wide.wide_rows(panel.withColumn("value", F.lag("value").over(w))).select("date", "w")
+    rows = moves.drop("d").join(treated, "date").join(controls_, "date").join(F.broadcast(first), F.col("series") != F.col("treatment")).filter("y is not null and d is not null")
+    folded = wide.fold_in_order(rows, ["series"], "date", 5)
+    return wide.nested_partially_linear(folded, ["series"], "date", "y", "d", "w", "fold", most=6, mode="corr_t_then_variance").select("series", "n", *rounded("beta", "se", "p", "lo", "hi"))

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, normal_p, rounded
-from macrotide.operators import calendar, controls, events, factors, inference, shocks
+from macrotide.operators import calendar, controls, events, inference, wide
 from macrotide.plans.registry import query
-from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results, table
+from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results
 
 QEND = "last_day((date_trunc('quarter', date) + interval 2 month)::date)"
 R, N, M, G = f"with {RESULTS}", f"with {PANEL_NATION}", f"with {PANEL_M}", f"with {PANEL_GAPS}"
@@ -175,11 +175,14 @@ def _(spark, d):
 @query("factor_extract")
 def _(spark, d):
     """Loadings of the nations' principal components: as many as explain 60 % of the variance, eight at most."""
-    names = sorted(r["n_name"] for r in table(spark, d, "nation").select("n_name").collect())  # the nations
-    wide = panel_nation(spark, d).groupBy("date").agg(*[F.max(F.when(F.col("series") == n, F.col("value"))).alias(n) for n in names]).withColumn("all", F.lit(1))
-    filled = shocks.median_filled(wide, ["all"], names)
-    fits = factors.components(filled, ["all"], names, threshold=0.6, most=8)
-    return factors.loading_table(fits, ["all"], names).select(F.col("name").alias("series"), "factor", *rounded("loading"), F.round("share", 6).alias("variance_share"))
+    panel = panel_nation(spark, d)
+    medians = panel.groupBy("series").agg(F.percentile("value", F.lit(0.5)).alias("middle"))
+    grid = panel.select("series").distinct().crossJoin(panel.select("date").distinct()).join(panel, ["series", "date"], "left").join(medians, "series")
+    filled = wide.wide_rows(grid.select("series", "date", F.coalesce("value", "middle", F.lit(0.0)).alias("value")))
+    fits = wide.wide_components(filled, [], threshold=0.6, most=8)
+    names = filled.agg(F.first("names").alias("names"))  # the same on every date
+    loads = fits.select(F.posexplode(F.arrays_zip("loadings", "share")).alias("i", "c")).select((F.col("i") + 1).alias("factor"), F.col("c.share").alias("share"), F.posexplode("c.loadings").alias("j", "loading"))
+    return loads.crossJoin(F.broadcast(names)).select(F.get("names", F.col("j")).alias("series"), "factor", *rounded("loading"), F.round("share", 6).alias("variance_share"))
 
 
 def _events_sql(cut: float, name: str) -> str:

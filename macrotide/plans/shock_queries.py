@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import rounded
-from macrotide.operators import factors, screening, shocks
+from macrotide.operators import factors, screening, shocks, wide
 from macrotide.plans.control_queries import _shocked
 from macrotide.plans.regression_queries import _hac_sql, _pairs
 from macrotide.plans.registry import query
-from macrotide.sources.panels import PANEL_M, PANEL_NATION, RESULTS, panel_m, panel_nation, results, table
+from macrotide.sources.panels import PANEL_M, PANEL_NATION, RESULTS, panel_m, panel_nation, results
 
 N, M = f"with {PANEL_NATION}", f"with {PANEL_M}"
 W = "(partition by series order by date)"
@@ -91,10 +91,9 @@ def _(spark, d):
 @query("exog_pca")
 def _(spark, d):
     """Scores of the months on the components of the nations' values, as many as explain 60 % of the variance, five at most."""
-    names = sorted(r["n_name"] for r in table(spark, d, "nation").select("n_name").collect())  # the nations
-    wide = panel_nation(spark, d).groupBy("date").agg(*[F.max(F.when(F.col("series") == n, F.col("value"))).alias(n) for n in names]).withColumn("all", F.lit(1))
-    fits = factors.components(wide, ["all"], names, threshold=0.6, most=5)
-    return factors.component_scores(wide, ["all"], names, fits).select("date", *rounded(*[f"f{k}" for k in range(1, 6)], digits=5))
+    rows = wide.wide_rows(panel_nation(spark, d), whole=False)
+    fits = wide.wide_components(rows.filter(~F.exists("w", lambda v: v.isNull())), [], threshold=0.6, most=5)
+    return wide.wide_scores(rows, fits, []).select("date", *rounded(*[f"f{k}" for k in range(1, 6)], digits=5))
 
 
 @query("bridge_nowcast")
