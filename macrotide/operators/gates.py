@@ -60,3 +60,52 @@ def control_screen(panel: DataFrame, questions: DataFrame, leads: int = 4, least
     decision = F.when(~(similar & still), "drop").when(F.col("place") <= k, "select").otherwise("demote")
     reasons = F.concat_ws(";", F.when(~similar, "SIMILARITY_FAIL"), F.when(~still, "NULL_SCREEN_FAIL"), F.when(similar & still, F.when(F.col("place") <= k, "PASS").otherwise("RANK")))
     return out.select(*key, "candidate", "n", "similarity", "lead_t", "score", "place", decision.alias("decision"), reasons.alias("reasons"))
+
+
+#: Fixed values of ``reliability_tiers``: rows below or beyond these are low whatever their rank; weights of the ranks; cuts; and what lifts a capped row to high.
+LEAST_OBS, MOST_CONDITION = 1.25, 1e10
+RANK_WEIGHTS = {"obs": 0.50, "cond": 0.30, "drop": 0.20}
+MEDIUM, HIGH, VERY_STRONG, STRONG_OBS, STRONG_CONDITION = 0.33, 0.67, 0.85, 3.0, 1e6
+PENALTY = 0.10
+
+
+def reliability_tiers(fits: DataFrame, obs: str = "obs_per_regressor", condition: str = "condition", deficit: str = "rank_deficit", selected: str = "selected", dropped: str = "dropped", capped: str = "capped", skipped: str = "skip_reason") -> DataFrame:
+    """Adds tier (skip, low, medium, high), score, dropped_share, hard_low, rank_obs, rank_cond and rank_drop to design diagnostics of fits.
+
+    Fits with a skip reason, with fewer than 1.25 rows a regressor, a condition number above 1e10
+    or a rank deficit are not ranked. Of the others, the score is half the share of them with as
+    many rows a regressor or fewer, 0.3 that of log10 condition (lower is better) and 0.2 that of
+    the share of controls dropped, ties at their mean, less 0.1 if the controls were capped and 0.1 if
+    any was dropped, within 0 and 1. Medium is from 0.33, high from 0.67; capped fits need 0.85, 3
+    rows a regressor and a condition of at most 1e6 for high. A fit whose rows or condition are
+    missing has no score and is low. Ranks count within the whole table, in ranges and not in
+    one task: shares come from counts of equal values.
+    """
+    capped_, no = F.coalesce(F.col(capped).cast("boolean"), F.lit(False)), F.lit(False)
+    share = F.coalesce(F.col(dropped), F.lit(0)) / F.when(F.col(selected) > 0, F.col(selected)).otherwise(1)
+    hard = F.coalesce(F.col(obs) < LEAST_OBS, no) | F.coalesce(F.col(condition) > MOST_CONDITION, no) | F.coalesce(F.col(deficit) > 0, no)
+    rows = fits.withColumns({"dropped_share": share, "hard_low": hard, "__skip": F.col(skipped).isNotNull()}).withColumn("__in", ~F.col("__skip") & ~F.col("hard_low"))
+    values = {"obs": F.col(obs).cast("double"), "cond": F.when(F.col(condition) > 0, -F.log10(condition)), "drop": -F.col("dropped_share")}
+    rows = rows.withColumns({f"__{k}": F.when(F.col("__in"), v) for k, v in values.items()})
+    for k in values:
+        rows = _with_share_below(rows, f"__{k}", f"rank_{k}")
+    blended = sum((w * F.col(f"rank_{k}") for k, w in RANK_WEIGHTS.items()), F.lit(0.0))
+    blended = blended - PENALTY * capped_.cast("int") - PENALTY * (F.col("dropped_share") > 0).cast("int")
+    rows = rows.withColumn("score", F.when(blended.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), blended))))
+    strong = (F.col("score") >= VERY_STRONG) & F.coalesce(F.col(obs) >= STRONG_OBS, no) & F.coalesce(F.col(condition) <= STRONG_CONDITION, no)
+    high = (F.col("score") >= HIGH) & (~capped_ | strong)
+    tier = F.when(F.col("__skip"), "skip").when(high, "high").when(F.col("score") >= MEDIUM, "medium").otherwise("low")
+    return rows.withColumn("tier", tier).drop("__skip", "__in", *[f"__{k}" for k in values])
+
+
+def _with_share_below(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the share of non-null values at or below each, ties at their mean rank; equal values are counted before they are put in order."""
+    from macrotide.functions.shipping import cut
+
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
+    ranged = cut(counts.repartitionByRange(value).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = ranged.groupBy("__part").agg(F.sum("__c").alias("__p")).select("__part", F.coalesce(F.sum("__p").over(earlier), F.lit(0)).alias("__before"), F.sum("__p").over(Window.partitionBy()).alias("__all"))
+    here = F.coalesce(F.sum("__c").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = ranged.withColumn("__here", here).join(F.broadcast(parts), "__part").select(value, ((F.col("__before") + F.col("__here") + (F.col("__c") + 1) / 2) / F.col("__all")).alias(name))
+    return rows.join(shares, value, "left")

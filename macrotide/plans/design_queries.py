@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, normal_p, rounded
 from macrotide.operators import calendar, controls, events, inference, wide
+from macrotide.operators import recipes as recipe_operators
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results
 
@@ -82,15 +83,22 @@ def _(spark, d):
     return filled.select("date", *rounded("a", "b"), F.round(F.ln("a") - F.lag(F.ln("a")).over(w), 6).alias("a_growth"))
 
 
-@query("recipe_replay", f"{M}, t as (select series, date, (pow(value + 1, 0.5) - 1) / 0.5 as y from panel_m), u as (select *, y - lag(y) over {W} as d1 from t) select series, date, round(d1 - lag(d1, 12) over {W}, 6) as replayed from u")
+@query("recipe_replay", f"""with {PANEL_NATION}, r as (select series, date, value, case when substr(series, 8)::int % 3 = 0 then 0.5 when substr(series, 8)::int % 3 = 1 then 0.0 end as lam, substr(series, 8)::int % 3 as d, substr(series, 8)::int % 2 as s, case when substr(series, 8)::int < 10 then 12 when substr(series, 8)::int < 20 then 6 else 1 end as period, substr(series, 8)::int % 4 as kind from panel_nation),
+m as (select series, month(date) as month, avg(value) - any_value(mean) as part, avg(value) / any_value(mean) as factor from (select *, avg(value) over (partition by series) as mean from r) group by all),
+a as (select r.series, date, d, s, greatest(period, 2) as p, case kind when 1 then value - part when 2 then value / factor else value end as x, lam from r join m on r.series = m.series and month(r.date) = m.month),
+t as (select *, case when lam is null then x when x >= 0 then case when lam = 0 then ln(1 + x) else (sqrt(1 + x) - 1) / 0.5 end else -(pow(1 - x, 2 - lam) - 1) / (2 - lam) end as y from a),
+o as (select *, case d when 0 then y when 1 then y - lag(y) over w else y - 2 * lag(y) over w + lag(y, 2) over w end as z from t window w as (partition by series order by date))
+select series, date, round(case when s = 0 then z when p = 12 then z - lag(z, 12) over w when p = 6 then z - lag(z, 6) over w else z - lag(z, 2) over w end, 6) as replayed from o window w as (partition by series order by date)""")
 def _(spark, d):
-    from macrotide.functions.columns import yeo_johnson
-
-    panel = panel_m(spark, d)
-    recipes = panel.select("series").distinct().withColumns({"lam": F.lit(0.5), "order": F.lit(1), "period": F.lit(12)})
-    w = Window.partitionBy("series").orderBy("date")
-    rows = panel.join(recipes, "series").withColumn("y", yeo_johnson(F.col("value"), F.col("lam"))).withColumn("d1", F.when(F.col("order") == 1, F.col("y") - F.lag("y").over(w)).otherwise(F.col("y")))
-    return rows.select("series", "date", F.round(F.col("d1") - F.lag("d1", 12).over(w), 6).alias("replayed"))
+    """Recipes of three lambdas, orders and periods, and seasonal parts by month, taken off, divided by or left."""
+    panel = panel_nation(spark, d)
+    k = F.substring("series", 8, 9).cast("int")
+    recipes = panel.select("series").distinct().select("series", F.when(k % 3 == 0, 0.5).when(k % 3 == 1, 0.0).alias("lam"), (k % 3).alias("diff_order"), (k % 2).alias("seasonal_diff_order"), F.when(k < 10, 12).when(k < 20, 6).otherwise(1).alias("period"), F.when(k % 4 == 1, "additive").when(k % 4 == 2, "multiplicative").alias("adjustment"))
+    month = Window.partitionBy("series", F.month("date"))
+    mean = F.avg("value").over(Window.partitionBy("series"))
+    parts = panel.select("series", "date", F.avg("value").over(month).alias("own"), mean.alias("mean")).join(recipes, "series")
+    seasonal = parts.select("series", "date", F.when(F.col("adjustment") == "multiplicative", F.col("own") / F.col("mean")).otherwise(F.col("own") - F.col("mean")).alias("part"))
+    return recipe_operators.replay(panel, recipes, seasonal).select("series", "date", *rounded("replayed"))
 
 
 @query("null_draw_compile", f"{R}, h as (select treatment || '/' || outcome as hypothesis, treatment as family, max(abs(z)) as abs_t from results where estimator = 'lp' group by all), d as (select hypothesis, family, unnest(range(1, 6)) as draw from h union all select hypothesis, family, 1 from h) select distinct family, hypothesis, draw::integer as draw, round(3.5 * ('0x' || substr(md5(hypothesis || '|' || draw), 1, 8))::bigint::double / 4294967296.0, 6) as abs_t from d")

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import gates, inference
+from macrotide.operators import controls, gates, inference, selection
 from macrotide.plans.registry import query
-from macrotide.sources.panels import RESULTS, results
+from macrotide.sources.panels import PANEL_NATION, RESULTS, panel_nation, results
 
 R = f"with {RESULTS}"
 KEY = ["treatment", "outcome", "horizon"]
@@ -184,15 +184,20 @@ def _(spark, d):
     return rows.select(*KEY, F.concat(F.lit("iv_"), F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 16)).alias("contract_id"))
 
 
-@query("lp_reliability_tier", f"""{R}, k as (select *, (rank() over (partition by estimator order by n) + (count(*) over (partition by estimator, n) - 1) / 2) / count(*) over (partition by estimator) as rn, (rank() over (partition by estimator order by abs(z)) + (count(*) over (partition by estimator, abs(z)) - 1) / 2) / count(*) over (partition by estimator) as rz,
- (rank() over (partition by estimator order by se desc) + (count(*) over (partition by estimator, se) - 1) / 2) / count(*) over (partition by estimator) as rs from results), b as (select *, 0.5 * rz + 0.3 * rn + 0.2 * rs - case when n < 20 then 0.2 else 0 end as score from k)
-select estimator, treatment, outcome, horizon, round(score, 6) as score, case when score >= 0.7 then 'high' when score >= 0.4 then 'medium' else 'low' end as tier from b""")
+@query("lp_reliability_tier", f"""with {PANEL_NATION}, l as (select series, date, value as y, lag(value) over w as a, lag(value, 2) over w as b, year(date) as year from panel_nation window w as (partition by series order by date)),
+g as (select series, year % 3 as part, count(*) as n, corr(a, b) as r from l where a is not null and b is not null and y is not null group by all),
+f as (select series, part, n / 3.0 as obs, (1 + abs(r)) / (1 - abs(r)) as condition, length(series) % 3 as dropped, part = 1 as capped, case when n < 20 then 'few_rows' end as skip_reason from g),
+e as (select *, dropped / 2 as share, skip_reason is not null as skip, coalesce(obs < 1.25, false) or condition > 1e10 as hard from f),
+k as (select *, (rank() over (order by obs) + (count(*) over (partition by obs) - 1) / 2) / count(*) over () as ro, (rank() over (order by -round(log10(condition), 9)) + (count(*) over (partition by round(log10(condition), 9)) - 1) / 2) / count(*) over () as rc, (rank() over (order by -share) + (count(*) over (partition by share) - 1) / 2) / count(*) over () as rd from e where not skip and not hard),
+s as (select series, part, greatest(0, least(1, 0.5 * ro + 0.3 * rc + 0.2 * rd - 0.1 * capped::int - 0.1 * (share > 0)::int)) as score from k)
+select series, part, round(share, 5) as dropped_share, round(score, 6) as score, case when skip then 'skip' when score >= 0.67 and (not capped or (score >= 0.85 and obs >= 3 and condition <= 1e6)) then 'high' when score >= 0.33 then 'medium' else 'low' end as tier from e left join s using (series, part)""")
 def _(spark, d):
-    over = ["estimator"]
-    rows = results(spark, d).withColumn("az", F.abs("z")).withColumn("neg_se", -F.col("se"))
-    score = 0.5 * inference.average_rank(over, F.col("az")) + 0.3 * inference.average_rank(over, F.col("n")) + 0.2 * inference.average_rank(over, F.col("neg_se")) - F.when(F.col("n") < 20, 0.2).otherwise(0.0)
-    rows = rows.withColumn("score", score)
-    return rows.select("estimator", *KEY, *rounded("score"), F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low").alias("tier"))
+    """Design diagnostics of a fit on two lags, for each nation and every third year."""
+    w = Window.partitionBy("series").orderBy("date")
+    rows = panel_nation(spark, d).select("series", F.col("value").alias("y"), F.lag("value").over(w).alias("a"), F.lag("value", 2).over(w).alias("b"), (F.year("date") % 3).alias("part"))
+    fits = controls.design_guards(rows, ["series", "part"], ["y"], ["a", "b"], free=1)
+    named = fits.select("series", "part", (F.col("n") / 3).alias("obs_per_regressor"), F.pow(F.lit(10.0), F.round(F.log10("condition"), 9)).alias("condition"), F.lit(0).alias("rank_deficit"), F.lit(2).alias("selected"), (F.length("series") % 3).alias("dropped"), (F.col("part") == 1).alias("capped"), F.when(F.col("n") < 20, "few_rows").alias("skip_reason"))
+    return gates.reliability_tiers(named).select("series", F.col("part").cast("long").alias("part"), F.round("dropped_share", 5).alias("dropped_share"), *rounded("score"), "tier")
 
 
 @query("contract_expand", f"""{R}, t as (select distinct treatment, outcome from results where p < 0.2), e as (select unnest(['iv', 'lp_iv']) as kind), h as (select unnest([0, 4, 8]) as horizon) select treatment, outcome, kind, horizon::integer as horizon from t, e, h""")
@@ -244,10 +249,11 @@ def _(spark, d):
     return inference.latest(results(spark, d), ["estimator", "treatment", "outcome"], [F.abs(F.col("horizon") - 4), F.col("horizon")]).select("estimator", *KEY, "estimate")
 
 
-@query("oster_stability", f"""{R}, {BOTH} select treatment, outcome, horizon, round(dml / nullif(lp - dml, 0), 5) as stability_ratio, (abs(dml / nullif(lp - dml, 0)) > 1)::int as robust from b""")
+@query("oster_stability", f"""{R}, {BOTH} select treatment, outcome, horizon, round(abs(dml) / nullif(abs(lp), 0), 5) as stability_ratio, (abs(dml) < abs(lp))::int as shrinks from b""")
 def _(spark, d):
-    ratio = F.try_divide(F.col("dml"), F.col("lp") - F.col("dml"))
-    return _both(results(spark, d)).select(*KEY, F.round(ratio, 5).alias("stability_ratio"), (F.abs(ratio) > 1).cast("int").alias("robust"))
+    """How much of the plain slope is left within return flags; below 1 it shrinks."""
+    lp, dml = F.col("lp"), F.col("dml")
+    return _both(results(spark, d)).select(*KEY, F.round(selection.stability_ratio(lp, dml), 5).alias("stability_ratio"), (F.abs(dml) < F.abs(lp)).cast("int").alias("shrinks"))
 
 
 @query("confidence_tier", f"""{R}, {BOTH} select treatment, outcome, horizon, case when sign(lp) = sign(dml) and p_lp < 0.05 and p_dml < 0.05 then 'confirmatory' when sign(lp) = sign(dml) and least(p_lp, p_dml) < 0.05 then 'robust' when least(p_lp, p_dml) < 0.1 then 'suggestive' else 'insufficient' end as tier from b""")
