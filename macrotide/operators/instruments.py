@@ -1,13 +1,17 @@
-"""Screening of candidate instruments: first stages, fits chained forward over folds, leaks, leads and specificity, from moments of each fold."""
+"""Instruments: screens by fits chained over folds, and strength, two-stage estimates and robust sets for any number of them, given controls."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from macrotide.functions.columns import normal_p
+from macrotide.functions.columns import chi2_p, normal_p
+from macrotide.operators.controls import design_guards, partial_out
 
 #: Factors on a candidate's score for what it fails (fixed values).
 PENALTIES = {"pass_directionality": 0.65, "forward_chain_ok": 0.60, "pretrend_ok": 0.85, "specificity_ok": 0.85}
@@ -156,3 +160,176 @@ def screen_decisions(screened: DataFrame) -> DataFrame:
     reasons = F.when(F.col("reasons") != "", F.col("reasons")).when(F.col("selected"), "PASS").otherwise("RANK")
     decision = F.when(~F.col("pass_feasibility"), "drop").when(F.col("selected"), "select").otherwise("demote")
     return sums.select("treatment", "candidate", decision.alias("decision"), reasons.alias("reasons"))
+
+
+def _hac_products(rows: DataFrame, by: list[str], at: str, scores: list[str], lags: int) -> tuple[DataFrame, dict[tuple[int, int], Column]]:
+    """Rows get the lags of scores; the sums, for i <= j, of the long-run products of scores with Bartlett weights."""
+    w = Window.partitionBy(*by).orderBy(at)
+    late = {(c, k): F.coalesce(F.lag(c, k).over(w), F.lit(0.0)) for c in scores for k in range(1, lags + 1)}
+    named = {key: f"__late_{key[0]}_{key[1]}" for key in late}
+    rows = rows.withColumns({named[key]: v for key, v in late.items()})
+    out = {}
+    for i, a in enumerate(scores):
+        for j in range(i, len(scores)):
+            b = scores[j]
+            term = F.col(a) * F.col(b)
+            for k in range(1, lags + 1):
+                term = term + (1 - k / (lags + 1)) * (F.col(a) * F.col(named[b, k]) + F.col(b) * F.col(named[a, k]))
+            out[i, j] = F.sum(term)
+    return rows, out
+
+
+def score_moments(df: DataFrame, by: list[str], at: str, targets: list[str], zs: list[str], ws: list[str], lags: int) -> DataFrame:
+    """(*by, n, reason, pi, q, omega, ss): what tests of instruments need, once controls are cleared.
+
+    targets and zs are cleared of a constant and ws in each group. pi: slopes of each target on all zs,
+    one array a target; q: the k x k sums of products of zs; omega: long-run (Bartlett) sums of products
+    of the scores z * residual, all scores of the first target first; ss: sums of squares of each cleared target and of
+    its residual. Rows with a null in any column are left out; a group that has no fit has a reason.
+    """
+    held = df.dropna(subset=[*targets, *zs, *ws])
+    if ws:
+        cleared = partial_out(held, by, [*targets, *zs], ws)
+    else:
+        whole = Window.partitionBy(*by)
+        cleared = held.withColumns({f"r_{c}": F.col(c) - F.avg(c).over(whole) for c in (*targets, *zs)})
+    z = [f"r_{c}" for c in zs]
+    fits = design_guards(cleared, by, [f"r_{t}" for t in targets], z, free=1, most_condition=1e14).drop("n", "used", "condition")
+    rows = cleared.join(fits, by)
+    left = {f"u_{i}": F.col(f"r_{t}") - sum((F.col(f"b_r_{t}")[j + 1] * F.col(c) for j, c in enumerate(z)), F.lit(0.0)) for i, t in enumerate(targets)}
+    rows = rows.withColumns(left)
+    scores = {f"s_{i}_{j}": F.col(f"u_{i}") * F.col(c) for i in range(len(targets)) for j, c in enumerate(z)}
+    rows = rows.withColumns(scores)
+    rows, products = _hac_products(rows, by, at, list(scores), lags)
+    m, k = len(scores), len(zs)
+    sums = [F.count("*").alias("n"), F.first("reason").alias("reason"), F.array(*[F.slice(F.first(f"b_r_{t}"), 2, k) for t in targets]).alias("pi")]
+    sums.append(F.array(*[F.sum(F.col(a) * F.col(b)) for a in z for b in z]).alias("q"))
+    sums.append(F.array(*[products[min(i, j), max(i, j)] for i in range(m) for j in range(m)]).alias("omega"))
+    sums.append(F.array(*[F.array(F.sum(F.col(f"r_{t}") * F.col(f"r_{t}")), F.sum(F.col(f"u_{i}") * F.col(f"u_{i}"))) for i, t in enumerate(targets)]).alias("ss"))
+    return rows.groupBy(*by).agg(*sums)
+
+
+def _wald(pi: np.ndarray, q: np.ndarray, omega: np.ndarray) -> float:
+    """pi' Q omega^-1 Q pi; NaN if omega is singular, or more ill-conditioned than 1e16."""
+    if not np.isfinite(omega).all() or not np.linalg.cond(omega) <= 1e16:
+        return np.nan
+    stat = float(pi @ q @ np.linalg.solve(omega, q @ pi))
+    return stat if stat > 0 else np.nan
+
+
+def first_stage_strength(df: DataFrame, by: list[str], at: str, d: str, zs: list[str], ws: list[str] | None = None, lags: int = 4) -> DataFrame:
+    """(*by, n, reason, t, f_eff, underid_p, partial_r2): how strongly the instruments zs move d in each group, given controls ws.
+
+    t: the largest |HAC t| of an instrument; f_eff: the robust Wald statistic of all of them over
+    their number; underid_p: its chi-square tail; partial_r2: the share of d's cleared squares that they
+    explain. Null where the group has no fit (``reason``) or the long-run covariance is singular.
+    """
+    k = len(zs)
+    moments = score_moments(df, by, at, [d], zs, ws or [], lags)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for pi, q, omega, ss, reason in zip(frame["pi"], frame["q"], frame["omega"], frame["ss"], frame["reason"]):
+                pi, q, omega = np.array(pi[0], float), np.array(q, float).reshape(k, k), np.array(omega, float).reshape(k, k)
+                if reason is not None or not np.linalg.cond(q) <= 1e14:
+                    out.append((np.nan, np.nan, np.nan))
+                    continue
+                inverse = np.linalg.inv(q)
+                cov = np.diag(inverse @ omega @ inverse)
+                t = np.max(np.abs(pi) / np.sqrt(cov)) if (cov > 0).all() else np.nan
+                out.append((t, _wald(pi, q, omega), (ss[0][0] - ss[0][1]) / ss[0][0] if ss[0][0] > 0 else np.nan))
+            found = pd.DataFrame(out, columns=["t", "wald", "partial_r2"])
+            yield pd.concat([frame[[*by, "n", "reason"]].reset_index(drop=True), found], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in moments.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "n"]) + ", reason string, t double, wald double, partial_r2 double"
+    out = moments.mapInPandas(run, schema)
+    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("t", "wald", "partial_r2")})
+    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("partial_r2")))
+    return out.select(*by, "n", "reason", "t", (F.col("wald") / k).alias("f_eff"), chi2_p(F.col("wald"), k).alias("underid_p"), F.when(F.col("partial_r2").isNotNull(), unit).alias("partial_r2"))
+
+
+def two_stage(df: DataFrame, by: list[str], at: str, y: str, d: str, zs: list[str], ws: list[str] | None = None, lags: int = 4) -> DataFrame:
+    """(*by, n, beta, se, z, p): two-stage least squares of y on d by any number of instruments, given controls ws, with HAC errors.
+
+    y, d and zs are cleared of a constant and ws; the first stage's fit of d is then the
+    instrument. Groups without a first stage are left out.
+    """
+    held = df.dropna(subset=[y, d, *zs, *(ws or [])])
+    if ws:
+        rows = partial_out(held, by, [y, d, *zs], ws)
+    else:
+        whole = Window.partitionBy(*by)
+        rows = held.withColumns({f"r_{c}": F.col(c) - F.avg(c).over(whole) for c in (y, d, *zs)})
+    z = [f"r_{c}" for c in zs]
+    fits = design_guards(rows, by, [f"r_{d}"], z, free=1).filter("reason is null").select(*by, f"b_r_{d}")
+    rows = rows.join(fits, by).withColumn("__hat", sum((F.col(f"b_r_{d}")[j + 1] * F.col(c) for j, c in enumerate(z)), F.lit(0.0)))
+    slopes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("__hat") * F.col(f"r_{y}")).alias("__hy"), F.sum(F.col("__hat") * F.col(f"r_{d}")).alias("__hd"))
+    rows = rows.join(slopes, by).withColumn("beta", F.try_divide("__hy", F.nullif("__hd", F.lit(0.0))))
+    rows = rows.withColumn("__s", F.col("__hat") * (F.col(f"r_{y}") - F.col("beta") * F.col(f"r_{d}")))
+    rows, products = _hac_products(rows, by, at, ["__s"], lags)
+    out = rows.groupBy(*by).agg(F.first("n").alias("n"), F.first("beta").alias("beta"), F.first("__hd").alias("__hd"), products[0, 0].alias("__meat"))
+    out = out.withColumn("se", F.try_divide(F.sqrt(F.greatest("__meat", F.lit(0.0))), F.abs("__hd"))).withColumn("z", F.try_divide("beta", "se"))
+    return out.select(*by, "n", "beta", "se", "z", normal_p(F.col("z")).alias("p"))
+
+
+def anderson_rubin(df: DataFrame, by: list[str], at: str, y: str, d: str, zs: list[str], ws: list[str] | None = None, lags: int = 4, alpha: float = 0.05, points: int = 61, radius: float = 6.0, expansions: int = 3) -> DataFrame:
+    """(*by, n, theta, lo, hi, status): the effects of d on y that any number of instruments do not reject together.
+
+    For an effect theta the instruments should not move y - theta d: their robust Wald statistic
+    is a ratio of quadratics in theta, made from one pass of sums. It is held against the
+    chi-square of as many degrees of freedom on a grid around the two-stage estimate, ``radius`` of
+    its errors wide, which is doubled until the set lies inside: ``inside``, else ``edge`` or ``empty``.
+    """
+    k = len(zs)
+    moments = score_moments(df, by, at, [y, d], zs, ws or [], lags).filter("reason is null")
+    critical = _chi2_quantile(1 - alpha, k)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for pi, q, omega in zip(frame["pi"], frame["q"], frame["omega"]):
+                (py, pd_), q, omega = (np.array(p, float) for p in pi), np.array(q, float).reshape(k, k), np.array(omega, float).reshape(2 * k, 2 * k)
+                yy, yd, dd = omega[:k, :k], omega[:k, k:], omega[k:, k:]
+                pull = pd_ @ q @ pd_
+                theta = float(pd_ @ q @ py / pull) if pull > 0 else np.nan
+                error = np.sqrt(max(pd_ @ (yy - theta * (yd + yd.T) + theta**2 * dd) @ pd_, 0)) / pull if pull > 0 else np.nan
+                found = (theta, np.nan, np.nan, "empty")
+                if np.isfinite(error):
+                    reach = radius * error if error > 0 else 1.0
+                    for e in range(expansions + 1):
+                        grid = theta + reach * 2**e * np.linspace(-1, 1, points)
+                        fits = np.array([not _wald(py - v * pd_, q, yy - v * (yd + yd.T) + v * v * dd) > critical for v in grid])
+                        at_ = np.flatnonzero(fits)
+                        if not len(at_):
+                            found = (theta, np.nan, np.nan, "empty")
+                            continue
+                        inside = at_[0] > 0 and at_[-1] < points - 1
+                        found = (theta, float(grid[at_[0]]), float(grid[at_[-1]]), "inside" if inside else "edge")
+                        if inside:
+                            break
+                out.append(found)
+            yield pd.concat([frame[[*by, "n"]].reset_index(drop=True), pd.DataFrame(out, columns=["theta", "lo", "hi", "status"])], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in moments.schema}
+    out = moments.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "n"]) + ", theta double, lo double, hi double, status string")
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("theta", "lo", "hi")})
+
+
+def _chi2_tail(x: float, df: int) -> float:
+    half, odd = x / 2, df % 2
+    term, total = (2 * math.sqrt(half / math.pi) * math.exp(-half), math.erfc(math.sqrt(half))) if odd else (math.exp(-half), 0.0)
+    for i in range((df - odd) // 2):
+        total += term
+        term *= half / (i + (1.5 if odd else 1.0))
+    return total
+
+
+def _chi2_quantile(share: float, df: int) -> float:
+    """Where the chi-square distribution reaches a share, by halving."""
+    lo, hi = 0.0, 10.0 * df + 200
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - _chi2_tail(mid, df) < share else (lo, mid)
+    return (lo + hi) / 2

@@ -48,3 +48,48 @@ def _(spark, d):
 select treatment, candidate, case when selected then 'select' else 'demote' end as decision, case when reasons <> '' then reasons when selected then 'PASS' else 'RANK' end as reasons from dc""")
 def _(spark, d):
     return instruments.screen_decisions(_screen(spark, d))
+
+
+def _instrumented(spark, d):
+    """(series, date, y, d, z1, z2, w): each nation's value and its last one, two nations as instruments, and one that they move."""
+    panel = panel_nation(spark, d)
+    one = {c: panel.filter(F.col("series") == s).select("date", F.col("value").alias(c)) for c, s in (("d", "NATION_0"), ("z1", "NATION_5"), ("z2", "NATION_7"))}
+    w = F.lag("value").over(Window.partitionBy("series").orderBy("date"))
+    rows = panel.filter("series not in ('NATION_0', 'NATION_5', 'NATION_7')").select("series", "date", F.col("value").alias("y"), w.alias("w"))
+    for c in one.values():
+        rows = rows.join(c, "date")
+    return rows.dropna()
+
+
+INSTRUMENTS = f"""with {PANEL_NATION}, a as (select series, date, value as y, lag(value) over (partition by series order by date) as w from panel_nation where series not in ('NATION_0', 'NATION_5', 'NATION_7')),
+j as (select a.*, d.value as d, p.value as z1, q.value as z2 from a join panel_nation d on d.date = a.date and d.series = 'NATION_0' join panel_nation p on p.date = a.date and p.series = 'NATION_5' join panel_nation q on q.date = a.date and q.series = 'NATION_7' where w is not null),
+s as (select series, count(*) as n, avg(w) as mw, avg(y) as my, avg(d) as md, avg(z1) as m1, avg(z2) as m2, regr_slope(y, w) as sy, regr_slope(d, w) as sd, regr_slope(z1, w) as s1, regr_slope(z2, w) as s2 from j group by series),
+c as (select j.series, date, n, y - my - sy * (w - mw) as y, d - md - sd * (w - mw) as d, z1 - m1 - s1 * (w - mw) as z1, z2 - m2 - s2 * (w - mw) as z2 from j join s using (series)),
+m as (select series, any_value(n) as n, sum(z1 * z1) as aa, sum(z1 * z2) as ab, sum(z2 * z2) as bb, sum(z1 * d) as ad, sum(z2 * d) as bd, sum(d * d) as dd, sum(z1 * y) as ay, sum(z2 * y) as by_ from c group by series),
+p as (select *, (bb * ad - ab * bd) / (aa * bb - ab * ab) as p1, (aa * bd - ab * ad) / (aa * bb - ab * ab) as p2 from m)"""
+
+
+@query("first_stage_strength_multi", f"""{INSTRUMENTS}, u as (select c.series, date, z1 * (d - p1 * z1 - p2 * z2) as e, z2 * (d - p1 * z1 - p2 * z2) as f from c join p using (series)),
+l as (select *, coalesce(lag(e) over k, 0) as e1, coalesce(lag(f) over k, 0) as f1, coalesce(lag(e, 2) over k, 0) as e2, coalesce(lag(f, 2) over k, 0) as f2 from u window k as (partition by series order by date)),
+o as (select series, sum(e * e + 4.0 / 3 * e * e1 + 2.0 / 3 * e * e2) as ee, sum(f * f + 4.0 / 3 * f * f1 + 2.0 / 3 * f * f2) as ff, sum(e * f + 2.0 / 3 * (e * f1 + f * e1) + 1.0 / 3 * (e * f2 + f * e2)) as ef from l group by series),
+t as (select p.*, ee, ff, ef, aa * bb - ab * ab as det, ee * ff - ef * ef as odet from p join o using (series)),
+w as (select *, (bb * bb * ee - 2 * ab * bb * ef + ab * ab * ff) / (det * det) as v1, (ab * ab * ee - 2 * aa * ab * ef + aa * aa * ff) / (det * det) as v2, (ff * ad * ad - 2 * ef * ad * bd + ee * bd * bd) / odet as wald from t)
+select series, n, round(greatest(abs(p1) / sqrt(v1), abs(p2) / sqrt(v2)), 4) as t, round(wald / 2, 4) as f_eff, round(exp(-wald / 2), 6) as underid_p, round((p1 * ad + p2 * bd) / dd, 6) as partial_r2 from w""")
+def _(spark, d):
+    out = instruments.first_stage_strength(_instrumented(spark, d), ["series"], "date", "d", ["z1", "z2"], ["w"], lags=2)
+    return out.select("series", "n", *rounded("t", "f_eff", digits=4), *rounded("underid_p", "partial_r2"))
+
+
+@query("two_stage_multi", f"""{INSTRUMENTS}, b as (select *, (p1 * ay + p2 * by_) / (p1 * ad + p2 * bd) as beta, p1 * ad + p2 * bd as hd from p),
+u as (select c.series, date, (p1 * z1 + p2 * z2) * (y - beta * d) as e from c join b using (series)),
+l as (select *, coalesce(lag(e) over k, 0) as e1, coalesce(lag(e, 2) over k, 0) as e2 from u window k as (partition by series order by date)),
+o as (select series, sqrt(greatest(sum(e * e + 4.0 / 3 * e * e1 + 2.0 / 3 * e * e2), 0)) as root from l group by series)
+select series, n, round(beta, 5) as beta, round(root / abs(hd), 5) as se, round({normal_p_sql('(beta * abs(hd) / root)')}, 5) as p from b join o using (series)""")
+def _(spark, d):
+    return instruments.two_stage(_instrumented(spark, d), ["series"], "date", "y", "d", ["z1", "z2"], ["w"], lags=2).select("series", "n", *rounded("beta", "se", "p", digits=5))
+
+
+@query("ar_grid_multi")
+def _(spark, d):
+    """What two instruments together do not reject."""
+    return instruments.anderson_rubin(_instrumented(spark, d), ["series"], "date", "y", "d", ["z1", "z2"], ["w"], lags=2).select("series", "n", *rounded("theta", "lo", "hi", digits=5), "status")

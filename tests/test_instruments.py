@@ -129,3 +129,78 @@ def test_screen_equals_numpy(spark):
     assert "BASELINE_LEAD_FAIL;BASELINE_WSPEC_FAIL" in decisions["t2", "good"].reasons and decisions["t2", "good"].decision == "demote"
     one = instruments.instrument_screen(treatments, candidates, pairs.limit(1), ["diff"], max_lag=0)
     assert one.count() == 1 and instruments.instrument_screen(treatments, candidates, pairs.limit(0), ["diff"]).count() == 0
+
+
+def cleared(v, w):
+    x = np.column_stack([np.ones(len(v)), w]) if w is not None else np.ones((len(v), 1))
+    return v - x @ np.linalg.lstsq(x, v, rcond=None)[0]
+
+
+def long_run(s, lags):
+    out = s.T @ s
+    for k in range(1, lags + 1):
+        cross = s[k:].T @ s[:-k]
+        out = out + (1 - k / (lags + 1)) * (cross + cross.T)
+    return out
+
+
+def instrumented(seed, n=90, strength=0.8):
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=(n, 2))
+    z = rng.normal(size=(n, 3)) + w @ rng.normal(size=(2, 3))
+    hidden = rng.normal(size=n)
+    d = strength * z @ np.array([1.0, 0.5, 0.0]) + w[:, 0] + hidden
+    y = 1.5 * d + hidden + w[:, 1] + 0.5 * rng.normal(size=n)
+    return y, d, z, w
+
+
+def frame(spark, groups):
+    rows = [(g, t, float(y[i]), float(d[i]), *[float(v) for v in z[i]], *[float(v) for v in w[i]]) for g, (y, d, z, w) in groups.items() for i, t in enumerate(months(len(y)))]
+    rows += [("a", date(2050, 1, 1), None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0), *[("few", t, 1.0 * i, 2.0 * i, 1.0, 2.0, 3.0, 4.0, 5.0) for i, t in enumerate(months(3))]]
+    return spark.createDataFrame(rows, "g string, t date, y double, d double, z1 double, z2 double, z3 double, w1 double, w2 double")
+
+
+Z, W = ["z1", "z2", "z3"], ["w1", "w2"]
+
+
+@pytest.mark.parametrize("controlled", [True, False])
+def test_strength_and_two_stages_equal_numpy(spark, controlled):
+    groups = {"a": instrumented(1), "b": instrumented(2, 60, 0.05)}
+    df, ws = frame(spark, groups), W if controlled else None
+    got = {r.g: r for r in instruments.first_stage_strength(df.filter("y is not null"), ["g"], "t", "d", Z, ws, lags=3).collect()}
+    two = {r.g: r for r in instruments.two_stage(df, ["g"], "t", "y", "d", Z, ws, lags=3).collect()}
+    assert got["few"].reason is not None and got["few"].f_eff is None and "few" not in two
+    for g, (y, d, z, w) in groups.items():
+        w = w if controlled else None
+        y, d, z = cleared(y, w), cleared(d, w), cleared(z, w)
+        pi = np.linalg.lstsq(z, d, rcond=None)[0]
+        u = d - z @ pi
+        q, omega = z.T @ z, long_run(z * u[:, None], 3)
+        wald = pi @ q @ np.linalg.inv(omega) @ q @ pi
+        cov = np.linalg.inv(q) @ omega @ np.linalg.inv(q)
+        r = got[g]
+        assert r.n == len(y) and abs(r.f_eff - wald / 3) < 1e-8 * wald and abs(r.t - np.max(np.abs(pi) / np.sqrt(np.diag(cov)))) < 1e-8
+        assert abs(r.partial_r2 - (1 - u @ u / (d @ d))) < 1e-10 and abs(r.underid_p - instruments._chi2_tail(wald, 3)) < 1e-6
+        hat = z @ pi
+        beta = hat @ y / (hat @ d)
+        se = math.sqrt(long_run((hat * (y - beta * d))[:, None], 3)[0, 0]) / abs(hat @ d)
+        assert abs(two[g].beta - beta) < 1e-9 and abs(two[g].se - se) < 1e-9
+    assert got["a"].f_eff > 10 > got["b"].f_eff
+
+
+def test_robust_sets_equal_a_scan(spark):
+    y, d, z, w = instrumented(1)
+    got = {r.g: r for r in instruments.anderson_rubin(frame(spark, {"a": (y, d, z, w), "b": instrumented(2, 60, 0.02)}), ["g"], "t", "y", "d", Z, W, lags=3, points=201).collect()}
+    y, d, z = cleared(y, w), cleared(d, w), cleared(z, w)
+
+    def wald(theta):
+        e = y - theta * d
+        delta = np.linalg.lstsq(z, e, rcond=None)[0]
+        return delta @ z.T @ z @ np.linalg.inv(long_run(z * (e - z @ delta)[:, None], 3)) @ z.T @ z @ delta
+
+    critical = instruments._chi2_quantile(0.95, 3)
+    assert abs(critical - 7.8147) < 1e-4 and abs(instruments._chi2_quantile(0.95, 1) - 1.959963985**2) < 1e-6
+    r = got["a"]
+    step = (r.hi - r.lo) / 40
+    assert r.status == "inside" and wald(r.lo) <= critical and wald(r.hi) <= critical and wald(r.lo - step) > critical and wald(r.hi + step) > critical
+    assert r.lo < 1.5 < r.hi and got["b"].hi - got["b"].lo > 2 * (r.hi - r.lo) and "few" not in got
