@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from macrotide.plans import control_queries, design_queries, disaggregation_queries, evidence_queries, extra_queries, instrument_queries, panel_queries, policy_queries, regression_queries, result_queries, screen_queries, shock_queries, source_queries  # noqa: F401
+    from macrotide.plans import contract_queries, control_queries, design_queries, disaggregation_queries, evidence_queries, extra_queries, instrument_queries, panel_queries, policy_queries, regression_queries, result_queries, screen_queries, shock_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
