@@ -247,3 +247,75 @@ def independence_scores(windows: DataFrame, keys: list[str], alpha: float = 0.05
     score = 100 * apart * quiet * (1 - tied / F.count("*")) * reliability
     legacy = 100 / (1e-6 + F.avg(F.when(var, F.abs("t")))) / (1 + tied / 10)
     return windows.groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce(legacy, F.lit(0.0)).alias("legacy"))
+
+
+def regime_of(at: Column, breaks: list[str], labels: list[str] | None = None) -> Column:
+    """The regime of a date: a new one begins on each break (ISO dates, in order); names are taken from ``labels``, then regime_<n>."""
+    names = [*(labels or []), *[f"regime_{k + 1}" for k in range(len(labels or []), len(breaks) + 1)]]
+    out = F.lit(names[0])
+    for day, name in zip(breaks, names[1:]):
+        out = F.when(at >= F.lit(day).cast("date"), name).otherwise(out)
+    return out
+
+
+def regime_scores(windows: DataFrame, keys: list[str], breaks: list[str], labels: list[str] | None = None, weights: list[float] | None = None, combine: str = "share", min_windows: int = 1, min_share: float = 0.0, at: str = "date", **options) -> DataFrame:
+    """(*keys, direction, score, regimes, dominant, dominant_share): directional scores of each regime of dates, combined.
+
+    Regimes with fewer than ``min_windows`` windows, or a smaller share of the group's than ``min_share``, do not
+    count. combine: min, mean, weight (``weights`` of the regimes that count, scaled to 1) or share (each times its share
+    of windows, over 1 or their sum if that is more). A group with one regime or none that counts has the score of
+    all its windows, ``regimes`` 0 and no dominant one; else that is the one with the largest share.
+    """
+    names = [*(labels or []), *[f"regime_{k + 1}" for k in range(len(labels or []), len(breaks) + 1)]][: len(breaks) + 1]
+    rows = windows.withColumn("regime", regime_of(F.col(at), breaks, labels))
+    total = windows.groupBy(*keys).agg(F.count("*").alias("__total"))
+    parts = directional_scores(rows, [*keys, "regime"], **options).join(total, keys).withColumn("share", F.col("n") / F.col("__total"))
+    parts = parts.filter((F.col("n") >= min_windows) & (F.col("share") >= min_share))
+    given = dict(zip(names, weights or [1.0] * len(names)))
+    w = F.lit(0.0)
+    for name in names:
+        w = F.when(F.col("regime") == name, F.lit(float(max(0.0, given.get(name, 1.0))))).otherwise(w)
+    found = {
+        "min": F.min("score"),
+        "mean": F.avg("score"),
+        "weight": F.coalesce(F.try_divide(F.sum(F.col("score") * w), F.sum(w)), F.avg("score")),
+        "share": F.sum(F.col("score") * F.col("share")) / F.greatest(F.lit(1.0), F.sum("share")),
+    }[combine]
+    # of equal shares the first regime by name dominates
+    top = F.min_by(F.struct("regime", "share"), F.struct(-F.col("share"), "regime"))
+    combined = parts.groupBy(*keys, "direction").agg(F.count("*").alias("__k"), found.alias("__score"), top.alias("__top")).filter("__k > 1")
+    whole = directional_scores(windows, keys, **options).select(*keys, "direction", "score")
+    both = whole.join(combined, [*keys, "direction"], "left")
+    return both.select(*keys, "direction", F.coalesce("__score", "score").alias("score"), F.coalesce("__k", F.lit(0)).alias("regimes"), F.col("__top.regime").alias("dominant"), F.col("__top.share").alias("dominant_share"))
+
+
+def flipped(windows: DataFrame, sign: Column | int = -1) -> DataFrame:
+    """Windows with the signs of r and beta changed."""
+    sign = sign if isinstance(sign, Column) else F.lit(sign)
+    return windows.withColumns({"r": F.col("r") * sign, "beta": F.col("beta") * sign})
+
+
+def placebo_flip(windows: DataFrame, target: str, candidate: str, **options) -> DataFrame:
+    """(target, direction, candidates, top, placebo_top, top_match, top_score, placebo_top_score, delta, ratio, score_corr): scores of all candidates against those of windows with every sign turned over."""
+    keys = [target, candidate]
+    base = directional_scores(windows, keys, **options).select(*keys, "direction", "score")
+    other = directional_scores(flipped(windows), keys, **options).select(*keys, "direction", F.col("score").alias("placebo"))
+    both = base.join(other, [*keys, "direction"])
+    best = lambda c: F.min_by(F.struct(F.col(candidate).alias("name"), F.col(c).alias("score")), F.struct(-F.round(c, 9), candidate))
+    spread = F.stddev_pop("score") * F.stddev_pop("placebo")
+    out = both.groupBy(target, "direction").agg(F.count("*").alias("candidates"), best("score").alias("a"), best("placebo").alias("b"), (F.covar_pop("score", "placebo") / F.nullif(spread, F.lit(0.0))).alias("score_corr"))
+    delta = F.col("b.score") - F.col("a.score")
+    return out.select(target, "direction", "candidates", F.col("a.name").alias("top"), F.col("b.name").alias("placebo_top"), (F.col("a.name") == F.col("b.name")).alias("top_match"), F.col("a.score").alias("top_score"), F.col("b.score").alias("placebo_top_score"), delta.alias("delta"), F.try_divide(delta, F.abs("a.score")).alias("ratio"), "score_corr")
+
+
+def sign_randomization(windows: DataFrame, keys: list[str], draws: int = 300, at: str = "date", seed: str = "placebo", **options) -> DataFrame:
+    """(*keys, direction, score, draws, empirical_p): the share of draws, one added, in which windows with random signs score as high or higher.
+
+    The sign of a window is a bit of the MD5 of seed, keys, date and draw, the same in every run.
+    """
+    base = directional_scores(windows, keys, **options).select(*keys, "direction", "score")
+    rows = windows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    bit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys], F.col(at).cast("string"), F.col("draw").cast("string"))), 1, 4), 16, 10).cast("int") % 2
+    null = directional_scores(flipped(rows, F.when(bit == 0, 1).otherwise(-1)), [*keys, "draw"], **options).select(*keys, "direction", F.col("score").alias("null"))
+    held = null.join(base, [*keys, "direction"])
+    return held.groupBy(*keys, "direction").agg(F.first("score").alias("score"), F.count("*").alias("draws"), ((1 + F.count_if(F.col("null") >= F.col("score") - 1e-9)) / (1 + F.count("*"))).alias("empirical_p"))

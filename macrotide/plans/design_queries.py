@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, normal_p, rounded
-from macrotide.operators import calendar, controls, events, inference, wide
+from macrotide.operators import calendar, controls, evaluation, events, inference, wide
 from macrotide.operators import recipes as recipe_operators
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_GAPS, PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_gaps, panel_m, panel_nation, results
@@ -146,13 +146,17 @@ def _(spark, d):
     return s.withColumn("place", place).select("series", *rounded("failure_rate", "median_score", "roughness"), "place")
 
 
-@query("indicator_quality", f"{M}, x as (select date, value as ind from panel_m where series = '1-URGENT'), r as (select p.series, p.date, value, ind, ntile(3) over (partition by p.series order by p.date) as third from panel_m p join x using (date) where p.series <> '1-URGENT' and ind <> 0) select series, count(*) as n, round(corr(value, ind), 5) as correlation, round(stddev_samp(value / ind) / avg(value / ind), 5) as cv, round(quantile_cont(case when third = 3 then value / ind end, 0.5) / quantile_cont(case when third = 1 then value / ind end, 0.5) - 1, 5) as drift from r group by series")
+@query("indicator_quality", f"""{M}, q as (select series, date_trunc('quarter', date)::date as block, sum(value) as v from panel_m group by all), r as (select y.series, z.series as indicator, y.block, y.v as y, z.v as z from q y join q z on y.block = z.block and y.series <> z.series),
+o as (select *, row_number() over w as i, count(*) over g as n, y / z as ratio, z - lag(z) over w as dz, y - lag(y) over w as dy, quantile_cont(z, 0.5) over g as mid from r window w as (partition by series, indicator order by block), g as (partition by series, indicator)),
+d as (select *, abs(z - mid) as off, greatest(2, n // 3) as tail from o), e as (select *, quantile_cont(off, 0.5) over (partition by series, indicator) as mad from d)
+select series, indicator, count(*) as n, 1.0::double as coverage, 1 as rank, round(stddev_pop(z), 5) as strength, round(abs(corr(z, y)), 5) as corr, round(corr(dz, dy), 5) as growth_corr, 0.0::double as zero_share, round(avg((off / (1.4826 * mad) > 6)::int), 5) as outliers, round(max(off / (1.4826 * mad)), 4) as outlier_z, 1.0::double as ratio_share,
+round(stddev_pop(ratio) / avg(ratio), 5) as ratio_cv, round(abs(quantile_cont(case when i > n - tail then ratio end, 0.5) - quantile_cont(case when i <= tail then ratio end, 0.5)) / quantile_cont(ratio, 0.5), 5) as ratio_drift, round(quantile_cont(ratio, 0.5), 5) as ratio_median from e group by series, indicator""")
 def _(spark, d):
-    panel = panel_m(spark, d)
-    x = panel.filter("series = '1-URGENT'").select("date", F.col("value").alias("ind")).filter("ind <> 0")
-    rows = panel.filter("series <> '1-URGENT'").join(x, "date").withColumn("third", F.ntile(3).over(Window.partitionBy("series").orderBy("date"))).withColumn("ratio", F.col("value") / F.col("ind"))
-    median = {k: F.percentile(F.when(F.col("third") == k, F.col("ratio")), F.lit(0.5)) for k in (1, 3)}
-    return rows.groupBy("series").agg(F.count("*").alias("n"), F.round(corr("value", "ind"), 5).alias("correlation"), F.round(F.stddev_samp("ratio") / F.avg("ratio"), 5).alias("cv"), F.round(median[3] / median[1] - 1, 5).alias("drift"))
+    """Every priority's quarters as an indicator of every other's."""
+    q = panel_m(spark, d).groupBy("series", F.trunc("date", "quarter").alias("block")).agg(F.sum("value").alias("y"))
+    rows = q.join(q.select(F.col("series").alias("indicator"), "block", F.col("y").alias("z")), "block").filter("series <> indicator")
+    out = evaluation.indicator_quality(rows, ["series", "indicator"], "block", "y", ["z"])
+    return out.select("series", "indicator", "n", "coverage", "rank", *rounded("strength", "corr", "growth_corr", digits=5), "zero_share", F.round("outliers", 5).alias("outliers"), F.round("outlier_z", 4).alias("outlier_z"), "ratio_share", *rounded("ratio_cv", "ratio_drift", "ratio_median", digits=5))
 
 
 @query("lead_test", f"""{N}, t as (select date, value - lag(value) over w as s, lead(value) over w - value as s1, lead(value, 2) over w - lead(value) over w as s2 from panel_nation where series = 'NATION_0' window w as (order by date)),

@@ -112,3 +112,43 @@ def _(spark, d):
     sides = scores.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("direction") == s, F.round("score", 5))).alias(s) for s in ("positive", "negative")])
     quiet = evidence.independence_scores(windows, keys, alpha=ALPHA)
     return sides.join(quiet.select(*keys, F.round("score", 5).alias("independence"), F.round("legacy", 5).alias("legacy_independence")), keys)
+
+
+def _scored_sql(source: str, keys: str, name: str) -> str:
+    """CTEs that end in <name>(keys, direction, n, score) from windows of both kinds."""
+    hits = [f"coalesce(({_side('VAR', s)}) or ({_side('VECM', s)}), false)" for s in (1, -1)]
+    return f"""{name}_c as (select {keys}, coalesce(nullif(quantile_cont(case when model = 'VECM' then abs(beta) end, 0.5), 0), 1) as scale from {source} group by {keys}),
+{name}_e as (select *, greatest(1 - p / {ALPHA}, 0) as w, case when model = 'VAR' then least(abs(r), 1) else tanh(abs(beta) / greatest(scale, 0.001)) end as effect from {source} join {name}_c using ({keys})),
+{name}_s as (select {keys}, direction, count(*) as n, count(*) filter (model = 'VAR') as nv, count(*) filter (model = 'VECM') as nc, coalesce(sum(w) filter (hit), 0) as we, coalesce(sum(w * effect) filter (model = 'VAR' and hit), 0) as ev, coalesce(sum(w * effect) filter (model = 'VECM' and hit), 0) as ec
+  from (select *, 'positive' as direction, {hits[0]} as hit from {name}_e union all select *, 'negative', {hits[1]} from {name}_e) group by {keys}, direction),
+{name} as (select *, 100 * (0.7 * coalesce(ev / nullif(nv, 0), 0) + 0.3 * coalesce(ec / nullif(nc, 0), 0)) * we / (we + 12) as score from {name}_s)"""
+
+
+BREAKS = ["1998-07-01", "2000-01-01"]
+
+
+@query("regime_scores", f"""{MODELS}, rg as (select *, case when date >= date '{BREAKS[1]}' then 'late' when date >= date '{BREAKS[0]}' then 'middle' else 'early' end as regime from models), {_scored_sql('rg', 'driver, target, regime', 'rs')}, {_scored_sql('models', 'driver, target', 'ws')},
+tt as (select driver, target, count(*) as total from models group by all), ps as (select rs.*, n / total as share from rs join tt using (driver, target) where n >= 6),
+cb as (select driver, target, direction, count(*) as k, sum(score * share) / greatest(1, sum(share)) as combined, arg_max(regime, round(share, 9) * 1000 - case regime when 'early' then 0 when 'late' then 1 else 2 end * 1e-6) as dominant, max(share) as dominant_share from ps group by all having count(*) > 1)
+select driver, target, direction, round(coalesce(combined, score), 5) as score, coalesce(k, 0) as regimes, dominant, round(dominant_share, 5) as dominant_share from ws left join cb using (driver, target, direction)""")
+def _(spark, d):
+    out = evidence.regime_scores(_models(spark, d), ["driver", "target"], BREAKS, ["early", "middle", "late"], min_windows=6, alpha=ALPHA)
+    return out.select("driver", "target", "direction", F.round("score", 5).alias("score"), F.col("regimes").cast("long").alias("regimes"), "dominant", F.round("dominant_share", 5).alias("dominant_share"))
+
+
+FLIPS = f"(select driver, target, date, model, r * s as r, p, t, beta * s as beta, alpha, draw from (select *, case when ('0x' || substr(md5('placebo|' || driver || '|' || target || '|' || date || '|' || draw), 1, 4))::bigint % 2 = 0 then 1 else -1 end as s from models, (select unnest(range(1, 11)) as draw)))"
+
+
+@query("placebo_flip_scores", f"""{MODELS}, fl as (select driver, target, date, model, -r as r, p, t, -beta as beta, alpha from models), {_scored_sql('models', 'driver, target', 'bs')}, {_scored_sql('fl', 'driver, target', 'fs')},
+bo as (select target, driver, direction, b.score, f.score as placebo from bs b join fs f using (driver, target, direction)),
+rk as (select *, row_number() over (partition by target, direction order by round(score, 9) desc, driver) as ra, row_number() over (partition by target, direction order by round(placebo, 9) desc, driver) as rb from bo)
+select target, direction, count(*) as candidates, max(driver) filter (ra = 1) as top, max(driver) filter (rb = 1) as placebo_top, max(driver) filter (ra = 1) = max(driver) filter (rb = 1) as top_match, round(max(score) filter (ra = 1), 5) as top_score, round(max(placebo) filter (rb = 1), 5) as placebo_top_score, round(covar_pop(score, placebo) / nullif(stddev_pop(score) * stddev_pop(placebo), 0), 5) as score_corr from rk group by all""")
+def _(spark, d):
+    out = evidence.placebo_flip(_models(spark, d), "target", "driver", alpha=ALPHA)
+    return out.select("target", "direction", "candidates", "top", "placebo_top", "top_match", *rounded("top_score", "placebo_top_score", "score_corr", digits=5))
+
+
+@query("sign_randomization", f"""{MODELS}, dr as {FLIPS}, {_scored_sql('models', 'driver, target', 'bs')}, {_scored_sql('dr', 'driver, target, draw', 'ds')}
+select driver, target, direction, round(any_value(b.score), 5) as score, count(*) as draws, round((1 + count(*) filter (d.score >= b.score - 1e-9)) / (1 + count(*)), 5) as empirical_p from ds d join bs b using (driver, target, direction) group by all""")
+def _(spark, d):
+    return evidence.sign_randomization(_models(spark, d), ["driver", "target"], draws=10, alpha=ALPHA).select("driver", "target", "direction", F.round("score", 5).alias("score"), "draws", F.round("empirical_p", 5).alias("empirical_p"))

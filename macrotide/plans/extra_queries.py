@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import calendar, denton, regression
+from macrotide.operators import attribution, calendar, denton, regression
 from macrotide.plans.registry import query
 from macrotide.plans.regression_queries import _hac_sql
 from macrotide.sources.panels import PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_m, panel_nation, results, table
@@ -56,21 +56,20 @@ def _(spark, d):
     return m.select("series", "n", *rounded("base", "gap", digits=4), F.round(F.col("base") + F.col("gap"), 4).alias("in_state"), F.round(F.sqrt(F.expr("s2 * (s_a_a + s_b_b - 2 * s_a_b) / (s_a_a * s_b_b - s_a_b * s_a_b)")), 4).alias("in_state_se"))
 
 
-@query("channel_mediation", f"""{N}, s as (select date, value as s from panel_nation where series = 'NATION_0'), f as (select series as factor, date, value as f from panel_nation where series in ('NATION_2', 'NATION_3', 'NATION_4')),
-i as (select factor, regr_slope(f, s) as irf from f join s using (date) group by factor), a as (select p.series as outcome, factor, regr_slope(value, f) as beta, regr_r2(value, f) as share from panel_nation p join f using (date) where p.series not in ('NATION_0', 'NATION_2', 'NATION_3', 'NATION_4') group by all),
-d as (select p.series as outcome, regr_slope(value, s) as total from panel_nation p join s using (date) where p.series not in ('NATION_0', 'NATION_2', 'NATION_3', 'NATION_4') group by p.series)
-select outcome, factor, round(irf * beta * share, 6) as mediated, round(irf * beta * share / nullif(total, 0), 3) as mediated_share, row_number() over (partition by outcome order by abs(round(irf * beta * share, 9)) desc, factor) as place from a join i using (factor) join d using (outcome)""")
+@query("channel_mediation", f"""with {RESULTS}, rs as (select treatment, horizon, case when outcome in ('1-URGENT', '2-HIGH') then 'factor' else 'outcome' end as kind, outcome as name, estimate as beta, p from results where estimator = 'lp'),
+lk as (select o.name as outcome, f.name as factor, corr(o.beta, f.beta) as beta, regr_r2(o.beta, f.beta) as share from rs o join rs f using (treatment, horizon) where o.kind = 'outcome' and f.kind = 'factor' group by all),
+ch as (select o.treatment, o.horizon, o.name as outcome, f.name as factor, o.beta as outcome_beta, f.beta * lk.beta as channel, f.beta * lk.beta * share as weighted, greatest(o.p, f.p) as screening_p from rs o join lk on lk.outcome = o.name join rs f on f.name = lk.factor and f.treatment = o.treatment and f.horizon = o.horizon where o.kind = 'outcome' and f.kind = 'factor'),
+rk as (select *, row_number() over (order by screening_p, treatment, outcome, factor, horizon) as i, count(*) over () as n from ch), q_ as (select *, least(1, min(screening_p * n / i) over (order by screening_p, treatment, outcome, factor, horizon rows between current row and unbounded following)) as q from rk)
+select treatment, horizon, outcome, factor, round(channel, 9) as channel, round(weighted, 9) as weighted, round(case when abs(outcome_beta) > 1e-12 then weighted / outcome_beta end, 5) as mediated_share, round(screening_p, 6) as screening_p, round(q, 6) as q, case when screening_p <= 0.05 then 'strong' when screening_p <= 0.1 then 'moderate' else 'weak' end as priority, q <= 0.1 as robust,
+row_number() over (order by round(q, 9), abs(round(weighted, 9)) desc, abs(round(channel, 9)) desc, round(screening_p, 9), treatment, outcome, factor, horizon) as place from q_""")
 def _(spark, d):
-    panel, factors = panel_nation(spark, d), ["NATION_2", "NATION_3", "NATION_4"]
-    s = panel.filter("series = 'NATION_0'").select("date", F.col("value").alias("s"))
-    f = panel.filter(F.col("series").isin(factors)).toDF("factor", "date", "f")
-    outcomes = panel.filter(~F.col("series").isin("NATION_0", *factors)).withColumnRenamed("series", "outcome")
-    irf = f.join(s, "date").groupBy("factor").agg(F.regr_slope("f", "s").alias("irf"))
-    link = outcomes.join(f, "date").groupBy("outcome", "factor").agg(F.regr_slope("value", "f").alias("beta"), F.regr_r2("value", "f").alias("share"))
-    total = outcomes.join(s, "date").groupBy("outcome").agg(F.regr_slope("value", "s").alias("total"))
-    rows = link.join(irf, "factor").join(total, "outcome").withColumn("m", F.col("irf") * F.col("beta") * F.col("share"))
-    place = F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc(F.abs(F.round("m", 9))), "factor"))
-    return rows.select("outcome", "factor", F.round("m", 6).alias("mediated"), F.round(F.try_divide("m", "total"), 3).alias("mediated_share"), place.alias("place"))
+    """Two priorities as factors of the three others: responses from the ledger, links from how responses move together."""
+    rows = results(spark, d).filter("estimator = 'lp'")
+    responses = rows.select("treatment", "horizon", F.when(F.col("outcome").isin("1-URGENT", "2-HIGH"), "factor").otherwise("outcome").alias("kind"), F.col("outcome").alias("name"), F.col("estimate").alias("beta"), "p")
+    o, f = (responses.filter(F.col("kind") == k).select("treatment", "horizon", F.col("name").alias(k), F.col("beta").alias(b)) for k, b in (("outcome", "y"), ("factor", "x")))
+    links = o.join(f, ["treatment", "horizon"]).groupBy("outcome", "factor").agg(corr("y", "x").alias("beta"), F.regr_r2("y", "x").alias("share"), F.regr_r2("y", "x").alias("r2"))
+    ranked = attribution.rank_channels(attribution.channel_mediation(responses, links))
+    return ranked.select("treatment", "horizon", "outcome", "factor", *rounded("channel", "weighted", digits=9), F.round("mediated_share", 5).alias("mediated_share"), *rounded("screening_p", "q"), "priority", "robust", "place")
 
 
 @query("first_stage_strength", f"""{N}, t as (select date, value as y from panel_nation where series = 'NATION_0'), r as (select p.series, p.date, y, value as x from panel_nation p join t using (date) where p.series <> 'NATION_0'), {_hac_sql('r', 'series', 'date', 2)}, q as (select series, regr_r2(y, x) as r2 from r group by series)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import calendar, events, inference, regression
+from macrotide.operators import attribution, events, regression
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_M, PANEL_NATION, normal_p_sql, panel_m, panel_nation
 
@@ -93,13 +93,16 @@ def _(spark, d):
     return c.select("series", F.round("wt", 6).alias("corr_wt"), F.round(partial, 6).alias("partial_wy_t"), F.round(F.abs("wt") * F.abs(partial), 6).alias("suspicion"))
 
 
-@query("variance_attribution", f"""with {PANEL_NATION}, f as (select date, series as factor, value as f from panel_nation where series in ('NATION_2', 'NATION_3', 'NATION_4'))
-select p.series as outcome, factor, count(*) as n, round(regr_r2(p.value, f.f), 6) as r2 from panel_nation p join f using (date) where p.series not in ('NATION_2', 'NATION_3', 'NATION_4') group by all""")
+@query("variance_attribution", f"""with {PANEL_NATION}, f as (select date, max(case when series = 'NATION_2' then value end) as a, max(case when series = 'NATION_3' then value end) as b from panel_nation group by date),
+r as (select p.series as outcome, p.value as y, a, b from panel_nation p join f using (date) where p.series not in ('NATION_2', 'NATION_3') and a is not null and b is not null),
+m as (select outcome, count(*) as n, regr_sxx(y, a) as aa, regr_sxx(y, b) as bb, regr_syy(y, a) as yy, regr_sxy(b, a) as ab, regr_sxy(y, a) as ay, regr_sxy(y, b) as b_y from r group by outcome having count(*) >= 24)
+select outcome, 'full_factors' as model, 'all' as factor, n, round(((bb * ay - ab * b_y) * ay + (aa * b_y - ab * ay) * b_y) / (aa * bb - ab * ab) / yy, 6) as r2 from m union all select outcome, 'single_factor', 'a', n, round(ay * ay / aa / yy, 6) from m union all select outcome, 'single_factor', 'b', n, round(b_y * b_y / bb / yy, 6) from m""")
 def _(spark, d):
-    panel, names = panel_nation(spark, d), ["NATION_2", "NATION_3", "NATION_4"]
-    factors = panel.filter(F.col("series").isin(names)).toDF("factor", "date", "f")
-    rows = panel.filter(~F.col("series").isin(names)).withColumnRenamed("series", "outcome").join(factors, "date")
-    return rows.groupBy("outcome", "factor").agg(F.count("*").alias("n"), F.round(F.regr_r2("value", "f"), 6).alias("r2"))
+    """What two nations explain of each other one, together and alone."""
+    panel = panel_nation(spark, d)
+    wide = panel.groupBy("date").agg(*[F.max(F.when(F.col("series") == s, F.col("value"))).alias(c) for c, s in (("a", "NATION_2"), ("b", "NATION_3"))])
+    rows = panel.filter("series not in ('NATION_2', 'NATION_3')").select(F.col("series").alias("outcome"), "date", F.col("value").alias("y")).join(wide, "date")
+    return attribution.variance_attribution(rows, ["outcome"], "y", ["a", "b"]).select("outcome", "model", "factor", "n", *rounded("r2"))
 
 
 @query("endpoint_stability", f"""with {PANEL_NATION}, t as (select date, value as x from panel_nation where series = 'NATION_0'), r as (select p.series, year(p.date) as yr, value as y, x from panel_nation p join t using (date) where p.series <> 'NATION_0'),

@@ -62,15 +62,6 @@ def _(spark, d):
     return out.withColumn("band", F.when(F.col("hits") >= 3, "core_stable").when(F.col("hits") >= 1, "moderate").otherwise("exploratory"))
 
 
-@query("regime_scores", f"{WINDOWS}, g as (select 'early' as regime, date '1995-01-01' as lo, date '1998-06-30' as hi union all select 'late', date '1998-07-01', date '2001-12-31'), rw as (select win.*, regime from win join g on date between lo and hi), {_score_sql('rw', 'target, candidate, regime')} select target, candidate, count(*) as regimes, round(min(score), 5) as least, round(avg(score), 5) as mean, round(sum(score * n) / sum(n), 5) as weighted from sc group by all")
-def _(spark, d):
-    windows = _windows(spark, d)
-    bounds = windows.sparkSession.createDataFrame([("early", "1995-01-01", "1998-06-30"), ("late", "1998-07-01", "2001-12-31")], "regime string, lo string, hi string").select("regime", F.to_date("lo").alias("lo"), F.to_date("hi").alias("hi"))
-    rows = windows.join(F.broadcast(bounds), F.col("date").between(F.col("lo"), F.col("hi")))
-    scores = screening.directional_score(rows, ["target", "candidate", "regime"])
-    return scores.groupBy("target", "candidate").agg(F.count("*").alias("regimes"), F.round(F.min("score"), 5).alias("least"), F.round(F.avg("score"), 5).alias("mean"), F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 5).alias("weighted"))
-
-
 @query("early_late_holdout", f"{WINDOWS}, hw as (select *, ntile(2) over (partition by target, candidate order by date) as half from win), {_score_sql('hw', 'target, candidate, half')}, ab as (select a.target, a.candidate, a.score as early, b.score as late from sc a join sc b using (target, candidate) where a.half = 1 and b.half = 2) select target, count(*) as n, round(corr(early, late), 4) as correlation, round(avg(abs(early - late)), 5) as mean_gap from ab group by target")
 def _(spark, d):
     halves = _windows(spark, d).withColumn("half", F.ntile(2).over(Window.partitionBy("target", "candidate").orderBy("date")))
