@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr
+from macrotide.operators.inference import ranged_sums
 
 
 def gate_summary(checks: DataFrame, key: list[str], gates: list[str], missing_fails: bool = False) -> DataFrame:
@@ -99,13 +100,6 @@ def reliability_tiers(fits: DataFrame, obs: str = "obs_per_regressor", condition
 
 
 def _with_share_below(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the share of non-null values at or below each, ties at their mean rank; equal values are counted before they are put in order."""
-    from macrotide.functions.shipping import cut
-
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
-    ranged = cut(counts.repartitionByRange(value).withColumn("__part", F.spark_partition_id()))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    parts = ranged.groupBy("__part").agg(F.sum("__c").alias("__p")).select("__part", F.coalesce(F.sum("__p").over(earlier), F.lit(0)).alias("__before"), F.sum("__p").over(Window.partitionBy()).alias("__all"))
-    here = F.coalesce(F.sum("__c").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shares = ranged.withColumn("__here", here).join(F.broadcast(parts), "__part").select(value, ((F.col("__before") + F.col("__here") + (F.col("__c") + 1) / 2) / F.col("__all")).alias(name))
-    return rows.join(shares, value, "left")
+    """Adds the share of non-null values at or below each, ties at their mean rank."""
+    share = (F.col("below") + (F.col("own") + 1) / 2) / F.col("total")
+    return rows.join(ranged_sums(rows, value, F.lit(1)).select(value, share.alias(name)), value, "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from macrotide.functions.shipping import cut
+
 
 def step_up(results: DataFrame, family: list[str], key: list[str], p: str = "p") -> DataFrame:
     """Adds bh, by and holm values within each family; missing p-values stay missing and don't count."""
@@ -54,14 +56,29 @@ def romano_wolf(hypotheses: DataFrame, draws: DataFrame, family: list[str], key:
     return counted.withColumn("romano_wolf", F.max("raw").over(past)).drop("raw")
 
 
+def ranged_sums(rows: DataFrame, value: str, weight: Column) -> DataFrame:
+    """(value, own, below, total) for each distinct non-null value: the sums of weights at it, below it and of all, in an order dealt to ranges."""
+    sums = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.sum(weight).alias("own"))
+    ranged = cut(sums.repartitionByRange(value).withColumn("__part", F.spark_partition_id()))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    parts = ranged.groupBy("__part").agg(F.sum("own").alias("__p"))
+    parts = parts.select("__part", F.coalesce(F.sum("__p").over(earlier), F.lit(0)).alias("__before"), F.sum("__p").over(Window.partitionBy()).alias("total"))
+    here = F.coalesce(F.sum("own").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("__here", here).join(F.broadcast(parts), "__part").select(value, "own", (F.col("__before") + F.col("__here")).alias("below"), "total")
+
+
 def control_calibration(targets: DataFrame, controls: DataFrame, z: str = "z", least: int = 20) -> DataFrame:
     """Empirical p of |z| among negative controls' |z|, and the factor by which their spread inflates errors.
 
-    The controls' values travel as one sorted array: a manifest of negative controls is short.
+    Targets and controls are put in one order by |z|, in which controls are counted; nothing comes
+    out with fewer than ``least`` controls. A target without z has no p.
     """
-    spread = controls.agg(F.greatest(F.lit(1.0), F.percentile(F.abs(z), F.lit(0.95)) / 1.96).alias("inflation"), F.count("*").alias("n_controls"), F.array_sort(F.collect_list(F.abs(z))).alias("nulls"))
-    beyond = F.size(F.filter("nulls", lambda v: v >= F.abs(z)))
-    return targets.join(spread.filter(F.col("n_controls") >= least)).withColumn("empirical_p", (1 + beyond) / (1 + F.col("n_controls"))).drop("nulls")
+    size = F.abs(z)
+    spread = controls.filter(size.isNotNull()).agg(F.greatest(F.lit(1.0), F.percentile(size, F.lit(0.95)) / 1.96).alias("inflation"), F.count("*").alias("n_controls"))
+    both = targets.select(size.alias("__z"), F.lit(0).alias("__c")).unionByName(controls.select(size.alias("__z"), F.lit(1).alias("__c")))
+    counts = ranged_sums(both, "__z", F.col("__c")).select("__z", (F.col("total") - F.col("below")).alias("__beyond"))
+    rows = targets.withColumn("__z", size).join(counts, "__z", "left").crossJoin(F.broadcast(spread.filter(F.col("n_controls") >= least)))  # one row
+    return rows.withColumn("empirical_p", (1 + F.col("__beyond")) / (1 + F.col("n_controls"))).drop("__z", "__beyond")
 
 
 def latest(rows: DataFrame, key: list[str], newest: list[Column]) -> DataFrame:

@@ -106,23 +106,43 @@ def anderson_rubin_set(rows: DataFrame, by: list[str], at: str, y: str, d: str,
     return tried.groupBy(*by, "n", "theta").agg(F.min_by(F.struct(F.col("low.at_theta").alias("lo"), F.col("high.at_theta").alias("hi"), "status"), order).alias("best")).select(*by, "n", "theta", "best.*")
 
 
-def indicator_groups(panel: DataFrame, threshold: float = 0.7, least: int = 24, by: str = "series", at: str = "date", x: str = "value", most_rounds: int = 50) -> DataFrame:
+def indicator_groups(panel: DataFrame, threshold: float = 0.7, least: int = 24, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
     """(series, group): series are in one group if a chain of |correlations| of at least ``threshold`` leads from one to the other.
 
-    Correlations need ``least`` dates in common; a group is named after its first series. Labels
-    spread along the links until none changes, which is an error after ``most_rounds``.
+    Correlations need ``least`` dates in common; a group is named after its first series. In every
+    round each group joins the first one that it is linked with, and chains of such joins are
+    followed at once by doubling, so that rounds grow with the logarithm of a group's length.
     """
     a, b = (panel.select(F.col(by).alias(n), at, F.col(x).alias(v)) for n, v in (("a", "x"), ("b", "y")))
     links = a.join(b, at).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.abs(corr("x", "y")).alias("r")).filter((F.col("n") >= least) & (F.col("r") >= threshold)).select("a", "b")
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(panel.select(by).distinct().withColumn("group", F.col(by)))
-    for _ in range(most_rounds):
-        reached = links.join(labels, links["b"] == labels[by]).groupBy("a").agg(F.min("group").alias("seen"))
-        now = cut(labels.join(reached, labels[by] == reached["a"], "left").select(by, F.least("group", "seen").alias("group"), (F.col("seen") < F.col("group")).alias("moved")))
-        labels = now.select(by, "group")
-        if not now.filter("moved").limit(1).count():
+    while True:
+        joins = cut(links.groupBy("a").agg(F.min("b").alias("to")).filter("to < a"))
+        if joins.isEmpty():
             return labels
-    raise RuntimeError("groups still changed")
+        while True:
+            further = joins.select(F.col("a").alias("__at"), F.col("to").alias("__to"))
+            joins = cut(joins.join(further, F.col("to") == F.col("__at"), "left").select("a", F.coalesce("__to", "to").alias("to"), F.col("__to").isNotNull().alias("moved")))
+            if joins.filter("moved").isEmpty():
+                break
+        joins = joins.select(F.col("a").alias("__at"), F.col("to").alias("__to"))
+        labels = cut(labels.join(joins, F.col("group") == F.col("__at"), "left").select(by, F.coalesce("__to", "group").alias("group")))
+        for side in ("a", "b"):
+            links = links.join(joins, F.col(side) == F.col("__at"), "left").withColumn(side, F.coalesce("__to", side)).select("a", "b")
+        links = cut(links.filter("a <> b").distinct())
+
+
+def limiting_series(panel: DataFrame, pairs: DataFrame, by: str = "series", at: str = "date", x: str = "value") -> DataFrame:
+    """(left_series, right_series, start, limiting, times): where the values of each pair begin together, which of the two begins last, and how often it does so in all pairs.
+
+    pairs: (left_series, right_series); of two that begin on one day the left one counts. Pairs of a series without a value are left out.
+    """
+    first = panel.filter(F.col(x).isNotNull()).groupBy(by).agg(F.min(at).alias("__first"))
+    rows = pairs.join(first.toDF("left_series", "__a"), "left_series").join(first.toDF("right_series", "__b"), "right_series")
+    limiting = F.when(F.col("__a") >= F.col("__b"), F.col("left_series")).otherwise(F.col("right_series"))
+    rows = rows.select("left_series", "right_series", F.greatest("__a", "__b").alias("start"), limiting.alias("limiting"))
+    return rows.join(rows.groupBy("limiting").agg(F.count("*").alias("times")), "limiting").select(*rows.columns, "times")
 
 
 def draw_features(draws: DataFrame, by: list[str], draw: str = "draw", at: str = "date", x: str = "value") -> DataFrame:

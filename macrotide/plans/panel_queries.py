@@ -378,7 +378,7 @@ def _(spark, d):
 @query("limiting_series", f"""{G}, f as (select series, min(date) as first_date from panel_gaps where value is not null and value > 1 group by series), p as (select a.series as left_series, b.series as right_series, greatest(a.first_date, b.first_date) as start, case when a.first_date >= b.first_date then a.series else b.series end as limiting from f a join f b on a.series < b.series)
 select left_series, right_series, start, limiting, count(*) over (partition by limiting) as times from p""")
 def _(spark, d):
-    first = panel_gaps(spark, d).filter("value > 1").groupBy("series").agg(F.min("date").alias("first_date"))
-    a, b = first.toDF("left_series", "da"), first.toDF("right_series", "db")
-    pairs = a.join(b, F.col("left_series") < F.col("right_series")).select("left_series", "right_series", F.greatest("da", "db").alias("start"), F.when(F.col("da") >= F.col("db"), F.col("left_series")).otherwise(F.col("right_series")).alias("limiting"))
-    return pairs.withColumn("times", F.count("*").over(Window.partitionBy("limiting")))
+    panel = panel_gaps(spark, d).filter("value > 1")
+    names = panel.select("series").distinct()
+    pairs = names.toDF("left_series").crossJoin(names.toDF("right_series")).filter("left_series < right_series")  # names only
+    return selection.limiting_series(panel, pairs)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import controls, gates, inference, selection
+from macrotide.operators import comparison, controls, gates, inference, selection
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_NATION, RESULTS, panel_nation, results
 
@@ -151,10 +151,7 @@ def _(spark, d):
 @query("domain_shift", f"""{R}, k as (select *, row_number() over (partition by estimator, treatment order by abs(estimate) desc, outcome, horizon) as place from results)
 select a.treatment, a.outcome, a.horizon, (sign(a.estimate) <> sign(b.estimate))::int as sign_flip, ((a.p < 0.1) <> (b.p < 0.1))::int as significance_flip, b.place - a.place as rank_shift from k a join k b using (treatment, outcome, horizon) where a.estimator = 'lp' and b.estimator = 'dml'""")
 def _(spark, d):
-    w = Window.partitionBy("estimator", "treatment").orderBy(F.desc(F.abs("estimate")), "outcome", "horizon")
-    rows = results(spark, d).withColumn("place", F.row_number().over(w).cast("long"))
-    a, b = (rows.filter(F.col("estimator") == e).select(*KEY, F.col("estimate").alias(f"e_{e}"), F.col("p").alias(f"p_{e}"), F.col("place").alias(f"r_{e}")) for e in ("lp", "dml"))
-    return a.join(b, KEY).select(*KEY, (F.signum("e_lp") != F.signum("e_dml")).cast("int").alias("sign_flip"), ((F.col("p_lp") < 0.1) != (F.col("p_dml") < 0.1)).cast("int").alias("significance_flip"), (F.col("r_dml") - F.col("r_lp")).alias("rank_shift"))
+    return comparison.domain_shift(results(spark, d), KEY, "estimator", "lp", "dml", ["treatment"])
 
 
 @query("latest_results", f"""{R}, r as (select *, horizon % 3 as spec, n as run from results), k as (select *, row_number() over (partition by estimator, treatment, outcome, spec order by run desc, horizon) as r from r)
@@ -273,10 +270,5 @@ def _(spark, d):
 j as (select a.treatment, (sign(a.estimate) = sign(b.estimate))::int as same_sign, (a.keyed = b.keyed)::int as same_key, abs(a.place - b.place) as shift, case when a.keyed then b.keyed::int end as retained from k a join k b using (treatment, outcome, horizon) where a.estimator = 'lp' and b.estimator = 'dml')
 select treatment, count(*) as n, round(avg(same_sign), 6) as sign_match, round(avg(same_key), 6) as priority_match, round(quantile_cont(shift::double, 0.5), 6) as median_shift, round(coalesce(avg(retained), 0), 6) as key_retention, round(0.4 * avg(same_sign) + 0.3 * avg(same_key) + 0.2 / (1 + quantile_cont(shift::double, 0.5)) + 0.1 * coalesce(avg(retained), 0), 6) as score from j group by treatment""")
 def _(spark, d):
-    w = Window.partitionBy("estimator", "treatment").orderBy(F.desc(F.abs("estimate")), "outcome", "horizon")
-    rows = results(spark, d).withColumns({"place": F.row_number().over(w), "keyed": (F.col("p") < 0.1).cast("int")})
-    a, b = (rows.filter(F.col("estimator") == e).select(*KEY, F.col("estimate").alias(f"e_{e}"), F.col("place").alias(f"r_{e}"), F.col("keyed").alias(f"k_{e}")) for e in ("lp", "dml"))
-    j = a.join(b, KEY).withColumns({"same_sign": (F.signum("e_lp") == F.signum("e_dml")).cast("int"), "same_key": (F.col("k_lp") == F.col("k_dml")).cast("int"), "shift": F.abs(F.col("r_lp") - F.col("r_dml")), "retained": F.when(F.col("k_lp") == 1, F.col("k_dml"))})
-    median, kept = F.percentile("shift", F.lit(0.5)), F.coalesce(F.avg("retained"), F.lit(0.0))
-    score = 0.4 * F.avg("same_sign") + 0.3 * F.avg("same_key") + 0.2 / (1 + median) + 0.1 * kept
-    return j.groupBy("treatment").agg(F.count("*").alias("n"), F.round(F.avg("same_sign"), 6).alias("sign_match"), F.round(F.avg("same_key"), 6).alias("priority_match"), F.round(median, 6).alias("median_shift"), F.round(kept, 6).alias("key_retention"), F.round(score, 6).alias("score"))
+    out = comparison.spec_stability(results(spark, d), KEY, "estimator", "lp", "dml", ["treatment"])
+    return out.select("treatment", "n", *rounded("sign_match", "priority_match", "median_shift", "key_retention", "score"))
