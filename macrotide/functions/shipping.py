@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,6 +24,16 @@ def ship(spark: SparkSession) -> None:
     context._macrotide_shipped = True
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that the cluster names for all executors; a local one only in local mode without one, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-macrotide-")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df):
     """``df`` checkpointed, which cuts its lineage; a folder of its own only in local mode without one, as in tests."""
     context = df.sparkSession.sparkContext

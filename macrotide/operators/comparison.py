@@ -56,3 +56,19 @@ def choose_baseline(results: DataFrame, key: list[str], version: str, within: li
         order = F.when(F.col(version) == name, i).otherwise(order)
     counts = results.filter(F.col(estimate).isNotNull()).groupBy(*within, version).agg(F.count_distinct(*key).alias("__n"))
     return counts.groupBy(*within).agg(F.min_by(version, F.struct(-F.col("__n"), order, F.col(version))).alias("baseline"))
+
+
+def headline_rows(results: DataFrame, key: list[str], target: float = 0.05, eps: str = "eps", chooses: Column | None = None) -> DataFrame:
+    """One row for each (null-safe) key among the rows that ``chooses`` holds for (the estimator ``tmle`` unless given): the eps nearest to ``target``, of two as near the smaller; missing ones last. All other rows stay."""
+    chooses = F.coalesce(F.col("estimator") == "tmle" if chooses is None else chooses, F.lit(False))
+    w = Window.partitionBy("__among", *key).orderBy(F.asc_nulls_last(F.round(F.abs(F.col(eps) - target), 12)), F.asc_nulls_last(eps))
+    rows = results.withColumn("__among", chooses).withColumn("__r", F.row_number().over(w))
+    return rows.filter(~F.col("__among") | (F.col("__r") == 1)).drop("__among", "__r")
+
+
+def variant_range(base: DataFrame, variants: DataFrame, key: list[str], within: list[str] | None = None, score: str = "score") -> DataFrame:
+    """(*within, *key, score, least, greatest, variants, place): base scores by falling size, and the range of the same key's scores in variants, null without any. variants: (*within, *key, score)."""
+    within = within or []
+    spread = variants.filter(F.col(score).isNotNull()).groupBy(*within, *key).agg(F.min(score).alias("least"), F.max(score).alias("greatest"), F.count("*").alias("variants"))
+    rows = base.select(*within, *key, score).join(spread, [*within, *key], "left").withColumn("variants", F.coalesce("variants", F.lit(0)))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(F.desc_nulls_last(F.round(score, 9)), *key)))

@@ -49,6 +49,39 @@ def roughness(paths: DataFrame, by: list[str], at: str, x: str) -> DataFrame:
 ORDER = {"failure_rate": True, "n_evaluated": False, "median_selected_score": True, "median_benchmark_mae": True, "median_roughness": True, "median_revision_risk_mae": True, "median_improvement": False}
 
 
+def _named(c: str) -> Column:
+    return F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+
+
+def usage(choices: DataFrame) -> DataFrame:
+    """(route, constraint, method, n) of the choices that are ``ok`` and name a method.
+
+    choices: (status, method_used, method, route, low, high, constraint, constraint_type, conversion). The method used
+    counts before the one asked for; a route without a name is <low>-><high> if the two differ; a constraint
+    without a name is its type, else the conversion. Routes are upper case without blanks, the others lower case.
+    """
+    part = lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    pieces = F.transform(F.split(part("route"), "->"), lambda v: F.trim(v))
+    route = F.when(F.size(pieces) == 2, F.array_join(pieces, "->")).otherwise(part("route"))
+    route = F.when(part("route") != "", route).when((part("low") != "") & (part("high") != "") & (part("low") != part("high")), F.concat_ws("->", part("low"), part("high"))).otherwise("")
+    first = lambda *cs: F.coalesce(*[F.nullif(_named(c), F.lit("")) for c in cs], F.lit(""))
+    rows = choices.filter(_named("status") == "ok").select(route.alias("route"), first("constraint", "constraint_type", "conversion").alias("constraint"), first("method_used", "method").alias("method"))
+    return rows.filter("method <> ''").groupBy("route", "constraint", "method").agg(F.count("*").alias("n"))
+
+
+def usage_compare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(route, constraint, method, baseline, candidate, delta): how often each method is used in two runs, 0 where it is not; tables as for ``usage``."""
+    keys = ["route", "constraint", "method"]
+    both = usage(baseline).withColumnRenamed("n", "baseline").join(usage(candidate).withColumnRenamed("n", "candidate"), keys, "full").fillna(0, ["baseline", "candidate"])
+    return both.withColumn("delta", F.col("candidate") - F.col("baseline"))
+
+
+def metric_compare(baseline: DataFrame, candidate: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, baseline, candidate, delta, ratio) of (*key, value) in two runs; what only one has is null in the other."""
+    both = baseline.select(*key, F.col("value").alias("baseline")).join(candidate.select(*key, F.col("value").alias("candidate")), key, "full")
+    return both.withColumns({"delta": F.col("candidate") - F.col("baseline"), "ratio": F.try_divide("candidate", F.nullif("baseline", F.lit(0.0)))})
+
+
 def profile_summary(runs: DataFrame, route: str = "route", profile: str = "profile", task: str = "task", base: str = "denton") -> DataFrame:
     """One row for each route and profile from runs: (route, profile, task, status, selected_method, selected_score, improvement, benchmark_mae, roughness_score, revision_risk_mae).
 

@@ -53,6 +53,19 @@ def independence(alpha: float = 0.1, prior: float = 12.0) -> Column:
     return 100 * apart * F.avg((F.col("p") > alpha).cast("int")) * F.count("*") / (F.count("*") + prior)
 
 
+def bootstrap_scores(windows: DataFrame, keys: list[str], draws: int = 200, at: str = "i", lo: float = 0.05, hi: float = 0.95) -> DataFrame:
+    """(*keys, draws, q<lo>, q<hi>): quantiles of the scores of windows drawn anew in blocks of about the square root of their number.
+
+    ``at`` numbers a group's windows from 1. Where a block begins follows from the draw and the block,
+    the same in every run. Groups no longer than one block are left out.
+    """
+    sized = windows.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).withColumn("__k", F.expr("cast(greatest(1, floor(sqrt(__n) + 0.5)) as bigint)")).filter("__n > __k")
+    drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(draws).cast("long"))))
+    drawn = drawn.select(*keys, "draw", F.expr(f"((draw * 1103515245L + (({at} - 1) div __k) * 12345L) % 2147483648L) % (__n - __k + 1) + ({at} - 1) % __k + 1").alias(at))
+    scores = directional_score(drawn.join(windows, [*keys, at]), [*keys, "draw"])
+    return scores.groupBy(*keys).agg(F.count("*").alias("draws"), *[F.percentile("score", F.lit(q)).alias(f"q{round(100 * q):02d}") for q in (lo, hi)])
+
+
 def ranked(scores: DataFrame, keys: list[str], name: str, score: Column) -> DataFrame:
     """Adds ``place`` by falling score, then by name, within keys."""
     return scores.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), name)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import corr, rounded
-from macrotide.operators import attribution, calendar, denton, regression
+from macrotide.operators import attribution, calendar, denton, policy, regression
 from macrotide.plans.registry import query
 from macrotide.plans.regression_queries import _hac_sql
 from macrotide.sources.panels import PANEL_M, PANEL_NATION, RESULTS, normal_p_sql, panel_m, panel_nation, results, table
@@ -32,12 +32,27 @@ def _(spark, d):
     return rows.select("label", "date", F.round("v", 6).alias("dense"), F.when(F.month("date") % 3 == 0, F.round("v", 6)).alias("sparse"))
 
 
-@query("policy_route_compare", f"{R}, a as (select treatment, outcome, count(*) as n, avg(se) as mean_se from results where estimator = 'lp' group by all), b as (select treatment, outcome, count(*) as n, avg(se) as mean_se from results where estimator = 'dml' group by all) select coalesce(a.treatment, b.treatment) as treatment, coalesce(a.outcome, b.outcome) as outcome, a.n as n_base, b.n as n_candidate, round(b.mean_se / nullif(a.mean_se, 0), 6) as se_ratio from a full join b on a.treatment = b.treatment and a.outcome = b.outcome")
+CHOICES = """select estimator, case when n % 7 = 0 then 'error' else 'OK ' end as status, case when horizon % 3 = 0 then ' Denton' when horizon % 3 = 1 then 'chow_lin' end as method_used, 'litterman' as method, case when horizon % 2 = 0 then ' q -> m' end as route, 'y' as low, case when horizon < 4 then 'Q' else 'M' end as high, case when outcome > '3' then 'Sum' end as constraint_, 'last' as conversion from results"""
+
+
+@query("policy_route_compare", f"""{R}, c as ({CHOICES}), u as (select estimator, case when route is not null then 'Q->M' else 'Y->' || high end as route, coalesce(lower(constraint_), 'last') as constraint_, lower(trim(coalesce(method_used, method))) as method, count(*) as n from c where lower(trim(status)) = 'ok' group by all)
+select coalesce(a.route, b.route) as route, coalesce(a.constraint_, b.constraint_) as constraint, coalesce(a.method, b.method) as method, coalesce(a.n, 0) as baseline, coalesce(b.n, 0) as candidate, coalesce(b.n, 0) - coalesce(a.n, 0) as delta
+from (select * from u where estimator = 'lp') a full join (select * from u where estimator = 'dml') b on a.route = b.route and a.constraint_ = b.constraint_ and a.method = b.method""")
+def _(spark, d):
+    """The ledger's rows as choices of methods, of raw estimates as one run and of those within flags as the other."""
+    h = F.col("horizon")
+    rows = results(spark, d).select(
+        "estimator", F.when(F.col("n") % 7 == 0, "error").otherwise("OK ").alias("status"), F.when(h % 3 == 0, " Denton").when(h % 3 == 1, "chow_lin").alias("method_used"), F.lit("litterman").alias("method"),
+        F.when(h % 2 == 0, " q -> m").alias("route"), F.lit("y").alias("low"), F.when(h < 4, "Q").otherwise("M").alias("high"), F.when(F.col("outcome") > "3", "Sum").alias("constraint"), F.lit(None).cast("string").alias("constraint_type"), F.lit("last").alias("conversion"),
+    )
+    return policy.usage_compare(*[rows.filter(F.col("estimator") == e) for e in ("lp", "dml")])
+
+
+@query("policy_metric_compare", f"{R}, a as (select treatment, outcome, avg(se) as v from results where estimator = 'lp' group by all), b as (select treatment, outcome, avg(se) as v from results where estimator = 'dml' group by all) select coalesce(a.treatment, b.treatment) as treatment, coalesce(a.outcome, b.outcome) as outcome, round(a.v, 9) as baseline, round(b.v, 9) as candidate, round(b.v - a.v, 9) as delta, round(b.v / nullif(a.v, 0), 6) as ratio from a full join b on a.treatment = b.treatment and a.outcome = b.outcome")
 def _(spark, d):
-    rows = results(spark, d)
-    a = rows.filter("estimator = 'lp'").groupBy("treatment", "outcome").agg(F.count("*").alias("n_base"), F.avg("se").alias("se_a"))
-    b = rows.filter("estimator = 'dml'").groupBy("treatment", "outcome").agg(F.count("*").alias("n_candidate"), F.avg("se").alias("se_b"))
-    return a.join(b, ["treatment", "outcome"], "full").select("treatment", "outcome", "n_base", "n_candidate", F.round(F.try_divide("se_b", "se_a"), 6).alias("se_ratio"))
+    means = results(spark, d).groupBy("estimator", "treatment", "outcome").agg(F.avg("se").alias("value"))
+    out = policy.metric_compare(*[means.filter(F.col("estimator") == e) for e in ("lp", "dml")], ["treatment", "outcome"])
+    return out.select("treatment", "outcome", *rounded("baseline", "candidate", "delta", digits=9), *rounded("ratio"))
 
 
 @query("lp_state_interaction", f"""{N}, t as (select date, value as a, value * (case when quarter(date) <= 2 then 1 else 0 end) as b from panel_nation where series = 'NATION_0'), r as (select p.series, value as y, a, b from panel_nation p join t using (date) where p.series <> 'NATION_0'),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import clip, corr, rounded, safe_ln, yeo_johnson, yeo_johnson_inverse
+from macrotide.functions.shipping import shared_path
 from macrotide.operators import calendar, cleaning, evaluation, selection
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_D, PANEL_GAPS, PANEL_M, PANEL_NATION, panel_d, panel_gaps, panel_m, panel_nation
@@ -382,3 +383,11 @@ def _(spark, d):
     names = panel.select("series").distinct()
     pairs = names.toDF("left_series").crossJoin(names.toDF("right_series")).filter("left_series < right_series")  # names only
     return selection.limiting_series(panel, pairs)
+
+
+@query("write_panel", f"{G} select series, date, round(value, 3) as value from panel_gaps")
+def _(spark, d):
+    """The panel with gaps as it reads back from comma-separated files, a folder for each series."""
+    path = shared_path(spark, "panel")
+    selection.write_panel(panel_gaps(spark, d), path, digits=3, form="csv")
+    return spark.read.option("header", "true").option("nullValue", "NA").schema("date date, value double, series string").csv(path).select("series", "date", "value")

@@ -95,14 +95,9 @@ def _(spark, d):
     return null.join(observed, ["target", "candidate"]).groupBy("target", "candidate").agg(F.round(F.first("observed"), 5).alias("observed"), F.round((1 + F.sum((F.col("null_score") >= F.col("observed") - 1e-9).cast("int"))) / (1 + F.count("*")), 5).alias("empirical_p"))
 
 
-@query("score_block_bootstrap", f"{WINDOWS}, n_ as (select target, candidate, count(*) as n, greatest(1, floor(sqrt(count(*)) + 0.5))::bigint as k from win group by all), b as (select win.target, win.candidate, d.draw, ((d.draw * 1103515245 + ((win.i - 1) // k) * 12345) % 2147483648) % (n - k + 1) + (win.i - 1) % k + 1 as j from win join n_ using (target, candidate), (select unnest(range(1, 101)) as draw) d where n > k), rs as (select b.target, b.candidate, b.draw, w.r, w.p, w.beta from b join win w on w.target = b.target and w.candidate = b.candidate and w.i = b.j), {_score_sql('rs', 'target, candidate, draw')} select target, candidate, count(*) as draws, round(quantile_cont(score, 0.05), 5) as q05, round(quantile_cont(score, 0.95), 5) as q95 from sc group by all")
+@query("score_block_bootstrap", f"{WINDOWS}, n_ as (select target, candidate, count(*) as n, greatest(1, floor(sqrt(count(*)) + 0.5))::bigint as k from win group by all), b as (select win.target, win.candidate, d.draw, ((d.draw * 1103515245 + ((win.i - 1) // k) * 12345) % 2147483648) % (n - k + 1) + (win.i - 1) % k + 1 as j from win join n_ using (target, candidate), (select unnest(range(1, 201)) as draw) d where n > k), rs as (select b.target, b.candidate, b.draw, w.r, w.p, w.beta from b join win w on w.target = b.target and w.candidate = b.candidate and w.i = b.j), {_score_sql('rs', 'target, candidate, draw')} select target, candidate, count(*) as draws, round(quantile_cont(score, 0.05), 5) as q05, round(quantile_cont(score, 0.95), 5) as q95 from sc group by all")
 def _(spark, d):
-    windows = _windows(spark, d)
-    sized = windows.withColumn("n", F.count("*").over(Window.partitionBy("target", "candidate"))).withColumn("k", F.expr("cast(greatest(1, floor(sqrt(n) + 0.5)) as bigint)")).filter("n > k")
-    drawn = sized.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(100).cast("long")))).select("target", "candidate", "draw", F.expr("((draw * 1103515245L + ((i - 1) div k) * 12345L) % 2147483648L) % (n - k + 1) + (i - 1) % k + 1").alias("i"))
-    rows = drawn.join(windows.select("target", "candidate", "i", "r", "p", "beta"), ["target", "candidate", "i"])
-    scores = screening.directional_score(rows, ["target", "candidate", "draw"])
-    return scores.groupBy("target", "candidate").agg(F.count("*").alias("draws"), F.round(F.percentile("score", F.lit(0.05)), 5).alias("q05"), F.round(F.percentile("score", F.lit(0.95)), 5).alias("q95"))
+    return screening.bootstrap_scores(_windows(spark, d), ["target", "candidate"], draws=200).select("target", "candidate", "draws", *rounded("q05", "q95", digits=5))
 
 
 def _t_sql(h: int) -> str:

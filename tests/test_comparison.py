@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from macrotide.operators import comparison, inference, selection
+from macrotide.operators import comparison, inference, policy, screening, selection
 
 RESULTS = "version string, t string, o string, estimate double, p double"
 ROWS = [
@@ -64,3 +64,32 @@ def test_limiting_series_by_hand(spark):
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("a", "d")], "left_series string, right_series string")
     got = {(r.left_series, r.right_series): (r.start, r.limiting, r.times) for r in selection.limiting_series(panel, pairs).collect()}
     assert got == {("a", "b"): (date(2001, 1, 1), "b", 2), ("a", "c"): (date(2001, 1, 1), "c", 1), ("b", "c"): (date(2001, 1, 1), "b", 2)}
+
+
+def test_headlines_and_ranges_by_hand(spark):
+    rows = [("tmle", "y", 0.01, 1.0), ("tmle", "y", 0.1, 2.0), ("tmle", "y", 0.04, 3.0), ("tmle", "y", 0.06, 4.0), ("tmle", None, None, 5.0), ("tmle", None, 0.5, 6.0), ("tmle", "z", None, 7.0), ("lp", "y", None, 8.0), ("lp", "y", 0.05, 9.0), (None, "y", 0.05, 10.0)]
+    df = spark.createDataFrame(rows, "estimator string, o string, eps double, v double")
+    assert sorted(r.v for r in comparison.headline_rows(df, ["o"]).collect()) == [3.0, 6.0, 7.0, 8.0, 9.0, 10.0]
+    assert sorted(r.v for r in comparison.headline_rows(df, ["o"], target=0.1).collect())[0] == 2.0
+    base = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", None)], "k string, score double")
+    variants = spark.createDataFrame([("a", 0.5), ("a", 2.0), ("a", None), ("d", 1.0)], "k string, score double")
+    got = {r.k: (r.least, r.greatest, r.variants, r.place) for r in comparison.variant_range(base, variants, ["k"]).collect()}
+    assert got == {"b": (None, None, 0, 1), "a": (0.5, 2.0, 2, 2), "c": (None, None, 0, 3)}
+
+
+def test_usage_by_hand(spark):
+    schema = "status string, method_used string, method string, route string, low string, high string, constraint string, constraint_type string, conversion string"
+    a = [(" OK", "Denton ", "x", "q->m", None, None, " Sum", None, None), ("ok", " ", "Chow", None, "y", "q", None, "", "Last"), ("ok", None, None, "q->m", "", "", "s", "", ""), ("error", "denton", "x", "q->m", "", "", "sum", "", ""), ("ok", "denton", "", "plain", "q", "q", "", "mean", "last")]
+    b = [("ok", "denton", "x", "Q -> M", None, None, "sum", None, None), ("ok", "denton", "x", "q->m", None, None, "sum", None, None), ("ok", "denton", "x", None, "q", "q", None, None, None)]
+    got = sorted(map(tuple, policy.usage_compare(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()))
+    assert got == [("", "", "denton", 0, 1, 1), ("PLAIN", "mean", "denton", 1, 0, -1), ("Q->M", "sum", "denton", 1, 2, 1), ("Y->Q", "last", "chow", 1, 0, -1)]
+    one, two = spark.createDataFrame([("a", 2.0), ("b", 0.0)], "k string, value double"), spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 1.0)], "k string, value double")
+    assert sorted((r.k, r.delta, r.ratio) for r in policy.metric_compare(one, two, ["k"]).collect()) == [("a", 1.0, 1.5), ("b", 1.0, None), ("c", None, None)]
+
+
+def test_bootstrap_draws_whole_blocks(spark):
+    """All windows alike: whatever is drawn scores the same."""
+    rows = [("g", i, 0.5, 0.02) for i in range(1, 17)] + [("one", 1, 0.5, 0.02)]
+    got = screening.bootstrap_scores(spark.createDataFrame(rows, "k string, i long, r double, p double"), ["k"], draws=30).collect()
+    want = 100 * 0.8 * 0.5 * (16 * 0.8) / (16 * 0.8 + 12)
+    assert len(got) == 1 and got[0].draws == 30 and abs(got[0].q05 - want) < 1e-9 and abs(got[0].q95 - want) < 1e-9
