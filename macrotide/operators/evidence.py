@@ -186,10 +186,10 @@ def directional_scores(windows: DataFrame, keys: list[str], alpha: float = 0.05,
     """
     rows = weighed(windows, keys, alpha, most_t, q).withColumn("__gate", _gates(significance, alpha, most_t, keys))
     vecm = F.when(F.col("model") == "VECM", F.abs("beta"))
-    sizes = windows.groupBy(*keys).agg(F.percentile(vecm, F.lit(0.5)).alias("__mid"), F.avg(vecm).alias("__mean"))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumns({"__mid": F.percentile(vecm, F.lit(0.5)).over(whole), "__mean": F.avg(vecm).over(whole)})
     found = F.when(F.col("__mid") > 0, F.col("__mid")).when(F.col("__mean") > 0, F.col("__mean")).otherwise(F.lit(1.0))
-    scale = F.greatest(found, F.lit(1e-3)) if beta_scale is None else F.lit(float(beta_scale))
-    rows = rows.join(sizes.select(*keys, scale.alias("beta_scale")), keys)
+    rows = rows.withColumn("beta_scale", F.greatest(found, F.lit(1e-3)) if beta_scale is None else F.lit(float(beta_scale)))
     effect = F.when(F.col("model") == "VAR", F.least(F.abs("r"), F.lit(1.0))).otherwise(F.tanh(F.abs("beta") / F.greatest(F.col("beta_scale"), F.lit(1e-3))))
     sign = F.when(F.col("model") == "VAR", F.signum("r")).when(F.col("alpha") < 0, F.signum("beta"))
     rows = rows.withColumns({"__effect": effect, "__sign": F.when(F.col("__gate"), sign)})

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from macrotide.functions.columns import rounded
+from macrotide.functions.shipping import cut
 from macrotide.operators import evidence
 from macrotide.plans.registry import query
 from macrotide.sources.panels import PANEL_NATION, normal_p_sql, panel_nation
@@ -55,7 +56,7 @@ sp as (select driver, target, date, corr(rx, ry) as spearman from rk group by al
 round(d2t_p, 5) as driver_to_target_p, round(d2t_coef * sx / sy, 5) as driver_to_target_std, round(sqrt(d2t_var) * sx / sy, 5) as driver_to_target_std_se, round(t2d_coef, 5) as target_to_driver_coef, round(sqrt(t2d_var), 5) as target_to_driver_se,
 round(t2d_p, 5) as target_to_driver_p, round(t2d_coef * sy / sx, 5) as target_to_driver_std, round(sqrt(t2d_var) * sy / sx, 5) as target_to_driver_std_se from resp join sp using (driver, target, date)""")
 def _(spark, d):
-    panel = panel_nation(spark, d)
+    panel = cut(panel_nation(spark, d))
     out = evidence.driver_response(_moves(panel), _pairs(panel), WIDTH, max_lags=1, choose=False)
     return out.select("driver", "target", "date", "lags", *rounded(*[c for c, t in out.dtypes if t == "double"], digits=5))
 
@@ -72,8 +73,8 @@ models as (select driver, target, date, 'VECM' as model, null::double as r, {nor
 
 
 def _models(spark, d):
-    panel = panel_nation(spark, d)
-    return evidence.model_windows(panel, _moves(panel), _pairs(panel), WIDTH, max_lags=1, choose=False)
+    panel = cut(panel_nation(spark, d))  # written once: pairs, levels and moves all read it
+    return cut(evidence.model_windows(panel, _moves(panel), _pairs(panel), WIDTH, max_lags=1, choose=False))  # scores read the windows more than once
 
 
 @query("model_windows", f"{MODELS} select driver, target, date, model, round(r, 5) as r, round(p, 5) as p, round(t, 4) as t, round(beta, 5) as beta, round(alpha, 5) as alpha from models")
